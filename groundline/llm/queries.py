@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecoder, licenses, packing, quality, token_count
+from . import bytecoder, language, licenses, lm_score, packing, quality, secrets, token_count
 from .common import table
 
 
@@ -27,6 +27,15 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(spark, docs, secrets.train(docs))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -43,14 +52,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecoder.digest_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(spark, docs, language.learn(docs))
+    return found.select("doc_id", language.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
+    "op4_lm_score": op4_lm_score,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
