@@ -100,3 +100,17 @@ def predict(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], doc
             yield pa.RecordBatch.from_arrays([keys, pa.array(lang, pa.string()), pa.array(score, pa.float64()), margin, pc.less(margin, NARROW)], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+
+
+def keep_predicted(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose prediction is not rejected."""
+    shared = spark.sparkContext.broadcast(content)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Sizes(shared.value)
+        for batch in batches:
+            texts = normal(pc.fill_null(batch.column(at), "")).to_pylist()
+            yield batch.filter(pa.array([own.predict(x)[2] >= NARROW for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

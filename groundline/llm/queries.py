@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytecoder, language, licenses, lm_score, packing, quality, secrets, token_count
+from . import bytecoder, jaccard, language, licenses, lm_score, packing, quality, secrets, token_count, vectors
 from .common import table
 
 
@@ -27,6 +28,15 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(spark, docs, secrets.train(docs))
@@ -63,6 +73,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_vector_near_dedup": op2_vector_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_lm_score": op4_lm_score,
     "op5_token_counts": op5_token_counts,
