@@ -9,7 +9,7 @@ from ..functions import crowns as c
 from ..functions import geometry as g
 from ..functions.unknown import ratio
 
-CELL = 0.25
+CELL = 0.5
 
 
 def with_radius(trees: DataFrame, classes: DataFrame) -> DataFrame:
