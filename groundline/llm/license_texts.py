@@ -33,17 +33,17 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution."""
 
 LICENSES = (
-    ("MIT", f"MIT License\n\nCopyright (c) year holder\n\n{_MIT_BODY}"),
-    ("MIT", f"The MIT License (MIT)\n\nCopyright (c) year holder\n\n{_MIT_BODY}"),
-    ("MIT", f"Copyright (c) year holder\n\n{_MIT_BODY}"),
-    ("MIT-0", f"MIT No Attribution\n\nCopyright year holder\n\n{_MIT_GRANT}.\n\n{_AS_IS}"),
-    ("ISC", f"ISC License\n\nCopyright (c) year holder\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_AS_IS}"),
-    ("0BSD", f"BSD Zero Clause License\n\nCopyright (c) year holder\n\n{_ISC_GRANT}.\n\n{_ISC_AS_IS}"),
-    ("BSD-2-Clause", "\n\n".join(("BSD 2-Clause License", "Copyright (c) year, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_AS_IS))),
-    ("BSD-3-Clause", "\n\n".join(("BSD 3-Clause License", "Copyright (c) year, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_AS_IS))),
+    ("MIT", f"MIT License\n\nCopyright (c) 2024 holder\n\n{_MIT_BODY}"),
+    ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2024 holder\n\n{_MIT_BODY}"),
+    ("MIT", f"Copyright (c) 2024 holder\n\n{_MIT_BODY}"),
+    ("MIT-0", f"MIT No Attribution\n\nCopyright 2024 holder\n\n{_MIT_GRANT}.\n\n{_AS_IS}"),
+    ("ISC", f"ISC License\n\nCopyright (c) 2024 holder\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_AS_IS}"),
+    ("0BSD", f"BSD Zero Clause License\n\nCopyright (c) 2024 holder\n\n{_ISC_GRANT}.\n\n{_ISC_AS_IS}"),
+    ("BSD-2-Clause", "\n\n".join(("BSD 2-Clause License", "Copyright (c) 2024, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_AS_IS))),
+    ("BSD-3-Clause", "\n\n".join(("BSD 3-Clause License", "Copyright (c) 2024, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_AS_IS))),
     ("Unlicense", _UNLICENSE),
-    ("Zlib", f"zlib License\n\nCopyright (c) year holder\n\n{_ZLIB}"),
-    ("Zlib", f"Copyright (c) year holder\n\n{_ZLIB}"),
+    ("Zlib", f"zlib License\n\nCopyright (c) 2024 holder\n\n{_ZLIB}"),
+    ("Zlib", f"Copyright (c) 2024 holder\n\n{_ZLIB}"),
 )
 
 NOTICES = (

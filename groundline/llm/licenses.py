@@ -11,14 +11,15 @@ Repeated rows are each returned. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import LICENSES, NOTICES, SPELLINGS
 
-COPYRIGHT = r"(?m)^[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that opens with a copyright mark and goes on with a sign or a year, not one that speaks of copyright.
+COPYRIGHT = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -32,8 +33,8 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same in Python, for the fixed licence texts."""
-    x = re.sub(COPYRIGHT, " ", text.lower())
-    x = " " + re.sub(r"[\W_]+", " ", x) + " "
+    x = regex.sub(COPYRIGHT, " ", text.lower())
+    x = " " + regex.sub(OTHER, " ", x) + " "
     for old, new in SPELLINGS:
         x = x.replace(f" {old} ", f" {new} ")
     return x.strip(" ")
