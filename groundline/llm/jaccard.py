@@ -17,7 +17,6 @@ equal texts are linked copies, also where their ids are equal. Each row is retur
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from math import ceil, log
@@ -31,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .bytecoder import slices
 from .common import Scratch, partitions
-from .links import FOUND, blocks_of, connected_components, dealt, found_batch, groups, local_roots, results
+from .links import FOUND, blocks_of, connected_components, dealt, found_batch, groups, least_roots, results
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-COORDINATES, BRANCHES, LEAF, DEEPEST, ALIKE = 64, 3, 256, 8, 0.5
+COORDINATES, BRANCHES, LEAF, DEEPEST, ALIKE = 64, 3, 1024, 8, 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(64).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -143,36 +142,35 @@ def candidate_forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
     """Edges (a, b) between keys: a forest over each bucket's agreeing pairs."""
     start = F.transform(F.sequence(F.lit(0), F.lit(runs_for() - 1)), lambda r: F.xxhash64(F.lit("run"), r, F.get("sketch", r)))
     nodes = scratch.save(reps.select(F.explode(start).alias("path"), "key"), "nodes-0")
-    leaves: list[DataFrame] = []
-    stars: list[DataFrame] = []
+    every, few, stars = [nodes], [], []
     for depth in range(DEEPEST + 1):
         counts = scratch.save(bucket_counts(nodes), f"counts-{depth}")
-        few = counts.where(F.col("n") <= LEAF)
-        once = scratch.save(few.groupBy("n", "x", "s").agg(F.min("path").alias("path")).select("path"), f"once-{depth}")
-        leaves.append(nodes.join(once, "path").select("path", "key"))
+        few.append(counts.where(F.col("n") <= LEAF))
         large = scratch.save(nodes.join(counts.where(F.col("n") > LEAF).select("path", "n"), "path"), f"large-{depth}")
         if large.isEmpty():
             break
         below = large.join(reps.select("key", "sketch"), "key").select("path", "n", "key", F.inline(child_paths(F.col("path"))))
         below = scratch.save(below, f"below-{depth}")
-        split = scratch.save(below.groupBy("path", "n", "branch", "child").agg(F.count("*").alias("c")), f"split-{depth}")
-        shared = split.groupBy("path", "n").agg(F.sum(F.col("c") * F.col("c")).alias("q"))
+        split = below.groupBy("path", "n", "branch", "child").agg(F.count("*").alias("c"), F.min("key").alias("top"))
+        verdict = scratch.save(split.groupBy("path", "n").agg(F.sum(F.col("c") * F.col("c")).alias("q"), F.min("top").alias("top")), f"split-{depth}")
         alike = F.lit(True) if depth == DEEPEST else F.col("q") >= ALIKE * BRANCHES * F.col("n") * F.col("n")
-        verdict = scratch.save(shared.select("path", alike.alias("alike")), f"alike-{depth}")
-        whole = large.join(verdict.where("alike").select("path"), "path")
-        tops = scratch.save(whole.groupBy("path").agg(F.min("key").alias("top")), f"tops-{depth}")
-        stars.append(large.join(tops, "path").select(F.col("key").alias("a"), F.col("top").alias("b")))
-        nodes = below.join(verdict.where("not alike").select("path"), "path").select(F.col("child").alias("path"), "key").distinct()
+        stars.append(large.join(verdict.where(alike).select("path", "top"), "path").select(F.col("key").alias("a"), F.col("top").alias("b")))
+        nodes = below.join(verdict.where(~alike).select("path"), "path").select(F.col("child").alias("path"), "key")
         nodes = scratch.save(nodes, f"nodes-{depth + 1}")
-    buckets = leaves[0]
-    for more in leaves[1:]:
+        every.append(nodes)
+    small = few[0]
+    for more in few[1:]:
+        small = small.union(more)
+    once = scratch.save(small.groupBy("n", "x", "s").agg(F.min("path").alias("path")).select("path"), "once")
+    buckets = every[0]
+    for more in every[1:]:
         buckets = buckets.union(more)
+    buckets = buckets.join(once, "path")
     buckets = buckets.join(reps.select("key", "sketch"), "key").select("path", "key", "sketch")
     buckets = buckets.repartition(partitions(scratch.spark), "path").sortWithinPartitions("path")
     least = agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for t in groups(batches, ["path"]):
             keys = t["key"].to_pylist()
             x = t["sketch"].combine_chunks().flatten().to_numpy().reshape(len(keys), COORDINATES)
@@ -181,7 +179,7 @@ def candidate_forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
                 hits += x[:, None, k] == x[None, :, k]
             i, j = np.nonzero(np.triu(hits >= least, 1))
             if len(i):
-                root = local_roots(len(x), i, j)
+                root = least_roots(keys, i, j)
                 some = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array([keys[n] for n in some], pa.binary()), pa.array([keys[root[n]] for n in some], pa.binary())], ["a", "b"])
 
@@ -234,7 +232,6 @@ def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
     pairs = dealt(full.select("tree", "key", "copies", "set", "count", "total"), ["tree"], "key", F.greatest(by_count, by_bytes)).drop("count", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for t in groups(batches, ["tree", "lo", "hi"]):
             keys, copies, own = t["key"].to_pylist(), t["copies"].to_numpy(), t["own"].to_numpy()
             sets_ = [np.frombuffer(x, "<u8") for x in t["set"].to_pylist()]
@@ -248,7 +245,7 @@ def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
                 i, j = similar_pairs([sets_[k] for k in a], [sets_[k] for k in b])
                 i, j = a[i], b[j]
             links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
-            yield found_batch(keys, links, local_roots(len(keys), i, j))
+            yield found_batch(keys, links, least_roots(keys, i, j))
 
     found = scratch.save(pairs.mapInArrow(run, FOUND), "found")
     return results(scratch, every, reps, found, "doc_id")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
@@ -77,6 +77,14 @@ def binary(column: pa.ChunkedArray) -> list[bytes]:
 FOUND = "key binary, links long, root binary"
 
 
+def least_roots(keys: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each key the place of the least key of its component."""
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return order[local_roots(len(keys), place[i], place[j])[place]]
+
+
 def found_batch(keys: list[bytes], links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     """Rows that have a link or a root other than themselves."""
     some = np.flatnonzero((links > 0) | (root != np.arange(len(root))))
@@ -88,30 +96,38 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataF
 
     Alternating stars: every node first links its larger neighbours to its least one, then its
     smaller ones; edges never grow in number, and a round shortens paths by about half. Each
-    round is a table in the shared folder. Least neighbours are written before they are joined,
-    so that a node of many edges can be split among tasks.
+    round is a table in the shared folder, and what tells whether it changed anything is
+    observed while it is written. Least neighbours are written before they are joined, so that a
+    node of many edges can be split among tasks.
     """
-    state = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    mark: tuple | None = None
+    state = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state, mark = _observed(scratch, state, f"{name}-0")
     turn = 0
-    while True:
-        found = state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark or not found[0]:
-            break
-        mark, turn = tuple(found), turn + 1
+    while mark[0]:
+        turn += 1
         both = state.union(state.select("b", "a"))
         least = scratch.save(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), f"{name}-m{turn}")
         large = both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.least("u", "m").alias("b"))
-        large = scratch.save(large.distinct(), f"{name}-l{turn}")
+        large = scratch.save(large, f"{name}-l{turn}")
         least = scratch.save(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), f"{name}-n{turn}")
         small = large.join(least, large["a"] == least["u"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(least.select("u", "m"))
-        state = scratch.save(small.distinct(), f"{name}-{turn}")
+        last = mark
+        state, mark = _observed(scratch, small.union(least.select("u", "m")).distinct(), f"{name}-{turn}")
         scratch.drop(f"{name}-m{turn}", f"{name}-l{turn}", f"{name}-n{turn}", f"{name}-{turn - 1}")
+        if mark == last:
+            break
     roots = state.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct()
     return state.select(F.col("a").alias("key"), F.col("b").alias("root")).union(roots)
 
 
+def _observed(scratch: Scratch, edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The written table, and a fingerprint of its rows in any order."""
+    seen = Observation()
+    h = F.xxhash64("a", "b")
+    table = scratch.save(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64(h).cast("decimal(38,0)")).alias("s")), name)
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
+
+
 def results(scratch: Scratch, members: DataFrame, reps: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
     """(row_id, n_links, class_id) of every row of ``members`` (row_id, key; null key: no links).
 

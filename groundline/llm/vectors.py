@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .links import FOUND, blocks_of, dealt, found_batch, groups, local_roots, results
+from .links import FOUND, blocks_of, dealt, found_batch, groups, least_roots, results
 
 PROJECTIONS, WIDTH, RECALL = 24, 2.0, 0.99999
 
@@ -127,7 +127,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, similarity: float =
                 i, j = linked_pairs(x[a], x[b], similarity)
                 i, j = a[i], b[j]
             links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
-            yield found_batch(keys, links, local_roots(len(keys), i, j))
+            yield found_batch(keys, links, least_roots(keys, i, j))
 
     found = scratch.save(pairs.mapInArrow(run, FOUND), "found")
     return results(scratch, every, reps, found, "vec_id").withColumnRenamed("class_id", "component_id")
