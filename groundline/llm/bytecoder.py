@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .bpe import merge_many, rank_pairs, read_ranks
 
 #: Entries after which a memo starts anew; a bound on memory, not on what is encoded.
-MEMO = 700_000
+MEMO = 300_000
 #: Longer units are not remembered.
 LONG = 128
 #: Signs that often end a word; each is a match of its own after letters.
@@ -143,18 +143,21 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of some megabytes at a time, a longer text alone; null texts as empty ones."""
-    gc.disable()  # a worker makes millions of strings and no cycles
-    for batch in batches:
-        texts = pc.fill_null(batch.column(1), "")
-        if not len(texts):
-            continue
-        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-        group = ends // size
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield batch.column(0).slice(a, b - a), texts.slice(a, b - a)
+    gc.disable()  # millions of strings and no cycles; a reused worker collects again afterwards
+    try:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            if not len(texts):
+                continue
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+            group = ends // size
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.column(0).slice(a, b - a), texts.slice(a, b - a)
+    finally:
+        gc.enable()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
