@@ -1,25 +1,31 @@
 """Cross-entropy difference of two matched word bigram models.
 
 The background model is counted over all documents, the target model over those labelled as
-of high quality. Both share one vocabulary (the ``vocabulary`` most frequent words; all others
-are one unknown word), one set of explicit bigrams (the ``bigrams`` most frequent ones; of either
-kind, what shares the last count that fits only in part is left out) and one smoothing:
-absolute discounting, the discounted mass going to add-one unigrams. A document's score is its
-mean loss per token under the target model less that under the background model; the lower, the
-more it resembles the target.
-
-Counts cover every document; the two bounds are sizes of the model, and what they leave out is
-counted as unknown words and by the unigrams, never dropped. Defined cases: a text that is null
-or has no word has no tokens and null losses. Without any target document both models are the
-background. Repeated rows count as often as they occur. Labels of one document agree if any
-says 1.
+of high quality. Both share one vocabulary (all words), one set of explicit bigrams (all that
+occur) and one smoothing: absolute discounting, the discounted mass going to add-one unigrams.
+A document's score is its mean loss per token under the target model less that under the
+background model; the lower, the more it resembles the target.
+
+The models grow with the input and lie in no one place: texts are dealt into chunks of some
+megabytes; each chunk sends its different bigrams, then its words, as hashes of 64 bits, to
+buckets, which sum them over all chunks and send back the sums that the chunk needs to score its
+texts. All is one query, so the texts are dealt out once and read again for each of the steps.
+Bounds (``size`` words, ``bigrams`` explicit ones) hold only if a caller sets them: then a small
+model is broadcast, all other words are one unknown word, other bigrams are scored by unigrams,
+and what shares the last count that fits only in part is left out.
+
+Defined cases: a text that is null or has no word has no tokens and null losses. Without any
+target document both models are the background. Repeated rows count as often as they occur.
+Labels of one document agree if any says 1.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +34,18 @@ from pyspark.sql import functions as F
 from .bytecoder import slices
 from .common import Scratch
 
+#: Sizes of a small model of which a caller bounds only one, and the longest word in it.
 VOCABULARY, BIGRAMS, LONGEST = 30_000, 200_000, 64
 DISCOUNT = 0.5
 #: Bytes of text that are counted together before counts are shuffled.
 TASK = 32 << 20
+#: Bytes of text in a chunk, on average.
+CHUNK = 8 << 20
+#: Stands for the word before a text's first one.
+START = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of rows: a document, a label, what a chunk asks for, and the sums sent back to it.
+DOCUMENT, LABEL, ASKED, PAIR_SUMS, WORD_SUMS, TOTALS = range(6)
+ROWS = "kind int, chunk long, bucket long, parts array<binary>"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -138,8 +152,182 @@ def fit(spark: SparkSession, docs: DataFrame, good: DataFrame, scratch: Scratch,
     return words, pairs, target, background
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, bigrams: int = BIGRAMS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the narrowest type, compressed; its letter first."""
+    kind = np.min_scalar_type(int(a.max(initial=0)))
+    return kind.char.encode() + zlib.compress(a.astype(kind).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), chr(data[0]))
+
+
+def packed_keys(keys: np.ndarray, buckets: int) -> bytes:
+    """Sorted keys of one bucket: the low bytes of their steps that are in use, place by place."""
+    steps = np.diff(keys // np.uint64(buckets), prepend=np.uint64(0)).astype("<u8")
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return steps.view("u1").reshape(-1, 8)[:, :width].T.tobytes() + bytes([width])
+
+
+def unpacked_keys(data: bytes, buckets: int, bucket: int) -> np.ndarray:
+    low = np.frombuffer(data[:-1], "u1").reshape(data[-1], -1)
+    steps = np.zeros((low.shape[1], 8), "u1")
+    steps[:, : data[-1]] = low.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+
+
+def rows_of(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.Table:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "chunk", "bucket", "parts"])
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys of each bucket that has some; equal sorted keys give equal places."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True) if len(found) else ()
+
+
+class Chunk:
+    """Texts as places in the sorted hashes of the chunk's own words and bigrams, whatever the rows' order."""
+
+    def __init__(self, texts: pa.Array):
+        flat, self.offsets = words_of(texts)
+        coded = flat.dictionary_encode()
+        own = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64)
+        word = own[coded.indices.to_numpy(zero_copy_only=False)]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.offsets[:-1][np.diff(self.offsets) > 0]] = START
+        pair = before * np.uint64(0x9E3779B97F4A7C15) + word
+        pair = (pair ^ (pair >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        self.pairs, at, self.of = np.unique(pair ^ (pair >> np.uint64(32)), return_index=True, return_inverse=True)
+        self.words = np.unique(np.append(own, START))
+        self.before_at, self.word_at = np.searchsorted(self.words, before[at]), np.searchsorted(self.words, word[at])
+
+
+def chunk_of(table: pa.Table) -> tuple[pa.Array, Chunk, np.ndarray, np.ndarray]:
+    """A chunk's document ids, its words and bigrams, and the bigrams' counts in all and in target documents."""
+    kind = table["kind"]
+    docs, labelled = table.filter(pc.equal(kind, DOCUMENT)), table.filter(pc.equal(kind, LABEL))["doc_id"].combine_chunks()
+    ids, c = docs["doc_id"].combine_chunks(), Chunk(pc.fill_null(docs["text"], "").combine_chunks())
+    target = pc.and_(pc.is_valid(ids), pc.is_in(ids, value_set=labelled)).to_numpy(zero_copy_only=False)
+    good = np.repeat(target.astype(np.float64), np.diff(c.offsets))
+    return ids, c, np.bincount(c.of, minlength=len(c.pairs)), np.bincount(c.of, good, len(c.pairs)).astype(np.int64)
+
+
+def filled(table: pa.Table, kind: int, keys: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    """What was sent back for the keys, in their order."""
+    sent = table.filter(pc.equal(table["kind"], kind))
+    sent = dict(zip(sent["bucket"].to_pylist(), sent["parts"].to_pylist(), strict=True))
+    full = np.zeros((width, len(keys)))
+    for bucket, at in by_bucket(keys, buckets):
+        for k, data in enumerate(sent[bucket]):
+            full[k, at] = unpacked(data)
+    return full
+
+
+def asked(table: pa.Table, buckets: int) -> pa.Table:
+    """A chunk's bigrams with their counts."""
+    _, c, n, t = chunk_of(table)
+    chunk = table["chunk"][0].as_py()
+    return rows_of([(ASKED, chunk, bucket, [packed_keys(c.pairs[at], buckets), packed(n[at]), packed(t[at])]) for bucket, at in by_bucket(c.pairs, buckets)])
+
+
+def in_bucket(table: pa.Table, buckets: int) -> tuple[list[tuple], list[list[np.ndarray]], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A bucket's rows, their parts, its different keys, the first place of each, and the places of each row's keys."""
+    rows = [tuple(r.values()) for r in table.sort_by("chunk").to_pylist()]
+    parts = [[unpacked_keys(r[3][0], buckets, r[2]), *map(unpacked, r[3][1:])] for r in rows]
+    keys, first, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    return rows, parts, keys, first, np.split(of, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def sums_of(parts: list[list[np.ndarray]], places: list[np.ndarray], different: int) -> np.ndarray:
+    sums = np.zeros((len(parts[0]) - 1, different), np.int64)
+    for p, at in zip(parts, places, strict=True):
+        for k, x in enumerate(p[1:]):
+            sums[k, at] += x.astype(np.int64)  # a chunk has each key once
+    return sums
+
+
+def summed_pairs(table: pa.Table, buckets: int) -> pa.Table:
+    """Two sums for each bigram of a chunk, and whether the chunk is the first one that has it."""
+    rows, parts, keys, first, places = in_bucket(table, buckets)
+    n, t = sums_of(parts, places, len(keys))
+    own = np.zeros(sum(map(len, places)), np.int64)
+    own[first] = 1
+    owns = np.split(own, np.cumsum([len(at) for at in places])[:-1])
+    return rows_of([(PAIR_SUMS, r[1], r[2], [packed(x) for x in (n[at], t[at], mine)]) for r, at, mine in zip(rows, places, owns, strict=True)])
+
+
+def asked_words(table: pa.Table, sent: pa.Table, buckets: int) -> pa.Table:
+    """A chunk's words: counts as words, as histories, and of the different bigrams that follow, each counted by one chunk."""
+    _, c, n, t = chunk_of(table)
+    if not len(c.pairs):
+        return rows_of([])
+    all_n, all_t, own = filled(sent, PAIR_SUMS, c.pairs, buckets, 3)
+    columns = (c.word_at, n), (c.word_at, t), (c.before_at, n), (c.before_at, t), (c.before_at, own * (all_n > 0)), (c.before_at, own * (all_t > 0))
+    sums = [np.bincount(at, x, len(c.words)).astype(np.int64) for at, x in columns]
+    chunk = table["chunk"][0].as_py()
+    return rows_of([(ASKED, chunk, bucket, [packed_keys(c.words[at], buckets), *(packed(x[at]) for x in sums)]) for bucket, at in by_bucket(c.words, buckets)])
+
+
+def summed_words(table: pa.Table, buckets: int) -> pa.Table:
+    """Six sums for each word of a chunk, and the bucket's different words and tokens."""
+    rows, parts, keys, _, places = in_bucket(table, buckets)
+    sums = sums_of(parts, places, len(keys))
+    out = [(WORD_SUMS, r[1], r[2], [packed(x[at]) for x in sums]) for r, at in zip(rows, places, strict=True)]
+    return rows_of([*out, (TOTALS, -1, rows[0][2], [packed(np.array([(sums[0] > 0).sum(), sums[0].sum(), sums[1].sum()]))])])
+
+
+def totals(table: pa.Table, chunks: int) -> pa.Table:
+    """Different words and tokens of all buckets, a small row each, to every chunk."""
+    every = packed(np.sum([unpacked(p[0]).astype(np.int64) for p in table["parts"].to_pylist()], 0))
+    return rows_of([(TOTALS, chunk, -1, [every]) for chunk in range(chunks)])
+
+
+def scored(table: pa.Table, sent: pa.Table, buckets: int) -> pa.Table:
+    """The losses of a chunk's documents by the sums that were sent back."""
+    ids, c, _, _ = chunk_of(table)
+    n, losses = np.diff(c.offsets), [np.zeros(len(ids))] * 2
+    if len(c.pairs):
+        different, *tokens = unpacked(sent.filter(pc.equal(sent["kind"], TOTALS))["parts"][0].as_py()[0]).tolist()
+        pairs, words = filled(sent, PAIR_SUMS, c.pairs, buckets, 3), filled(sent, WORD_SUMS, c.words, buckets, 6)
+        losses = []
+        for which in (1 if tokens[1] else 0, 0):
+            unigram = (words[which] + 1) / (tokens[which] + different + 2)
+            total = np.maximum(words[2 + which], 1)
+            rest = np.maximum(1e-9, 1 - (words[2 + which] - DISCOUNT * words[4 + which]) / total)
+            loss = -np.log(np.maximum(pairs[which] - DISCOUNT, 0) / total[c.before_at] + rest[c.before_at] * unigram[c.word_at])
+            sums = np.zeros(len(n))
+            sums[n > 0] = np.add.reduceat(loss[c.of], c.offsets[:-1][n > 0])
+            losses.append(sums / np.maximum(n, 1))
+    cols = [pa.array(x, pa.float64(), mask=n == 0) for x in (*losses, losses[0] - losses[1])]
+    return pa.table([ids, pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, size: int | None = None, bigrams: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score."""
+    if size is not None or bigrams is not None:
+        return score_bounded(spark, docs, labels, VOCABULARY if size is None else size, BIGRAMS if bigrams is None else bigrams, doc_id, text)
+    octets = docs.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
+    chunks = buckets = max(1, -(-octets // CHUNK))
+    texts = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
+    texts = texts.selectExpr(f"{DOCUMENT} kind", f"pmod(xxhash64(doc_id, if(doc_id is null, text, null)), {chunks}) chunk", "doc_id", "text")
+    good = labels.where("quality = 1").selectExpr("cast(doc_id as long) doc_id").where("doc_id is not null")
+    good = good.selectExpr(f"{LABEL} kind", f"pmod(xxhash64(doc_id), {chunks}) chunk", "doc_id", "cast(null as string) text")
+    dealt = texts.unionByName(good).groupBy("chunk")
+    pairs = dealt.applyInArrow(lambda t: asked(t, buckets), ROWS).groupBy("bucket").applyInArrow(lambda t: summed_pairs(t, buckets), ROWS)
+    words = dealt.cogroup(pairs.groupBy("chunk")).applyInArrow(lambda t, sent: asked_words(t, sent, buckets), ROWS).groupBy("bucket").applyInArrow(lambda t: summed_words(t, buckets), ROWS)
+    every = words.where(f"kind = {TOTALS}").groupBy("kind").applyInArrow(lambda t: totals(t, chunks), ROWS)
+    sent = pairs.unionByName(words.where(f"kind = {WORD_SUMS}")).unionByName(every).groupBy("chunk")
+    return dealt.cogroup(sent).applyInArrow(lambda t, sent: scored(t, sent, buckets), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def score_bounded(spark: SparkSession, docs: DataFrame, labels: DataFrame, size: int, bigrams: int, doc_id: str, text: str) -> DataFrame:
+    """The same by a small model that is broadcast."""
     scratch = Scratch(spark, "lm")
     texts = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
     good = labels.where("quality = 1").selectExpr("cast(doc_id as long) doc_id", "true as target").distinct()

@@ -402,6 +402,19 @@ def test_scores_follow_hand_counts(spark):
     assert lm_score.score(spark, frame(spark, every).where("false"), labels).count() == 0
 
 
+def test_every_word_and_bigram_is_in_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 50_000)
+    n = 210_000  # words and bigrams that occur once each
+    every = [" ".join(f"a{i}" for i in range(k, k + 1000)) for k in range(0, n, 1000)]
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_score.score(spark, frame(spark, every), labels).collect()}
+    base, texts = 2 * n + 2, len(every)
+    background = (999 * -np.log(0.5 + 0.5 * 2 / base) - np.log(0.5 / texts + 0.5 * 2 / base)) / 1000
+    target = -np.log(0.5 + 0.5 * 2 / (1000 + n + 2))
+    assert all(r.background_loss == pytest.approx(background) for r in got.values())
+    assert got[0].target_loss == pytest.approx(target) and got[1].target_loss > 10 and len(got) == texts
+
+
 def test_small_vocabulary_and_no_target(spark):
     every = ["a b a b c", "a c b", "d"]
     labels = spark.createDataFrame([], "doc_id long, quality int")
