@@ -137,7 +137,7 @@ class Network:
                 break
         self.scale, self.shift = float(a), float(b)
         hits = np.sort(self.chance(x)[y > 0.5])
-        self.threshold = float(max(0.5, hits[int((1 - recall) * len(hits))])) if len(hits) else 0.5
+        self.threshold = float(hits[int((1 - recall) * len(hits))]) if len(hits) else 0.5
 
     def chance(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))

@@ -359,6 +359,15 @@ def test_network_learns_what_it_was_shown():
     assert ((p >= net.threshold) == (y[800:] > 0.5)).mean() > 0.95 and (p[y[800:] > 0.5] >= net.threshold).mean() >= 0.97
 
 
+def test_threshold_keeps_recall_below_one_half(monkeypatch):
+    net, rng = secrets.Network(), np.random.default_rng(9)
+    y = np.repeat([1.0, 0.0], [100, 900])
+    z = rng.normal(y, 1)  # overlapping classes, few positives
+    monkeypatch.setattr(net, "logits", lambda x: z)
+    net.calibrate(z, y)
+    assert net.threshold < 0.5 and (net.chance(z)[y > 0.5] >= net.threshold).mean() >= secrets.RECALL
+
+
 def brute_models(texts, good):
     """Counts by hand for the same pair of models over a full vocabulary."""
     uni, bi = (Counter(), Counter()), (Counter(), Counter())
