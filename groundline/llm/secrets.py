@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is any run of twelve or more credential characters with a digit in it. The network
+A candidate is any run of twelve or more credential characters. The network
 (embedding, one convolution, max pooling, logistic output; numpy only) reads the candidate and
 its surrounding characters. It is trained on labelled findings: candidates of a bounded sample
 of documents, labelled by the fixed patterns, and generated credentials and harmless look-alikes.
@@ -32,12 +32,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, so that asking for the length in the pattern drops the same runs.
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
 KINDS = ("assign", "access", "hex", "network")
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
 #: Bounds of the training sample, and the recall that the threshold must keep.
 SAMPLE_DOCS, SAMPLE_FINDINGS, RECALL = 2000, 6000, 0.98
+#: Plain words that are long enough to be candidates, or become so with a prefix.
+LONG_WORDS = """administration announcement appreciation approximately architecture championship characteristics
+ circumstances collaboration communication comprehensive concentration configuration congratulations consciousness
+ consequently considerable constitution construction contemporary contributions demonstration determination development
+ disappointed discrimination distinguished documentation effectiveness encyclopedia enthusiastic entertainment
+ environmental establishment extraordinary functionality fundamentally headquarters identification implementation
+ independence infrastructure institutional international interpretation investigation manufacturing mathematical
+ misunderstanding neighborhood nevertheless notwithstanding opportunities organizations participation particularly
+ photographer possibilities predominantly professional psychological pharmaceutical recommendations relationships
+ representative responsibility revolutionary significantly sophisticated specifications straightforward
+ subsequently successfully surroundings sustainability technologies telecommunications temperature thoughtfulness
+ traditionally transformation transportation understanding unfortunately universities vulnerability worthwhile""".split()
 Span = tuple[int, int, int]  # kind, start, end
 
 
@@ -53,7 +64,7 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(text, *m.span())]
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def overlaps(spans: list[Span], start: int, end: int) -> bool:
@@ -154,6 +165,12 @@ def generated(n: int, seed: int = 5) -> list[tuple[str, int, int, int]]:
     def word() -> str:
         return some(lower, 2, 9)
 
+    def spoken() -> str:
+        return "".join(rng.choice(("b", "c", "d", "f", "g", "l", "m", "n", "p", "r", "s", "t", "v", "st", "tr", "pl", "th")) + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s", "l")) for _ in range(rng.randint(2, 4)))
+
+    def long() -> str:
+        return rng.choice(("inter", "over", "counter", "trans", "under", "")) + rng.choice(("", "multi", "re")) + rng.choice(LONG_WORDS)
+
     secret = (
         lambda: some(alnum, 20, 44),
         lambda: some(lower + string.digits, 24, 44),
@@ -162,6 +179,9 @@ def generated(n: int, seed: int = 5) -> list[tuple[str, int, int, int]]:
         lambda: "eyJ" + some(alnum, 20, 40) + "." + some(alnum + "_-", 20, 40),
         lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 14, 18),
         lambda: some("0123456789abcdef", 20, 64),
+        lambda: some(string.ascii_letters, 12, 44),
+        lambda: some(alnum, 12, 20),
+        lambda: some(lower, 20, 44),
     )
     plain = (
         lambda: f"{word()}.{rng.randint(1, 99)}",
@@ -174,13 +194,19 @@ def generated(n: int, seed: int = 5) -> list[tuple[str, int, int, int]]:
         lambda: "".join(rng.choice(string.digits) for _ in range(rng.randint(12, 15))),
         lambda: word() + word() + str(rng.randint(1, 99)),
         lambda: "-" * rng.randint(8, 20) + str(rng.randint(1, 9)),
+        lambda: rng.choice("-=._/") * rng.randint(12, 60),
+        long,
+        lambda: long().capitalize() + rng.choice((".", "", "...")),
+        lambda: rng.choice("-_/.").join(rng.choice((long, spoken))() for _ in range(rng.randint(2, 4))),
+        lambda: "".join(rng.choice((long, spoken))().capitalize() for _ in range(rng.randint(2, 3))),
+        lambda: spoken() + spoken(),
     )
     out = []
     for i in range(n):
         make = rng.choice(secret if i % 2 else plain)
         body = make()
-        while len(body) < 12 or not DIGIT.search(body):
-            body = body + rng.choice(string.digits) if i % 2 else word() + body
+        while len(body) < 12:
+            body = body + rng.choice(string.digits) if i % 2 else spoken() + body
         lead = " ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice((" ", " ", "\n", ": ", '="', " = "))
         tail = rng.choice((" ", ".", '"', "\n", ", ")) + " ".join(word() for _ in range(rng.randint(0, 4)))
         out.append((lead + body + tail, len(lead), len(lead) + len(body), i % 2))
@@ -220,10 +246,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Networ
     return net
 
 
-def scan_text(text: str, net: Network, assign: bool, access: bool, hexes: bool, digits: bool) -> list[Span]:
+def scan_text(text: str, net: Network, assign: bool, access: bool, hexes: bool, runs: bool) -> list[Span]:
     """All spans, by start, then kind."""
     base = base_spans(text, assign, access, hexes)
-    if digits:
+    if runs:
         free = [(a, b) for a, b in candidates(text) if not overlaps(base, a, b)]
         if free:
             chance = net.chance(np.array([window(text, a, b) for a, b in free]))
@@ -236,11 +262,11 @@ def scan_texts(texts: pa.Array, net: Network) -> list[list[Span]]:
     mask = lambda pattern: pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
     assign = mask("(?i)passw|passwd|secret|token|api_?key")
     access = pc.match_substring(texts, "AKIA").to_numpy(zero_copy_only=False)
-    digits = mask("[0-9]")
+    runs = mask("[A-Za-z0-9+/_.=-]{12}")
     hexes = mask("[0-9a-f]{16}")
     out: list[list[Span]] = [[]] * len(texts)
-    for n in np.flatnonzero(assign | access | digits | hexes):
-        out[n] = scan_text(texts[int(n)].as_py(), net, bool(assign[n]), bool(access[n]), bool(hexes[n]), bool(digits[n]))
+    for n in np.flatnonzero(assign | access | runs | hexes):
+        out[n] = scan_text(texts[int(n)].as_py(), net, bool(assign[n]), bool(access[n]), bool(hexes[n]), bool(runs[n]))
     return out
 
 

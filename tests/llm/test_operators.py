@@ -359,6 +359,13 @@ def test_network_learns_what_it_was_shown():
     assert ((p >= net.threshold) == (y[800:] > 0.5)).mean() > 0.95 and (p[y[800:] > 0.5] >= net.threshold).mean() >= 0.97
 
 
+def test_secrets_without_a_digit(spark):
+    every = ["my login is qXvRtZkWpLmBnHsGdFjC ok", "use kJzQwXvBnMtRpLsD here", "the internationalization of documentation", "an extraordinary misunderstanding", "no run at all"]
+    docs = frame(spark, every)
+    got = {r.doc_id: r.n_network for r in secrets.scan(spark, docs, secrets.train(docs)).collect()}
+    assert [got[i] for i in range(5)] == [1, 1, 0, 0, 0]
+
+
 def test_threshold_keeps_recall_below_one_half(monkeypatch):
     net, rng = secrets.Network(), np.random.default_rng(9)
     y = np.repeat([1.0, 0.0], [100, 900])
