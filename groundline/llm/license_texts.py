@@ -1,5 +1,7 @@
 """Public licence texts, usual one-line notices, and spellings that count as equal."""
 
+from importlib.resources import files
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -32,15 +34,40 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+
+
+def _long(name: str, *ends: str) -> tuple[tuple[str, str], ...]:
+    """The whole text, and what precedes its appendix, with and without the line that ends the terms."""
+    text = files(__package__).joinpath("texts", f"{name}.txt").read_text()
+    return ((name, text), *((name, text[: text.rindex(end)]) for end in ends))
+
+
+_END = "END OF TERMS AND CONDITIONS"
+_ISC = f"Copyright (c) 2024 holder\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_AS_IS}"
+_BSD_2_CLAUSE = "\n\n".join(("Copyright (c) 2024, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_AS_IS))
+_BSD_3_CLAUSE = "\n\n".join(("Copyright (c) 2024, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_AS_IS))
+
 LICENSES = (
     ("MIT", f"MIT License\n\nCopyright (c) 2024 holder\n\n{_MIT_BODY}"),
     ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2024 holder\n\n{_MIT_BODY}"),
     ("MIT", f"Copyright (c) 2024 holder\n\n{_MIT_BODY}"),
     ("MIT-0", f"MIT No Attribution\n\nCopyright 2024 holder\n\n{_MIT_GRANT}.\n\n{_AS_IS}"),
-    ("ISC", f"ISC License\n\nCopyright (c) 2024 holder\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_AS_IS}"),
+    ("ISC", f"ISC License\n\n{_ISC}"),
     ("0BSD", f"BSD Zero Clause License\n\nCopyright (c) 2024 holder\n\n{_ISC_GRANT}.\n\n{_ISC_AS_IS}"),
-    ("BSD-2-Clause", "\n\n".join(("BSD 2-Clause License", "Copyright (c) 2024, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_AS_IS))),
-    ("BSD-3-Clause", "\n\n".join(("BSD 3-Clause License", "Copyright (c) 2024, holder", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_AS_IS))),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD_2_CLAUSE}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD_3_CLAUSE}"),
+    ("MIT-0", f"Copyright 2024 holder\n\n{_MIT_GRANT}.\n\n{_AS_IS}"),
+    ("ISC", _ISC),
+    ("0BSD", f"Copyright (c) 2024 holder\n\n{_ISC_GRANT}.\n\n{_ISC_AS_IS}"),
+    ("BSD-2-Clause", _BSD_2_CLAUSE),
+    ("BSD-3-Clause", _BSD_3_CLAUSE),
+    *_long("Apache-2.0", _END, "APPENDIX:"),
+    *_long("GPL-2.0", _END, "How to Apply"),
+    *_long("GPL-3.0", _END, "How to Apply"),
+    *_long("LGPL-2.1", _END, "How to Apply"),
+    *_long("LGPL-3.0"),
+    *_long("MPL-2.0", "Exhibit A - "),
+    *_long("CC0-1.0"),
     ("Unlicense", _UNLICENSE),
     ("Zlib", f"zlib License\n\nCopyright (c) 2024 holder\n\n{_ZLIB}"),
     ("Zlib", f"Copyright (c) 2024 holder\n\n{_ZLIB}"),

@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 
 from .license_texts import LICENSES, NOTICES, SPELLINGS
 
-#: A line that opens with a copyright mark and goes on with a sign or a year, not one that speaks of copyright.
-COPYRIGHT = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that opens with a copyright mark and goes on with a sign or a year, at once or after at most six words of
+#: a holder's name, or a paragraph of the mark and a name only; not a line that speaks of copyright.
+_MARK = r"(?:portions[ \t]+)?copyright"
+_BLANK = r"[^\p{L}\p{N}\n]*"
+COPYRIGHT = (
+    rf"(?:^|\n{_BLANK}\n){_BLANK}{_MARK}(?:[ \t]+[^ \t\n]+){{1,6}}[ \t]*\n{_BLANK}\n"
+    rf"|(?:^|\n){_BLANK}(?:{_MARK}(?:[^\p{{L}}\n]*(?:\(c\)|©|[0-9]{{4}})|(?:[ \t]+[^ \t\n]+){{1,6}}[ \t]+[0-9]{{4}})|\(c\)|©|all rights reserved)[^\n]*"
+)
 OTHER = r"[^\p{L}\p{N}]+"
 
 

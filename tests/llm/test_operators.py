@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.llm import bpe, bytecoder, jaccard, language, license_texts, licenses, links, lm_score, packing, quality, queries, secrets, token_count, vectors
+from groundline.llm import bpe, bytecoder, jaccard, language, license_texts, licenses, links, lm_score, oracles, packing, quality, queries, secrets, token_count, vectors
 from groundline.llm.common import Scratch
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -322,6 +323,24 @@ def test_licences(spark):
     assert licenses.scan(spark, frame(spark, every).where("false")).count() == 0
 
 
+def test_long_licences_and_copyright_lines(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    whole = [(open(f"{folder}/{n}").read(), i) for n, i in names.items() if os.path.exists(f"{folder}/{n}")]
+    texts = dict(license_texts.LICENSES)
+    untitled = [(t[t.index("Copyright") :], n) for n, t in license_texts.LICENSES[3:8]]
+    body = texts["MIT"][texts["MIT"].index("Permission") :]
+    lines = ("Copyright Jane Doe", "Copyright The X Authors 2020", "Portions copyright (c) 2019 Somebody", "Copyright (c) 2019 Somebody")
+    spoken = "the above\ncopyright notice and this permission notice\n"
+    every = [*whole, *untitled, *((f"{x}\n\n{body}", "MIT") for x in lines), (spoken, None)]
+    got = {r.doc_id: r for r in licenses.scan(spark, frame(spark, [t for t, _ in every])).collect()}
+    assert [got[i].license_id for i in range(len(every))] == [n for _, n in every]
+    assert licenses.canonical_text(spoken) == "the above copyright notice and this permission notice"
+    duckdb = pytest.importorskip("duckdb").connect()
+    documents = frame(spark, [t for t, _ in every]).toArrow()  # noqa: F841
+    assert {r[0]: (r[1], r[2]) for r in duckdb.execute(oracles.ORACLES["op10_license_scan"]).fetchall()} == {i: (r.canon_sha256, r.license_id) for i, r in got.items()}
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
