@@ -2,7 +2,7 @@
 
 A candidate is any run of twelve or more credential characters. The network
 (embedding, one convolution, max pooling, logistic output; numpy only) reads the candidate and
-its surrounding characters. It is trained on labelled findings: candidates of a bounded sample
+its surrounding characters, of a long one overlapping pieces; the highest output counts. It is trained on labelled findings: candidates of a bounded sample
 of documents, labelled by the fixed patterns, and generated credentials and harmless look-alikes.
 Its outputs are calibrated on held-out findings, and the threshold is the highest that keeps
 the required recall there. Its spans are added where no pattern's span lies; those always stay.
@@ -67,14 +67,21 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text)]
 
 
+def frames(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate, or overlapping pieces of a long one that hold all its characters."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in (*range(start, end - INSIDE, INSIDE // 2), end - INSIDE)]
+
+
 def overlaps(spans: list[Span], start: int, end: int) -> bool:
     return any(a < end and start < b for _, a, b in spans)
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of a fixed frame: before, the candidate (its middle left out if long), after. Those of
-    the candidate are raised by 128, so that the network sees where it lies."""
-    inside = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
+    """Codes of a fixed frame: before, the candidate or a piece of it, after. Those of the
+    candidate are raised by 128, so that the network sees where it lies."""
+    inside = text[start : min(end, start + INSIDE)]
     frame = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + inside.ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
     codes = np.frombuffer(frame.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     codes = np.where(codes < 128, codes, 1)
@@ -226,7 +233,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> lis
             out = []
             for x, key in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
                 base = base_spans(x)
-                out += [(key, a, window(x, a, b).astype("u1").tobytes(), int(overlaps(base, a, b))) for a, b in candidates(x)]
+                out += [(key, a, window(x, a, b).astype("u1").tobytes(), int(overlaps(base, a, b))) for c in candidates(x) for a, b in sorted({frames(*c)[0], frames(*c)[-1]})]  # a long run must not outweigh others
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "at", "win", "label"])
 
@@ -236,7 +243,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> lis
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
-    data = findings(docs, doc_id, text) + [(window(t, a, b).astype("u1").tobytes(), y) for t, a, b, y in generated(3000)]
+    data = findings(docs, doc_id, text) + [(window(t, a, b).astype("u1").tobytes(), y) for t, *c, y in generated(3000) for a, b in frames(*c)]
     x = np.array([np.frombuffer(w, "u1") for w, _ in data], np.int64)
     y = np.array([v for _, v in data], np.float64)
     rest = np.random.default_rng(3).random(len(x)) < 0.3
@@ -251,9 +258,12 @@ def scan_text(text: str, net: Network, assign: bool, access: bool, hexes: bool,
     base = base_spans(text, assign, access, hexes)
     if runs:
         free = [(a, b) for a, b in candidates(text) if not overlaps(base, a, b)]
-        if free:
-            chance = net.chance(np.array([window(text, a, b) for a, b in free]))
-            base = base + [(3, a, b) for (a, b), p in zip(free, chance, strict=True) if p >= net.threshold]
+        pieces = [(n, *f) for n, c in enumerate(free) for f in frames(*c)]
+        highest = np.zeros(len(free))
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            np.maximum.at(highest, [n for n, _, _ in part], net.chance(np.array([window(text, a, b) for _, a, b in part])))
+        base = base + [(3, a, b) for (a, b), p in zip(free, highest, strict=True) if p >= net.threshold]
     return sorted(base, key=lambda s: (s[1], s[0]))
 
 

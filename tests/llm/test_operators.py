@@ -385,6 +385,16 @@ def test_secrets_without_a_digit(spark):
     assert [got[i] for i in range(5)] == [1, 1, 0, 0, 0]
 
 
+def test_a_secret_in_the_middle_of_a_long_run(spark):
+    path = "documentation/architecture/"
+    every = [f"see {path}kQ7zXw9Bv3Mt5Rp8Ls2DhG4fJ6nC1yT0aE/{path}configuration ok", f"see {path}institutional/infrastructure/{path}configuration ok"]
+    docs = frame(spark, every)
+    got = {r.doc_id: r.n_network for r in secrets.scan(spark, docs, secrets.train(docs)).collect()}
+    assert [got[0], got[1]] == [1, 0]
+    for n in (12, 40, 41, 60, 61, 133):
+        assert {i for a, b in secrets.frames(5, 5 + n) for i in range(a, b)} == set(range(5, 5 + n))
+
+
 def test_threshold_keeps_recall_below_one_half(monkeypatch):
     net, rng = secrets.Network(), np.random.default_rng(9)
     y = np.repeat([1.0, 0.0], [100, 900])
