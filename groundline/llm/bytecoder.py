@@ -4,14 +4,21 @@ A text is cut at single blanks into units, whose ids do not depend on their neig
 distinct unit is cut into the pattern's matches, each distinct match is merged by the segment
 tree of ``bpe``, and both are remembered, in tables of bounded size.
 
-Defined cases: null is the empty text, which has no ids. Repeated rows are each returned.
+Which code points are letters or digits is what the library says: Python's tables, the pattern
+module's and the library's are of different Unicode versions.
+
+Defined cases: null is the empty text, which has no ids. Ids may be null or equal; repeated rows
+are each returned. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,16 @@ LONG = 128
 _STOPS = frozenset(".,;:!?")
 
 
+@lru_cache(maxsize=1)
+def _unassigned() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def holds_newer(text: str) -> bool:
+    """Are there code points of which Python's Unicode knows nothing?"""
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+
+
 def cut_at_blanks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct units, the unit number at each place, and each text's first place (and the end)."""
     lists = pc.split_pattern(texts, " ")
@@ -38,10 +55,12 @@ def cut_at_blanks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Units:
-    """Texts -> ids, by way of distinct units. ``coded`` gives the ids of new pieces as bytes."""
+    """Texts -> ids, by way of distinct units. ``coded`` gives the ids of new pieces as bytes,
+    ``newer`` cuts texts with code points that Python does not know as the library does."""
 
-    def __init__(self, pattern: str, coded: Callable[[list[str]], list[bytes]]):
-        self.findall = regex.compile(pattern).findall
+    def __init__(self, pattern: str, coded: Callable[[list[str]], list[bytes]], newer: Callable[[str], list[str]]):
+        matches = regex.compile(pattern).findall
+        self.findall = lambda x: newer(x) if holds_newer(x) else matches(x)
         self.coded = coded
         self.after: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
@@ -107,7 +126,16 @@ class Encoder:
         self.pairs = rank_pairs(self.ranks)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.token = {v: k for k, v in self.ranks.items()}
-        self.units = Units(pattern, self._coded)
+        self.units = Units(pattern, self._coded, self._newer)
+        self.spans = regex.compile(pattern).finditer
+        self.stands: dict[int, str] = {}
+
+    def _newer(self, text: str) -> list[str]:
+        """The matches in a text of stand-ins: one of its class, by the library, for each newer code point."""
+        for c in set(text):
+            if ord(c) not in self.stands and holds_newer(c):
+                self.stands[ord(c)] = next((s for kind, s in (("L", "é"), ("N", "٣")) if library_matches(rf"\p{{{kind}}}", c)), "\ue000")
+        return [text[m.start() : m.end()] for m in self.spans(text.translate(self.stands))]
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
@@ -133,6 +161,17 @@ class Encoder:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def library_matches(pattern: str, text: str) -> bool:
+    return bool(_matcher(pattern).encode_ordinary(text))
+
+
+@lru_cache(maxsize=4)
+def _matcher(pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("matches", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 

@@ -6,13 +6,17 @@ functions, so that two sets share a coordinate's token with probability of their
 similarity. Each run starts from one coordinate and splits all sets by their token there. A
 bucket of few sets is compared by brute force. A larger one is split again, by three
 coordinates chosen by its path, unless its sets are alike on average: then it goes to the
-brute-force step whole. ``runs_for`` gives the number of runs for the wanted recall.
+exact step whole, as does what is left after ``DEEPEST`` splits. ``runs_for`` gives the number of
+runs for the wanted recall by the first coordinate; a split by three branches loses less than a
+hundredth of a run's pairs besides.
 
 Comparing in buckets yields a forest of candidates. Within each of its trees all pairs are
 verified on the whole shingle sets, in pairs of blocks, by sparse-to-dense matrix products.
 
 Defined cases: texts that are null or without a word have no set and link with nothing. Rows of
-equal texts are linked copies, also where their ids are equal. Each row is returned.
+equal texts are linked copies, also where their ids are equal or null: sets are found by their
+digests, never by ids. A class of rows without any id has the class id null. Each row is
+returned. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,10 +97,10 @@ def digest(own: np.ndarray) -> bytes:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the shingle set, null if empty), size, sketch."""
+    """doc_id, hash, key (digest of the shingle set, null if empty), size, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, 4 << 20):
+        for ids, texts in slices(batches):
             h, at = shingles(texts)
             sketch = iter(sketches(h, at))
             keys, sizes, rows_ = [], [], []
@@ -105,21 +109,21 @@ def signatures(rows: DataFrame) -> DataFrame:
                 keys.append(digest(own) if len(own) else None)
                 sizes.append(len(own))
                 rows_.append(next(sketch) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows_, pa.list_(pa.int32()))], ["doc_id", "key", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([*ids.flatten(), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows_, pa.list_(pa.int32()))], ["doc_id", "hash", "key", "size", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, key binary, size long, sketch array<int>")
+    return rows.selectExpr("struct(doc_id, hash) id", "text").mapInArrow(run, "doc_id long, hash long, key binary, size long, sketch array<int>")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
     """key and shingle set (sorted 64-bit hashes) of texts that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, 4 << 20):
+        for _, texts in slices(batches):
             h, at = shingles(texts)
             own = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "set"])
 
-    return rows.mapInArrow(run, "key binary, set binary")
+    return rows.select("doc_id", "text").mapInArrow(run, "key binary, set binary")
 
 
 def child_paths(path: Column) -> Column:
@@ -214,20 +218,28 @@ def similar_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: f
     return np.nonzero(np.triu(good, 1) if b is None else good)
 
 
-def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_links, class_id (least doc_id of the component) of every row."""
-    scratch = Scratch(spark, "jaccard")
-    rows = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
+def hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text", f"xxhash64(`{text}`) hash")
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return (a["hash"] == b["hash"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+
+def linked(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all ``rows`` (doc_id, text, hash); one row a set: key, first (the row that
+    stands for it: none, doc_id, hash), copies; and what the pairs of blocks found."""
     every = scratch.save(signatures(rows), "signatures")
     some = every.where("key is not null")
-    reps = some.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"))
-    reps = scratch.save(reps, "reps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    reps = some.groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"))
+    reps = scratch.save(reps.withColumn("least", F.col("first.doc_id")), "reps")
     trees = connected_components(scratch, scratch.save(candidate_forest(scratch, reps), "candidates"), "trees")
-    members = scratch.save(reps.select("key", "least", "copies", "size").join(trees, "key").withColumnRenamed("root", "tree"), "members")
+    members = scratch.save(reps.select("key", "first", "copies", "size").join(trees, "key").withColumnRenamed("root", "tree"), "members")
     trees = scratch.save(members.groupBy("tree").agg(F.count("*").alias("count"), F.sum("size").alias("total")), "sizes")
-    wanted = members.select(F.col("least").alias("doc_id")).distinct()
-    sets = scratch.save(sets_of(rows.join(wanted, "doc_id", "left_semi")), "sets")
-    full = sets.join(members.select("key", "copies", "tree"), "key").join(trees, "tree").dropDuplicates(["key"])
+    wanted = members.select("first.doc_id", "first.hash").distinct()
+    sets = scratch.save(sets_of(rows.join(wanted, same_row(rows, wanted), "left_semi")), "sets")
+    full = sets.groupBy("key").agg(F.any_value("set").alias("set")).join(members.select("key", "copies", "tree"), "key").join(trees, "tree")
     by_count, by_bytes = blocks_of(F.col("count"), 64, 16, 512), F.ceil(F.col("total") / (1 << 21)).cast("int")
     pairs = dealt(full.select("tree", "key", "copies", "set", "count", "total"), ["tree"], "key", F.greatest(by_count, by_bytes)).drop("count", "total")
 
@@ -247,12 +259,34 @@ def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str
             links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
             yield found_batch(keys, links, least_roots(keys, i, j))
 
-    found = scratch.save(pairs.mapInArrow(run, FOUND), "found")
+    return every, reps, scratch.save(pairs.mapInArrow(run, FOUND), "found")
+
+
+def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_links, class_id (least doc_id of the component) of every row."""
+    scratch = Scratch(spark, "jaccard")
+    every, reps, found = linked(scratch, hashed(docs, doc_id, text))
     return results(scratch, every, reps, found, "doc_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the least id, once. Rows without an id stay."""
-    stay = join(spark, docs, doc_id, text).where("doc_id = class_id").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(stay, F.col(doc_id).cast("long") == F.col("__stay"), "left_semi").dropDuplicates([doc_id, text])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of ``docs`` of each class, one with the least id, and all rows without a word.
+
+    Rows are known by id and text: an id with two texts is two documents, and of rows without
+    an id one of each class stays too. Of equal rows one stays.
+    """
+    scratch = Scratch(spark, "classes")
+    every, reps, found = linked(scratch, hashed(docs, doc_id, text))
+    roots = connected_components(scratch, found.select(F.col("key").alias("a"), F.col("root").alias("b")), "classes")
+    tops = reps.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    tops = tops.select("first.doc_id", "first.hash", F.lit(True).alias("once"))
+    stay = scratch.save(tops.unionByName(every.where("key is null").select("doc_id", "hash", F.lit(False).alias("once")).distinct()), "stay")
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{doc_id}`").cast("long").alias("__id"), F.xxhash64(f"`{text}`").alias("__hash"))
+    stay = stay.toDF("__stay_id", "__stay_hash", "__once")
+    kept = own.join(stay, (F.col("__hash") == F.col("__stay_hash")) & F.col("__id").eqNullSafe(F.col("__stay_id")))
+    again = every.where("key is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "hash")
+    again = scratch.save(again, "again").toDF("__again_id", "__again_hash")
+    kept = kept.join(again, (F.col("__hash") == F.col("__again_hash")) & F.col("__id").eqNullSafe(F.col("__again_id")), "left")
+    more = F.col("__once") & F.col("__again_hash").isNotNull()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.where(~more).select(*names).unionByName(kept.where(more).dropDuplicates(["__id", "__hash"]).select(*names))

@@ -1,12 +1,16 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
-A dictionary per language holds excerpts of a bounded sample of its labelled texts. A whole
-text is encoded, block by block, with every dictionary; the language whose dictionary gives the
-fewest bytes wins. A narrow relative margin between the two best rejects the prediction.
+A dictionary per language holds a bounded sample of the passages of its labelled texts; every
+passage of every such text may be drawn, and the drawn ones are in it whole. A whole text is
+encoded, block by block, with every dictionary; the language whose dictionary gives the fewest
+bytes wins. A narrow relative margin between the two best rejects the prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected, as is
 any text if nothing was learned. Equal sizes go to the language first in order. Repeated rows
-are each returned. Only ``text`` takes part in a prediction.
+are each returned; in learning, repeated rows may take several places of the sample. A null id
+is not held out. An empty table gives no predictions and nothing learned. Only ``text`` takes
+part in a prediction; other columns are ignored. Every learned language costs its dictionary in
+each worker's memory and one encoding a text, whatever their number.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .bytecoder import slices
 
-#: Bounds of the sample: texts a language, characters of each, bytes of a dictionary, languages.
-TEXTS, EXCERPT, DICTIONARY, LANGUAGES = 96, 4000, 110_000, 256
+#: Bound of the sample: passages a language, and code points of a passage.
+PASSAGES, PASSAGE = 48, 2000
 BLOCK = 32_768
 #: Compressible by any dictionary: without it a short text is stored as it is, at equal size.
 FILLER = b"\n" + b"-" * 120
-CODING = {"strategy": zstandard.STRATEGY_LAZY2, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 3, "min_match": 4, "target_length": 16}
+CODING = {"strategy": zstandard.STRATEGY_LAZY2, "window_log": 19, "hash_log": 17, "chain_log": 19, "search_log": 3, "min_match": 4, "target_length": 16}
 #: Relative margin below which a prediction is rejected.
 NARROW = 0.01
 
@@ -38,30 +42,28 @@ def normal(texts: pa.Array) -> pa.Array:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language.
 
-    The sample takes the ids with the least hashes of each language; the window limit drops
-    other rows before the shuffle, and only ids take part. Texts of these few ids follow.
+    The sample takes the passages with the least hashes of each language; the window limit drops
+    other rows before the shuffle, and only hashes take part. A second pass fetches the passages.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = rows.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by xxhash64(doc_id), doc_id) n").where(f"n <= {TEXTS}")
-    few = ids.select("lang", "doc_id").distinct().collect()  # TEXTS for each language at most
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.char_length("text") / PASSAGE).cast("int") - 1)))
+    rows = rows.select("doc_id", "lang", at.alias("at"), "text").selectExpr("lang", f"substring(text, at * {PASSAGE} + 1, {PASSAGE}) text", "doc_id", "at")
+    rows = rows.selectExpr("lang", "text", "xxhash64(lang, doc_id, at, text) h")
+    few = rows.selectExpr("lang", "h", "row_number() over (partition by lang order by h) n").where(f"n <= {PASSAGES}").select("h").distinct().collect()  # PASSAGES for each language at most
     if not few:
         return {}
-    if len({r.lang for r in few}) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in few], f"doc_id {dict(rows.dtypes)['doc_id']}"))
-    texts = rows.join(chosen, "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, EXCERPT).alias("text")).distinct()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r.h,) for r in few], "h long"))
     by: dict[str, list[str]] = {}
-    for r in texts.orderBy("lang", F.xxhash64("doc_id"), "text").collect():
+    for r in rows.join(chosen, "h", "left_semi").distinct().orderBy("lang", "h").collect():
         by.setdefault(r.lang, []).append(r.text)
-    return {k: " ".join(normal(pa.array(v)).to_pylist()).encode()[:DICTIONARY] for k, v in sorted(by.items())}
+    return {k: " ".join(normal(pa.array(v)).to_pylist()).encode() for k, v in sorted(by.items())}
 
 
 class Sizes:
@@ -90,7 +92,7 @@ class Sizes:
 
 def predict(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected."""
-    shared = spark.sparkContext.broadcast(content)  # LANGUAGES x DICTIONARY bytes at most
+    shared = spark.sparkContext.broadcast(content)  # PASSAGES passages a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sizes(shared.value)

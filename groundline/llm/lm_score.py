@@ -10,13 +10,12 @@ The models grow with the input and lie in no one place: texts are dealt into chu
 megabytes; each chunk sends its different bigrams, then its words, as hashes of 64 bits, to
 buckets, which sum them over all chunks and send back the sums that the chunk needs to score its
 texts. All is one query, so the texts are dealt out once and read again for each of the steps.
-Bounds (``size`` words, ``bigrams`` explicit ones) hold only if a caller sets them: then a small
-model is broadcast, all other words are one unknown word, other bigrams are scored by unigrams,
-and what shares the last count that fits only in part is left out.
 
 Defined cases: a text that is null or has no word has no tokens and null losses. Without any
-target document both models are the background. Repeated rows count as often as they occur.
-Labels of one document agree if any says 1.
+target document both models are the background. Repeated rows count as often as they occur and
+are each returned. Rows with a null id count for the background only. Labels of one document
+agree if any says 1; labels without an id or of no document count for nothing. An empty table
+gives no scores. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytecoder import slices
-from .common import Scratch
 
-#: Sizes of a small model of which a caller bounds only one, and the longest word in it.
-VOCABULARY, BIGRAMS, LONGEST = 30_000, 200_000, 64
 DISCOUNT = 0.5
-#: Bytes of text that are counted together before counts are shuffled.
-TASK = 32 << 20
 #: Bytes of text in a chunk, on average.
 CHUNK = 8 << 20
 #: Stands for the word before a text's first one.
@@ -57,101 +50,6 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), np.append(0, np.cumsum(full))[offsets]
 
 
-def most_frequent(counted: DataFrame, bound: int) -> DataFrame:
-    """The rows whose ``n`` is so high that at most ``bound`` rows have it or a higher one.
-
-    Rows are tallied by n up to 64, then by sixteenths of an octave: some hundred tallies, however
-    many rows. So no task sorts more than what is kept, and equal counts stay or go together.
-    """
-    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * 16) - 32)
-    tallies = counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()
-    cut, total = None, 0
-    for t in sorted(tallies, key=lambda t: -t.least):
-        total += t.rows
-        if total > bound:
-            break
-        cut = t.least
-    return counted.where(F.lit(False) if cut is None else F.col("n") >= cut)
-
-
-def vocabulary(docs: DataFrame, scratch: Scratch, size: int) -> list[str]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, TASK):
-            found = words_of(texts)[0].value_counts()
-            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
-
-    counted = docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = scratch.save(counted.where(F.octet_length("word") <= LONGEST), "words")
-    top = most_frequent(counted, size).select("word").collect()  # ``size`` words of LONGEST bytes at most
-    scratch.drop("words")
-    return sorted(r.word for r in top)
-
-
-def token_ids(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (the unknown word is ``len(words)``), the ids before them (a text's start is one more), offsets."""
-    flat, offsets = words_of(texts)
-    ids = pc.fill_null(pc.index_in(flat, words), len(words)).to_numpy(zero_copy_only=False).astype(np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    before[starts] = len(words) + 1
-    return ids, before, offsets
-
-
-def bigram_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """pair, n (in all documents), t (in target documents); summed within a task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(words, pa.string())
-        base = len(words) + 2
-        for flags, texts in slices(batches, TASK):
-            ids, before, offsets = token_ids(texts, known)
-            pair, at = np.unique(before * base + ids, return_inverse=True)
-            target = np.repeat(flags.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, minlength=len(pair)).astype(np.int64)), pa.array(np.bincount(at, target, len(pair)).astype(np.int64))], ["pair", "n", "t"])
-
-    return docs.mapInArrow(run, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-class Bigrams:
-    """Log probabilities of one model: explicit ones by pair, and two parts for the rest."""
-
-    def __init__(self, base: int, pairs: np.ndarray, counts: np.ndarray, history: np.ndarray, unigrams: np.ndarray):
-        before, word = pairs // base, pairs % base
-        unigram = (unigrams + 1.0) / (unigrams.sum() + base)
-        total = np.maximum(history, 1.0)
-        seen = np.maximum(counts - DISCOUNT, 0) / total[before]
-        rest = np.maximum(1e-9, 1 - np.bincount(before, seen, base))
-        self.pair = np.log(seen + rest[before] * unigram[word])
-        self.rest, self.unigram = np.log(rest), np.log(unigram)
-
-    def logs(self, before: np.ndarray, word: np.ndarray, at: np.ndarray, explicit: np.ndarray) -> np.ndarray:
-        out = self.rest[before] + self.unigram[word]
-        out[explicit] = self.pair[at[explicit]]
-        return out
-
-
-def fit(spark: SparkSession, docs: DataFrame, good: DataFrame, scratch: Scratch, size: int, bigrams: int) -> tuple[list[str], np.ndarray, Bigrams, Bigrams]:
-    """Only the bigrams' pass needs to know the target documents; there the texts are dealt by id once."""
-    words = vocabulary(docs, scratch, size)
-    base = len(words) + 2
-    flagged = docs.join(good.hint("merge"), "doc_id", "left").selectExpr("coalesce(target, false) target", "text")
-    counted = scratch.save(bigram_counts(flagged, words), "pairs")
-    sums = {}
-    for name, key in (("history", f"cast(pair / {base} as long)"), ("word", f"pair % {base}")):
-        rows = counted.groupBy(F.expr(key).alias("k")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()  # the vocabulary at most
-        for c in ("n", "t"):
-            full = np.zeros(base)
-            full[rows["k"].to_numpy()] = rows[c].to_numpy()
-            sums[name, c] = full
-    top = most_frequent(counted, bigrams).toArrow().sort_by("pair")
-    pairs = top["pair"].to_numpy()
-    background = Bigrams(base, pairs, top["n"].to_numpy(), sums["history", "n"], sums["word", "n"])
-    some = sums["word", "t"].sum() > 0
-    target = Bigrams(base, pairs, top["t"].to_numpy(), sums["history", "t"], sums["word", "t"]) if some else background
-    return words, pairs, target, background
-
-
 def packed(a: np.ndarray) -> bytes:
     """Whole numbers from 0 in the narrowest type, compressed; its letter first."""
     kind = np.min_scalar_type(int(a.max(initial=0)))
@@ -308,10 +206,8 @@ def scored(table: pa.Table, sent: pa.Table, buckets: int) -> pa.Table:
     return pa.table([ids, pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, size: int | None = None, bigrams: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score."""
-    if size is not None or bigrams is not None:
-        return score_bounded(spark, docs, labels, VOCABULARY if size is None else size, BIGRAMS if bigrams is None else bigrams, doc_id, text)
     octets = docs.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
     chunks = buckets = max(1, -(-octets // CHUNK))
     texts = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
@@ -324,32 +220,3 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, size: int | N
     every = words.where(f"kind = {TOTALS}").groupBy("kind").applyInArrow(lambda t: totals(t, chunks), ROWS)
     sent = pairs.unionByName(words.where(f"kind = {WORD_SUMS}")).unionByName(every).groupBy("chunk")
     return dealt.cogroup(sent).applyInArrow(lambda t, sent: scored(t, sent, buckets), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def score_bounded(spark: SparkSession, docs: DataFrame, labels: DataFrame, size: int, bigrams: int, doc_id: str, text: str) -> DataFrame:
-    """The same by a small model that is broadcast."""
-    scratch = Scratch(spark, "lm")
-    texts = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
-    good = labels.where("quality = 1").selectExpr("cast(doc_id as long) doc_id", "true as target").distinct()
-    shared = spark.sparkContext.broadcast(fit(spark, texts, good, scratch, size, bigrams))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, target, background = shared.value
-        known, base = pa.array(words, pa.string()), len(words) + 2
-        for keys, part in slices(batches):
-            ids, before, offsets = token_ids(part, known)
-            key = before * base + ids
-            at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-            explicit = pairs[at] == key if len(pairs) else np.zeros(len(key), bool)
-            n = np.diff(offsets)
-            losses = []
-            for model in (target, background):
-                total = np.zeros(len(n))
-                if len(ids):
-                    total[n > 0] = np.add.reduceat(-model.logs(before, ids, at, explicit), offsets[:-1][n > 0])
-                losses.append(total / np.maximum(n, 1))
-            none = n == 0
-            cols = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -8,10 +8,11 @@
    short lengths go, longest first, where they fit best.
 3. The plan is a list of runs ("so many sequences with these lengths"), never of documents. A
    piece finds its sequence by its length and its ordinal among the pieces of that length;
-   ordinals come from counts by (length, salt), so that no length is gathered in one task.
+   ordinals come from counts by (length, salt), with as many salts as a length has pieces by
+   ``PART``, so that no length is gathered in one task.
 
-Defined cases: null counts as the empty text: one piece with the end token only. Repeated rows
-are packed each for itself. An empty table gives no pieces. Other columns are ignored.
+Defined cases: null counts as the empty text: one piece with the end token only. Ids may be null
+or equal: rows are packed each for itself. An empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .bpe import read_ranks
 from .bytecoder import Units, slices
 from .common import Scratch
 
-#: Parts that each length's pieces are dealt into to be numbered.
-SALT = 128
+#: Pieces of one length that are numbered in one part.
+PART = 200_000
 
 
 class LibraryEncoder:
@@ -47,7 +48,10 @@ class LibraryEncoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        self.units = Units(pattern, self._coded)
+        self.units = Units(pattern, self._coded, self._newer)
+
+    def _newer(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
         one = self.fast._encode_single_piece
@@ -264,14 +268,14 @@ def seats(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def pack(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str, pattern: str, size: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(spark, "packing")
-    salted = pieces(docs, path, ranks_path, pattern, size, end, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).cast("int"))
-    cut = scratch.save(salted, "pieces")
-    counts = cut.groupBy("length", "salt").count().orderBy("length", "salt").collect()  # size * SALT rows at most
-    before: dict[int, np.ndarray] = {}
-    histogram: dict[int, int] = defaultdict(int)
-    for length, salt, n in counts:
-        before.setdefault(length, np.zeros(SALT + 1, np.int64))[salt + 1] = n
-        histogram[length] += n
+    cut = scratch.save(pieces(docs, path, ranks_path, pattern, size, end, doc_id, text), "pieces")
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # a row a length
+    salts = {x: -(-n // PART) for x, n in histogram.items()}
+    dealt = F.array(*[F.lit(salts.get(x, 1)) for x in range(size + 1)])
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(dealt, F.col("length").cast("int"))).cast("int"))
+    before = {x: np.zeros(n + 1, np.int64) for x, n in salts.items()}
+    for length, salt, n in cut.groupBy("length", "salt").count().collect():  # a row for every PART pieces, and one a length
+        before[length][salt + 1] = n
     before = {x: np.cumsum(v) for x, v in before.items()}
     table = spark.sparkContext.broadcast((before, seats(plan(histogram, size))))
 
@@ -290,6 +294,6 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str, patte
             keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(out, pa.int64())], [*keep, "sequence_id"])
 
-    numbered = cut.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece) nth")
+    numbered = cut.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32, start) nth")
     seated = numbered.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long")
     return seated.selectExpr("*", "sum(length) over (partition by sequence_id order by length desc, doc_id, piece, start rows between unbounded preceding and current row) - length as offset")

@@ -103,6 +103,37 @@ def test_jaccard_repeated_rows_and_empty_table(spark, texts):
     assert jaccard.one_of_each(spark, nobody).count() == 2
 
 
+def test_jaccard_links_rows_without_ids_and_ids_with_two_texts(spark):
+    rng = random.Random(31)
+    long = words(rng, 200)
+    near, other = long.replace(long.split()[100], "changed"), words(rng, 50)
+    rows = [(None, long), (None, near), (None, long), (7, other), (7, long), (8, near), (None, None), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_links, str(r.doc_id), str(r.class_id)) for r in jaccard.join(spark, docs).collect())
+    assert got == sorted([*[(4, "None", "7")] * 3, (0, "7", "7"), (4, "7", "7"), (4, "8", "7"), *[(0, "None", "None")] * 2, *[(0, "9", "9")] * 2])
+    kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard.one_of_each(spark, docs).collect())
+    assert kept == sorted([("7", other), ("7", long), *[("None", "None")] * 2, *[("9", "")] * 2])
+    alone = docs.where("doc_id is null and text is not null")
+    assert jaccard.one_of_each(spark, alone).count() == 1 and {r.n_links for r in jaccard.join(spark, alone).collect()} == {2}
+
+
+def test_jaccard_recall_when_large_buckets_split(spark, monkeypatch):
+    """Pairs just above the threshold among many that share a passage, so that buckets exceed a leaf."""
+    monkeypatch.setattr(jaccard, "LEAF", 16)
+    rng = random.Random(77)
+    passage = words(rng, 40)
+    every = []
+    for _ in range(300):
+        own = words(rng, 100, 100_000).split()
+        near = list(own)
+        near[rng.randrange(10, 90)] = "other"  # five of some ninety shingles
+        near[-1] = "end"
+        every += [passage + " " + " ".join(own), passage + " " + " ".join(near)]
+    want = brute_links(every)
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark, frame(spark, every)).collect()}
+    assert sum(map(len, want)) >= 600 and sum(got.values()) >= 0.999 * sum(map(len, want)) and all(got[i] <= len(w) for i, w in enumerate(want))
+
+
 def test_exact_threshold_is_a_link():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     assert [len(x) for x in jaccard.similar_pairs([a, b], None)] == [1, 1]
@@ -181,16 +212,52 @@ def test_byte_bpe_is_the_library(spark, strange):
     assert bytecoder.encode_documents(df.where("false"), path, tokenizers.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("chunk", (token_count.TEXT_CHUNK, 7))
-def test_token_counts_are_the_library(spark, strange, monkeypatch, chunk):
+def any_code_points(n, rng):
+    """Texts of code points of all planes, assigned or not, among contractions, digits and blanks."""
+    planes = (0x80, 0x3400, 0x20000, 0x35000, 0x110000)
+
+    def one():
+        if rng.random() < 0.5:
+            return rng.choice(("a", "B", "'s", "'ll", " ", "1", "\n", "!"))
+        code = rng.randrange(rng.choice(planes))
+        return chr(code) if not 0xD800 <= code < 0xE000 else "x"
+
+    return ["".join(one() for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("chunk", "lane", "most"), ((token_count.CHUNK, token_count.LANE, token_count.TRANSITIONS), (3, 5, 100)))
+def test_token_counts_are_the_library(spark, strange, monkeypatch, chunk, lane, most):
+    """Also in short chunks, and with an automaton that is compiled anew for each slice."""
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
-    monkeypatch.setattr(token_count, "TEXT_CHUNK", chunk)
+    for name, value in (("CHUNK", chunk), ("LANE", lane), ("TRANSITIONS", most)):
+        monkeypatch.setattr(token_count, name, value)
     own = token_count.Counter(queries.tokenizer_file("word_bpe_49k.json"))
-    assert own.count(pa.array(strange)).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in strange]
+    rng = random.Random(11)
+    every = [*strange, *any_code_points(8000, rng), *("".join(rng.choice("etaoinshr'") for _ in range(rng.randint(1, 30))) for _ in range(3000))]
+    for part in (every[: len(every) // 2], every[len(every) // 2 :]):
+        assert own.count(pa.array(part)).tolist() == [len(x.ids) for x in library.encode_batch(part, add_special_tokens=False)]
+    assert own.count(pa.array([], pa.string())).tolist() == []
     got = {r.doc_id: r for r in token_count.count_documents(clashing(frame(spark, [*ODD, "a b " * 1100])), queries.tokenizer_file("word_bpe_49k.json")).collect()}
     assert (got[0].n_tokens, got[0].n_bytes, got[0].over_limit) == (0, 0, False) and got[len(ODD)].over_limit
 
 
+def test_every_token_is_encoded_as_itself():
+    merges = token_count.Counter(queries.tokenizer_file("word_bpe_49k.json")).automaton.merges
+    assert all(map(merges.encodes_itself, range(49_406))) and sum(t >= 0 for t in merges.token) == 49_406
+
+
+def test_byte_codings_of_any_code_point_are_the_libraries():
+    tiktoken, library = pytest.importorskip("tiktoken"), pytest.importorskip("tokenizers")
+    texts = any_code_points(15_000, random.Random(2))
+    path = queries.tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    whole = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = [np.array(x, "<u4").tobytes() for x in whole.encode_ordinary_batch(texts)]
+    assert bytecoder.Encoder(path, tokenizers.PATTERN).encode(pa.array(texts)) == want
+    files = [queries.tokenizer_file(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.Tokenizer.from_file(files[0]).encode_batch(texts, add_special_tokens=False)]
+    assert packing.LibraryEncoder(*files, tokenizers.PATTERN).encode(pa.array(texts)) == want
+
+
 def test_state_maps_compose():
     step, _ = token_count.compile_splitter()
     cls = np.random.default_rng(5).integers(0, 10, 200)
@@ -302,7 +369,7 @@ def test_language(spark):
     every = [text(langs[i], 40) for i in range(300)]
     docs = frame(spark, [*every, None, "123 !!", ""], lang={**langs, 300: "xa", 301: "xb", 302: None})
     content = language.learn(docs)
-    assert sorted(content) == list(kinds) and all(len(v) <= language.DICTIONARY for v in content.values())
+    assert sorted(content) == list(kinds) and all(len(v.decode()) <= language.PASSAGES * (language.PASSAGE + 1) for v in content.values())
     got = {r.doc_id: r for r in language.predict(spark, clashing(docs), content).collect()}
     assert np.mean([got[i].lang_pred == langs[i] for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.97
     assert [got[i].lang_pred for i in (300, 301, 302)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
@@ -460,8 +527,8 @@ def test_every_word_and_bigram_is_in_the_model(spark, monkeypatch):
     assert got[0].target_loss == pytest.approx(target) and got[1].target_loss > 10 and len(got) == texts
 
 
-def test_small_vocabulary_and_no_target(spark):
+def test_no_target(spark):
     every = ["a b a b c", "a c b", "d"]
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    rows = lm_score.score(spark, frame(spark, every), labels, size=2, bigrams=3).collect()
+    rows = lm_score.score(spark, frame(spark, every), labels).collect()
     assert all(r.score == 0 for r in rows)
