@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,10 @@ def test_exact_threshold_is_a_link():
     assert [len(x) for x in jaccard.similar_pairs([a, a[:7]], None)] == [0, 0]
 
 
-def test_vectors_are_brute_force(spark):
+@pytest.mark.parametrize("leaf", (vectors.LEAF, 40))
+def test_vectors_are_brute_force(spark, monkeypatch, leaf):
+    """With small leaves labels are cut into cells, in several runs, and large buckets go in blocks."""
+    monkeypatch.setattr(vectors, "LEAF", leaf)
     rng = np.random.default_rng(2)
     rows = []
     for i in range(700):
@@ -150,25 +154,44 @@ def test_vectors_are_brute_force(spark):
         near = rows[i % 40][1] + rng.normal(size=16) * 0.1
         rows.append((i, near, rows[i % 40][2]))
     rows += [(2000 + k, rows[5][1], rows[5][2]) for k in range(30)]
-    odd = [(3000, None, 1), (3001, [0.0] * 16, 1), (3002, [float("nan")] * 16, 1), (3003, [None, 1.0], 1), (3004, [1.0, 0.0], 1), (3005, [2.0, 0.0], 1), (3006, [1.0] * 16, None), (3007, [1.0] * 16, None), (3008, [], 1), (3009, [float("inf")] * 16, 1)]
+    odd = [(3000, None, 1), (3001, [0.0] * 16, 1), (3002, [float("nan")] * 16, 1), (3003, [None, 1.0], 1), (3004, [1.0, 0.0], 1), (3005, [2.0, 0.0], 1), (3006, [1.0] * 16, None), (3007, [1.0] * 16, None), (3008, [], 1), (3009, [float("inf")] * 16, 1), (3010, [1e200, 1e200], 1), (3011, [1e-310, 1e-310], 1), (None, [3.0, 3.0], 1)]
     data = [(i, [float(x) for x in v], label) for i, v, label in rows] + odd
     df = clashing(spark.createDataFrame(data, "vec_id long, embedding array<double>, label0 int").withColumnRenamed("label0", "lab")).drop("label").withColumnRenamed("lab", "label")
     got = {r.vec_id: r for r in vectors.near_duplicates(spark, df).collect()}
     found = {i: set() for i, _, _ in data}
-    good = [(i, np.array(v), label) for i, v, label in data if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    sized = lambda v: np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+    good = [(i, sized(np.array(v)), label) for i, v, label in data if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     for a, (i, v, lv) in enumerate(good):
         for j, w, lw in good[:a]:
             if lv == lw and len(v) == len(w) and v @ w / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.93:
                 found[i].add(j)
                 found[j].add(i)
-    order = sorted(found)
+    order = sorted(found, key=lambda k: (k is None, k))
     at = {k: n for n, k in enumerate(order)}
     ids = classes([{at[x] for x in found[k]} for k in order])
     assert {k: (len(found[k]), order[ids[at[k]]]) for k in order} == {k: (r.n_links, r.component_id) for k, r in got.items()}
-    assert got[3004].n_links == 1 and got[3006].n_links == 0
+    assert got[3004].n_links == 1 and got[3006].n_links == 0 and got[3010].n_links == 2 == got[None].n_links
     assert vectors.near_duplicates(spark, df.where("false")).count() == 0
 
 
+def test_cut_labels_keep_pairs_at_the_threshold():
+    """Recall of the runs against pairs of exactly the threshold, and few buckets to a random pair."""
+    rng = np.random.default_rng(8)
+    for dim in (2, 5, 64):
+        a = rng.normal(size=(4000, dim))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        b = rng.normal(size=a.shape)
+        b -= (a * b).sum(1)[:, None] * a
+        b = 0.93 * a + sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+        for count in (5000, 1_000_000):
+            cut = vectors.cuts(count, 0.93, vectors.LEAF)
+            x, y = vectors.cells(a, cut, 0.93), vectors.cells(b, cut, 0.93)
+            assert (x == y).any(1).mean() >= 0.999
+            if dim == 64:
+                assert (x == np.roll(x, 1, 0)).mean() * count < 2 * vectors.LEAF
+    assert vectors.cuts(vectors.LEAF, 0.93, vectors.LEAF) == 0 and vectors.runs(0, 64) == 1
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(60)] + [(b"x000", f"x{i:03d}".encode()) for i in range(1, 50)] + [(b"loop", b"loop")]
     df = spark.createDataFrame(edges, "a binary, b binary")
