@@ -6,7 +6,8 @@ method of moments; a host whose shrunk rate exceeds ``max_rate`` is rejected as
 
 Defined cases: a null or empty text has no words (counts 0, base rule fails). A null host is
 a host of its own. Repeated rows count as often as they occur, and each is returned. An empty
-table gives an empty result. Columns other than the three named ones are ignored.
+table gives an empty result. Ids may be null or equal. Columns other than the named ones are
+ignored, whatever their names; the named ones may have names of columns made here.
 """
 
 from __future__ import annotations
@@ -28,11 +29,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     whose hashes are not all different pay for sorting the windows by (hash, position).
     """
     own = [F.col(f"`{c}`") for c in docs.columns if c not in _OWN]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     a = docs.select(*own, F.filter(F.split(body, SPACES), lambda w: w != "").alias("__words"))
-    if text in _OWN:
-        raise ValueError(f"{text} is a column that this operator makes")
-    body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = a.select(
         *own,
@@ -96,11 +94,11 @@ def host_rules(spark: SparkSession, docs: DataFrame, keys: list[str], host: str
     host and the join of host rates back to the rows. ``keys`` may be all columns of ``docs``.
     """
     scratch = Scratch(spark, "quality")
-    need = list(dict.fromkeys([*keys, host]))
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*need, text])])
-    counted = with_counts(source, text)
+    names = {c: f"__in{n}" for n, c in enumerate(dict.fromkeys([*keys, host, text]))}
+    counted = with_counts(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text])
+    need = list(dict.fromkeys(names[c] for c in (*keys, host)))
     counted = scratch.save(counted.select(*need, *COUNTS, "base_failed", "rule_failed"), "counted")
-    rates = scratch.save(host_rates(counted, host).select("__host", "__rate"), "rates")
-    joined = counted.join(rates, counted[host].eqNullSafe(rates["__host"]), "left")
+    rates = scratch.save(host_rates(counted, names[host]).select("__host", "__rate"), "rates")
+    joined = counted.join(rates, counted[names[host]].eqNullSafe(rates["__host"]), "left")
     kept: Column = ~F.col("base_failed") & (F.col("__rate") <= max_rate)
-    return joined.select(*[counted[k] for k in keys], *COUNTS, "base_failed", F.col("__rate").alias("host_rate"), kept.alias("kept"))
+    return joined.select(*[counted[names[k]].alias(k) for k in keys], *COUNTS, "base_failed", F.col("__rate").alias("host_rate"), kept.alias("kept"))

@@ -1,14 +1,19 @@
 """Secret scan: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is any run of twelve or more credential characters. The network
-(embedding, one convolution, max pooling, logistic output; numpy only) reads the candidate and
-its surrounding characters, of a long one overlapping pieces; the highest output counts. It is trained on labelled findings: candidates of a bounded sample
-of documents, labelled by the fixed patterns, and generated credentials and harmless look-alikes.
-Its outputs are calibrated on held-out findings, and the threshold is the highest that keeps
-the required recall there. Its spans are added where no pattern's span lies; those always stay.
+A candidate is any run of twelve or more credential characters. The network (embedding, one
+convolution, max pooling, logistic output; numpy only) reads the candidate and its surrounding
+characters, of a long one overlapping pieces; the highest output counts. Its labelled findings
+owe nothing to the patterns. Secrets are credentials of known forms, written into places drawn
+from the documents. Harmless are look-alikes written there likewise, and the documents' own
+candidates that read like their short words: nearly all their letter triples occur in those.
+Candidates of which neither is known teach nothing. Outputs are calibrated on held-out findings,
+and the threshold is the highest that keeps the required recall there. The network's spans are
+added where no pattern's span lies; those always stay.
 
 Defined cases: null counts as the empty text, without findings. Spans count code points, end
-exclusive. Repeated rows are each returned.
+exclusive. Ids may be null or equal; repeated rows are each returned. An empty table gives an
+empty one, and a network taught by credentials and look-alikes alone. Other columns are ignored,
+or kept where secrets are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +40,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 KINDS = ("assign", "access", "hex", "network")
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
-#: Bounds of the training sample, and the recall that the threshold must keep.
-SAMPLE_DOCS, SAMPLE_FINDINGS, RECALL = 2000, 6000, 0.98
+#: Bounds of the training sample (documents, excerpts of each, characters of these, candidates),
+#: credentials and look-alikes that are written, and the recall that the threshold must keep.
+SAMPLE_DOCS, EXCERPTS, EXCERPT, SAMPLE_FINDINGS, WRITTEN, RECALL = 2000, 3, 240, 6000, 5000, 0.98
+#: Share of a candidate's letter triples that short words have too, if it reads like words.
+WORDLIKE = 0.9
 #: Plain words that are long enough to be candidates, or become so with a prefix.
 LONG_WORDS = """administration announcement appreciation approximately architecture championship characteristics
  circumstances collaboration communication comprehensive concentration configuration congratulations consciousness
@@ -74,8 +82,16 @@ def frames(start: int, end: int) -> list[tuple[int, int]]:
     return [(a, a + INSIDE) for a in (*range(start, end - INSIDE, INSIDE // 2), end - INSIDE)]
 
 
-def overlaps(spans: list[Span], start: int, end: int) -> bool:
-    return any(a < end and start < b for _, a, b in spans)
+def apart(found: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """Those of the ordered ``found`` that no span overlaps; one pass over both."""
+    taken, out, k, reach = sorted((a, b) for _, a, b in spans), [], 0, 0
+    for start, end in found:
+        while k < len(taken) and taken[k][0] < end:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= start:
+            out.append((start, end))
+    return out
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
@@ -161,8 +177,9 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))
 
 
-def generated(n: int, seed: int = 5) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): credentials of several forms, and look-alikes that are none."""
+def generated(n: int, seed: int = 5, places: list[tuple[str, str]] | None = None, forms: tuple[int, ...] | None = None) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): credentials (of these ``forms`` only) and look-alikes that are
+    none, in turn, each between the two halves of one of the ``places`` of a text."""
     rng = random.Random(seed)
     alnum, lower = string.ascii_letters + string.digits, string.ascii_lowercase
 
@@ -207,43 +224,88 @@ def generated(n: int, seed: int = 5) -> list[tuple[str, int, int, int]]:
         lambda: rng.choice("-_/.").join(rng.choice((long, spoken))() for _ in range(rng.randint(2, 4))),
         lambda: "".join(rng.choice((long, spoken))().capitalize() for _ in range(rng.randint(2, 3))),
         lambda: spoken() + spoken(),
+        lambda: (spoken() + spoken()).upper(),
     )
     out = []
     for i in range(n):
-        make = rng.choice(secret if i % 2 else plain)
+        make = rng.choice([secret[k] for k in forms] if i % 2 and forms else secret if i % 2 else plain)
         body = make()
         while len(body) < 12:
             body = body + rng.choice(string.digits) if i % 2 else spoken() + body
-        lead = " ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice((" ", " ", "\n", ": ", '="', " = "))
-        tail = rng.choice((" ", ".", '"', "\n", ", ")) + " ".join(word() for _ in range(rng.randint(0, 4)))
+        before, after = rng.choice(places) if places else (" ".join(word() for _ in range(rng.randint(0, 5))), " ".join(word() for _ in range(rng.randint(0, 4))))
+        lead, tail = before + rng.choice((" ", " ", " ", "\n", ": ", '="', " = ", " (")), rng.choice((" ", " ", ". ", '" ', "\n", ", ", ") ")) + after
         out.append((lead + body + tail, len(lead), len(lead) + len(body), i % 2))
     return out
 
 
-def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[tuple[bytes, int]]:
-    """Windows and labels of the candidates in a bounded sample of documents."""
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[bytes]]:
+    """Excerpts and windows of candidates of a bounded sample of documents; any place of a text may be drawn."""
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
     ids = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct().collect()
     if not ids:
-        return []
+        return [], []
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id,) for r in ids], "doc_id long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in slices(batches):
-            out = []
+            out: list[tuple[int, int, bool, bytes]] = []
             for x, key in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
-                base = base_spans(x)
-                out += [(key, a, window(x, a, b).astype("u1").tobytes(), int(overlaps(base, a, b))) for c in candidates(x) for a, b in sorted({frames(*c)[0], frames(*c)[-1]})]  # a long run must not outweigh others
+                for k in range(EXCERPTS):
+                    at = random.Random(f"{key} {k} {len(x)}").randrange(max(1, len(x) - EXCERPT))
+                    out.append((key, at, True, x[at : at + EXCERPT].encode()))
+                for c in candidates(x):
+                    for a, b in sorted({frames(*c)[0], frames(*c)[-1]}):  # a long run must not outweigh others
+                        out.append((key, a, False, window(x, a, b).astype("u1").tobytes()))
             cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "at", "win", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "at", "excerpt", "data"])
+
+    drawn = rows.join(chosen, "doc_id", "left_semi").mapInArrow(run, "doc_id long, at long, excerpt boolean, data binary")
+    least = lambda some, n: drawn.where(some).orderBy(F.xxhash64("doc_id", "at", "data"), "doc_id", "at").limit(n).collect()
+    excerpts = [bytes(r.data).decode() for r in least("excerpt", SAMPLE_DOCS * EXCERPTS)]
+    return excerpts, [bytes(r.data) for r in least("not excerpt", SAMPLE_FINDINGS)]
+
+
+def triples(word: str) -> set[str]:
+    return {f"^{word}$"[k : k + 3] for k in range(len(word))}
+
+
+def short_words(excerpts: list[str]) -> set[str]:
+    """Letter triples of words that are too short to be candidates, in two excerpts at least."""
+    once: set[str] = set()
+    twice: set[str] = set()
+    for x in excerpts:
+        own = set().union(*(triples(w) for w in re.findall("[a-z]{1,11}", " ".join(x.lower().split()[1:-1]))), set())
+        twice |= own & once
+        once |= own
+    return twice
+
 
-    found = rows.join(chosen, "doc_id", "left_semi").mapInArrow(run, "doc_id long, at long, win binary, label int")
-    rows_ = found.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "win").limit(SAMPLE_FINDINGS).collect()
-    return [(bytes(r.win), r.label) for r in rows_]
+def wordlike(win: bytes, known: set[str]) -> bool:
+    """Does the candidate in a window read like the documents' words? Few digits, and known triples."""
+    inside = bytes(c - 128 for c in win if c >= 128).decode("ascii")
+    own = [t for w in re.findall("[a-z]+", inside.lower()) for t in sorted(triples(w)) if t.isalpha()]
+    return sum(c.isdigit() for c in inside) <= 3 and len(own) >= 5 and sum(t in known for t in own) >= WORDLIKE * len(own)
+
+
+def in_capitals(win: bytes) -> bytes:
+    return bytes(c - 32 if chr(c & 127).islower() else c for c in win)
+
+
+def places_of(excerpts: list[str]) -> list[tuple[str, str]]:
+    """Texts before and after some blanks of the excerpts."""
+    out = []
+    for x in excerpts:
+        blanks = [m.start() for m in re.finditer(r"\s", x)]
+        out += [(x[:at], x[at + 1 :]) for at in blanks[3:-3:7]]
+    return out
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
-    data = findings(docs, doc_id, text) + [(window(t, a, b).astype("u1").tobytes(), y) for t, *c, y in generated(3000) for a, b in frames(*c)]
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forms: tuple[int, ...] | None = None) -> Network:
+    excerpts, found = sample(docs, doc_id, text)
+    known = short_words(excerpts)
+    own = [w for w in found if wordlike(w, known)]
+    data = [(w, 0) for w in (*own, *map(in_capitals, own[::5]))]
+    data += [(window(t, a, b).astype("u1").tobytes(), y) for t, *c, y in generated(WRITTEN, places=places_of(excerpts), forms=forms) for a, b in frames(*c)]
     x = np.array([np.frombuffer(w, "u1") for w, _ in data], np.int64)
     y = np.array([v for _, v in data], np.float64)
     rest = np.random.default_rng(3).random(len(x)) < 0.3
@@ -257,7 +319,7 @@ def scan_text(text: str, net: Network, assign: bool, access: bool, hexes: bool,
     """All spans, by start, then kind."""
     base = base_spans(text, assign, access, hexes)
     if runs:
-        free = [(a, b) for a, b in candidates(text) if not overlaps(base, a, b)]
+        free = apart(candidates(text), base)
         pieces = [(n, *f) for n, c in enumerate(free) for f in frames(*c)]
         highest = np.zeros(len(free))
         for i in range(0, len(pieces), 4096):

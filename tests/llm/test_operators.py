@@ -371,6 +371,12 @@ def test_quality_counts(spark, texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t), (i, t)
 
 
+def test_quality_with_clashing_names(spark):
+    docs = clashing(frame(spark, ["a b c " * 20, None])).withColumnRenamed("text", "base").withColumn("base_failed", F.col("base")).withColumn("__host", F.lit("x"))
+    got = quality.host_rules(spark, docs, ["doc_id"], text="base_failed").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.base_failed) for r in got] == [(0, 60, True), (1, 0, True)]
+
+
 def test_a_bad_host_is_rejected_and_a_small_one_is_not(spark):
     rng = random.Random(2)
     good, bad = words(rng, 40), "too short"
@@ -485,6 +491,34 @@ def test_a_secret_in_the_middle_of_a_long_run(spark):
         assert {i for a, b in secrets.frames(5, 5 + n) for i in range(a, b)} == set(range(5, 5 + n))
 
 
+def test_network_finds_forms_that_it_was_not_shown(spark):
+    """Taught without prefixed tokens, in the documents' own places; finds those where no pattern does, and leaves words alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") if os.path.isdir("/root/testdata/sf0.001") else frame(spark, [f"{words(random.Random(i), 40)} internationalization" for i in range(200)])
+    net = secrets.train(docs, forms=(0, 1, 2, 4, 7, 8, 9))
+    rng = random.Random(41)
+    rows = [r.text for r in docs.where("text is not null and n_chars > 100").orderBy("doc_id").limit(150).collect()]
+    form = lambda: "glpat-" + "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(24))
+    found = 0
+    for t in rows:
+        parts, secret = t.split(" "), form()
+        at = rng.randrange(len(parts) + 1)
+        planted = " ".join([*parts[:at], secret, *parts[at:]])
+        assert not any(planted[a:b] in secret and b - a > 15 for _, a, b in secrets.base_spans(planted) if planted[a:b] == secret)
+        found += any(planted[a:b] in (secret, secret + ".") for k, a, b in secrets.scan_text(planted, net, True, True, True, True) if k == 3)
+    assert found >= 0.8 * len(rows), found
+    clean = secrets.scan(spark, docs, net).agg(F.sum("n_network")).first()[0]
+    assert clean <= 0.02 * docs.count()
+
+
+def test_labels_owe_nothing_to_the_patterns():
+    known = secrets.short_words(["the inter nation and other words here x", "the inter nation and other words here y"])
+    win = lambda t, a: secrets.window(t, a, len(t)).astype("u1").tobytes()
+    assert secrets.wordlike(win("token = internationinter", 8), known)
+    assert not secrets.wordlike(win("plain qzxkvwqjpzxkq", 6), known) and not secrets.wordlike(win("24be64439e3e49cf", 0), known)
+    assert secrets.apart([(0, 5), (6, 9), (10, 20)], [(0, 4, 7), (2, 12, 13)]) == []
+    assert secrets.apart([(0, 4), (7, 9)], [(0, 4, 7), (1, 9, 30), (2, 10, 12)]) == [(0, 4), (7, 9)]
+
+
 def test_threshold_keeps_recall_below_one_half(monkeypatch):
     net, rng = secrets.Network(), np.random.default_rng(9)
     y = np.repeat([1.0, 0.0], [100, 900])
