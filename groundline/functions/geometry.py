@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84 ellipsoid and UTM grid.
@@ -98,11 +98,29 @@ def inset_factor(area_share: Column) -> Column:
 
 def inset(ring: Column, factor: Column, digits: int = 3) -> Column:
     """The ring shrunk towards its centroid; vertices rounded half up."""
-    c, by = centroid(ring), float(10**digits)
+    return drawn_in(ring, centroid(ring), factor, digits)
+
+
+def drawn_in(ring: Column, c: Column, factor: Column, digits: int) -> Column:
+    by = float(10**digits)
     near = lambda v, m: F.floor((m + (v - m) * factor) * by + 0.5) / by
     return F.transform(ring, lambda p: F.array(near(p[0], c["x"]), near(p[1], c["y"])))
 
 
+#: Square metres that a derived yard aims at, and the share of its parcel that it may take.
+YARD_AREA, PARCEL_SHARE = 9000.0, 0.45
+
+
+def with_recess_yard(parcels: DataFrame, parcel: str) -> DataFrame:
+    """``parcels`` with yard (the parcel drawn in towards its centroid to the aimed-at area) and the
+    whole square metres of both. A column a step, as each is named several times by the next."""
+    whole = lambda x: F.floor(x + 0.5).cast("bigint")
+    a = parcels.withColumns({"__area": ring_area(F.col(parcel)), "__c": centroid(F.col(parcel))})
+    share = F.least(F.lit(PARCEL_SHARE), F.lit(YARD_AREA) / F.greatest(F.lit(1.0), F.col("__area")))
+    a = a.withColumn("yard", drawn_in(F.col(parcel), F.col("__c"), inset_factor(share), 3))
+    return a.withColumns({"yard_area": whole(ring_area(F.col("yard"))), "parcel_area": whole(F.col("__area"))}).drop("__area", "__c")
+
+
 def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 

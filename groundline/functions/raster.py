@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .unknown import clamp, known, ratio
@@ -13,7 +13,7 @@ RHO_M_K = 1.438e-2
 KELVIN = 273.15
 EMISSIVITY_SLOPE, EMISSIVITY_BARE = 0.004, 0.986
 BARE_NDVI, FULL_NDVI = 0.2, 0.5
-CANOPY_NDVI = 0.6
+COVER_NDVI = 0.6
 #: Fill, dilated cloud, cirrus, cloud, shadow, snow: bits 0 to 5.
 UNUSABLE_BITS = 0b111111
 # Scaling of delivered products.
@@ -37,7 +37,7 @@ def radiance(dn: Column, gain: Column, offset: Column) -> Column:
 def brightness_temperature(rad: Column, k1: Column, k2: Column) -> Column:
     """Kelvin; radiance at or below zero is unknown."""
     rad = known(rad)
-    return F.when(rad > 0, k2 / F.ln(ratio(k1, rad) + 1))
+    return F.when(rad > 0, ratio(k2, F.ln(ratio(k1, rad) + 1)))
 
 
 def vegetation_share(v: Column, bare: float = BARE_NDVI, full: float = FULL_NDVI) -> Column:
@@ -46,7 +46,12 @@ def vegetation_share(v: Column, bare: float = BARE_NDVI, full: float = FULL_NDVI
 
 
 def emissivity(pv: Column) -> Column:
-    return known(pv) * EMISSIVITY_SLOPE + EMISSIVITY_BARE
+    return emissivity_of(known(pv))
+
+
+def emissivity_of(pv: Column) -> Column:
+    """Of a share that is known to be no NaN."""
+    return pv * EMISSIVITY_SLOPE + EMISSIVITY_BARE
 
 
 def surface_celsius(bt: Column, eps: Column) -> Column:
@@ -55,17 +60,29 @@ def surface_celsius(bt: Column, eps: Column) -> Column:
     return F.when((bt > 0) & (eps > 0) & (kelvin > 0), kelvin - KELVIN)
 
 
-def surface_temperature(dn: Column, v: Column, gain: Column, offset: Column, k1: Column, k2: Column) -> Column:
-    """Digital number and vegetation index of a thermal pixel to degrees Celsius."""
-    return surface_celsius(brightness_temperature(radiance(dn, gain, offset), k1, k2), emissivity(vegetation_share(v)))
+def with_surface_temperature(pixels: DataFrame, name: str, dn: Column, v: Column, gain: Column, offset: Column, k1: Column, k2: Column) -> DataFrame:
+    """``pixels`` with degrees Celsius from a thermal pixel's digital number and vegetation index.
+
+    One column a step: each is named several times by the next one, and would be written out
+    anew each time in a single expression.
+    """
+    a = pixels.withColumns({"__radiance": radiance(dn, gain, offset), "__share": (known(v) - BARE_NDVI) / (FULL_NDVI - BARE_NDVI), "__k1": k1, "__k2": k2})
+    a = a.withColumns({"__bt": F.when(F.col("__radiance") > 0, F.ln(ratio(F.col("__k1"), F.col("__radiance")) + 1)), "__share": clamp(F.col("__share"), 0, 1)})
+    a = a.withColumns({"__bt": ratio(F.col("__k2"), F.col("__bt")), "__eps": F.ln(emissivity_of(F.col("__share") * F.col("__share")))})
+    a = a.withColumn("__kelvin", ratio(F.col("__bt"), F.lit(1.0) + F.lit(WAVELENGTH_M / RHO_M_K) * F.col("__bt") * F.col("__eps")))
+    a = a.withColumn(name, F.when((F.col("__bt") > 0) & (F.col("__kelvin") > 0), F.col("__kelvin") - KELVIN))
+    return a.drop("__radiance", "__share", "__k1", "__k2", "__bt", "__eps", "__kelvin")
 
 
-def thermal_number(celsius: Column, v: Column, gain: Column, offset: Column, k1: Column, k2: Column) -> Column:
-    """The inverse of ``surface_temperature``."""
-    kelvin = known(celsius) + KELVIN
-    c = F.lit(WAVELENGTH_M / RHO_M_K) * F.ln(emissivity(vegetation_share(v)))
-    bt = ratio(kelvin, F.lit(1.0) - c * kelvin)
-    return ratio(ratio(k1, F.exp(ratio(k2, bt)) - 1) - offset, gain)
+def with_thermal_number(pixels: DataFrame, name: str, celsius: Column, v: Column, gain: Column, offset: Column, k1: Column, k2: Column) -> DataFrame:
+    """The inverse of ``with_surface_temperature``."""
+    a = pixels.withColumns({"__kelvin": known(celsius) + KELVIN, "__share": (known(v) - BARE_NDVI) / (FULL_NDVI - BARE_NDVI), "__k1": k1, "__k2": k2, "__gain": gain, "__offset": offset})
+    a = a.withColumn("__share", clamp(F.col("__share"), 0, 1))
+    a = a.withColumn("__eps", F.lit(WAVELENGTH_M / RHO_M_K) * F.ln(emissivity_of(F.col("__share") * F.col("__share"))))
+    a = a.withColumn("__bt", ratio(F.col("__kelvin"), F.lit(1.0) - F.col("__eps") * F.col("__kelvin")))
+    a = a.withColumn("__rad", ratio(F.col("__k1"), F.exp(ratio(F.col("__k2"), F.col("__bt"))) - 1))
+    a = a.withColumn(name, ratio(F.col("__rad") - F.col("__offset"), F.col("__gain")))
+    return a.drop("__kelvin", "__share", "__eps", "__k1", "__k2", "__gain", "__offset", "__bt", "__rad")
 
 
 def bands_for_ndvi(v: Column, brightness: Column) -> tuple[Column, Column]:
@@ -82,7 +99,7 @@ def usable(qa: Column) -> Column:
     return F.coalesce(known(qa).cast("bigint").bitwiseAND(F.lit(UNUSABLE_BITS)) == 0, F.lit(False))
 
 
-def is_canopy(v: Column, threshold: Column | float = CANOPY_NDVI) -> Column:
+def is_cover(v: Column, threshold: Column | float = COVER_NDVI) -> Column:
     return F.coalesce(known(v) >= threshold, F.lit(False))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REFUSAL = "cost not shown — one or more line items lack a cited source"
+REFUSAL = "withheld: a price without a source"
 
 
 def trimmed(s: Column) -> Column:
@@ -43,7 +43,7 @@ def lines(counts: DataFrame, items: DataFrame, class_keys: DataFrame, per_tree:
         "region",
         place.alias("ordinal"),
         "key",
-        F.coalesce("label", F.concat(F.lit('Unknown cost item "'), F.col("key"), F.lit('"'))).alias("label"),
+        F.coalesce("label", F.concat(F.lit('no such item: "'), F.col("key"), F.lit('"'))).alias("label"),
         "quantity",
         (F.col("low") * F.col("quantity")).alias("low"),
         (F.col("high") * F.col("quantity")).alias("high"),

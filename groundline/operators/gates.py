@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from ..functions.unknown import known
 
 REQUIRED_COVERAGE, FULL_R2, WEAK_R2 = 0.8, 0.5, 0.3
-
-
-@pandas_udf(StringType())
-def to_fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
-    """The exact binary value in decimals, half away from zero. For report rows, not for pixels."""
-    one = lambda v, d: None if pd.isna(v) else str(Decimal(float(v)).quantize(Decimal(1).scaleb(-int(d)), ROUND_HALF_UP))
-    return pd.Series([one(v, d) for v, d in zip(value, digits, strict=True)], dtype=object)
+_UNIT = 1 << 60
 
 
 def text(value: Column, digits: int) -> Column:
-    return to_fixed(value.cast("double"), F.lit(digits))
+    """The exact binary value in decimals, half away from zero; two digits at most.
+
+    The fraction is a whole number of 2**-60 near any half of the last digit, so whole-number
+    arithmetic in decimals rounds it without error.
+    """
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size)
+    part = ((size - whole) * F.lit(float(_UNIT))).cast("bigint").cast("decimal(20,0)")
+    by = 10**digits
+    steps = F.call_function("div", part * F.lit(by).cast("decimal(4,0)") + F.lit(_UNIT // 2).cast("decimal(20,0)"), F.lit(_UNIT).cast("decimal(20,0)"))
+    shown = (whole.cast("bigint") + F.floor(steps / by)).cast("string")
+    if digits:
+        shown = F.concat(shown, F.lit("."), F.lpad((steps % by).cast("string"), digits, "0"))
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), shown))
 
 
 def prediction(slope: Column, r2: Column, ci_lo: Column, ci_hi: Column, delta_ndvi: Column, coverage: Column) -> dict[str, Column]:
@@ -49,16 +51,16 @@ def explanation(kind: Column, reason: Column, r2: Column, coverage: Column) -> C
     """Why a prediction is withheld or weak; NULL for a full one."""
     percent = F.coalesce(text(known(coverage) * 100, 1), F.lit("0.0"))
     return (
-        F.when(reason == "insufficient_coverage", F.concat(F.lit("Only "), percent, F.lit("% of this yard has cloud-free pixels (80% required). No temperature change is reported for this site.")))
-        .when(reason == "low_r2", F.concat(F.lit("The canopy–temperature relationship is not resolvable at this site (R² = "), text(r2, 2), F.lit(", below 0.3). Canopy cover and plan cost are still reported; the temperature change is withheld rather than guessed.")))
-        .when((reason == "no_fit") & known(r2).isNotNull(), "The yard-mean NDVI shift could not be computed, so no ΔT is reported.")
-        .when(reason == "no_fit", "The local canopy–temperature regression could not be fitted at this site, so no temperature change is reported.")
-        .when(kind == "weak", F.concat(F.lit("weak local fit (R² = "), text(r2, 2), F.lit(") — indicative only")))
+        F.when(reason == "insufficient_coverage", F.concat(percent, F.lit("% of the yard is free of cloud, short of 80%: no change of temperature is given.")))
+        .when(reason == "low_r2", F.concat(F.lit("R² = "), text(r2, 2), F.lit(" is under 0.3, so cover hardly explains temperature here; the change is withheld, cover and cost stand.")))
+        .when((reason == "no_fit") & known(r2).isNotNull(), "The plan's shift of the yard's index is unknown, and with it the change of temperature.")
+        .when(reason == "no_fit", "No line fits temperature to cover around this site, so no change is given.")
+        .when(kind == "weak", F.concat(F.lit("A hint only: R² = "), text(r2, 2), F.lit(" is a weak fit.")))
     )
 
 
 def method_label(kind: Column, r2: Column, n: Column, maturity: Column) -> Column:
-    label = F.concat(F.lit("OLS LST ~ NDVI · R² = "), text(r2, 2), F.lit(" · n = "), F.format_number(n, 0), F.lit(" px · associated change at ~"), maturity.cast("bigint").cast("string"), F.lit("-year crown maturity"))
+    label = F.concat(F.lit("least squares of temperature on index, "), F.format_number(n, 0), F.lit(" pixels, R² = "), text(r2, 2), F.lit(", crowns of "), maturity.cast("bigint").cast("string"), F.lit(" years"))
     return F.when(kind != "suppressed", label)
 
 
@@ -85,13 +87,13 @@ def decision_trace(coverage: Column, r2: Column, n_lines: Column, n_sourced: Col
 
 
 def limitations(thermal_pixels: Column, overpass: Column, coverage: Column) -> Column:
-    """Five sentences, and a sixth where part of the yard was masked."""
-    fixed = F.array(
-        F.concat(F.lit("Thermal pixels are 100 m native (resampled to 30 m in the delivered product); this yard is covered by "), thermal_pixels.cast("string"), F.lit(" valid thermal pixel(s), so surface temperature is a yard-scale average and never a per-tree figure.")),
-        F.concat(F.lit("Single-date imagery: one cloud-free scene is one weather day, not a climate. Landsat overpass was "), overpass, F.lit(" local — peak afternoon yard temperature is higher.")),
-        F.lit("Canopy is classified by an NDVI threshold, which can catch irrigated turf as well as tree crowns. The threshold is hand-validated per site and stated above."),
-        F.lit("Predicted ΔT is an extrapolation from a correlational fit on this scene, not a physical simulation. It is reported as an interval and phrased as an association."),
-        F.lit("Crown radii are projections at the stated maturity horizon; a newly planted tree does not shade at its mature radius on planting day."),
+    """What bounds the report's reach: five sentences, and a sixth where part of the yard was masked."""
+    always = F.array(
+        F.concat(F.lit("The sensor sees heat in cells of 100 m. Usable ones on this yard: "), thermal_pixels.cast("string"), F.lit(". The temperature is the yard's, not that of a tree.")),
+        F.concat(F.lit("One pass at "), overpass, F.lit(" on one day: neither the day's peak nor a climate.")),
+        F.lit("Cover is what exceeds a threshold of the index, watered grass included; each site has its own threshold."),
+        F.lit("The change follows from a correlation within one scene, no simulation; hence the interval."),
+        F.lit("Crowns are drawn as they are expected when grown, not as planted."),
     )
-    masked = F.concat(text((1 - coverage) * 100, 1), F.lit("% of this yard's thermal pixels were masked as cloud, cirrus, shadow or fill."))
-    return F.when(coverage < 1, F.concat(fixed, F.array(masked))).otherwise(fixed)
+    masked = F.concat(text((1 - coverage) * 100, 1), F.lit("% of the yard's thermal cells are masked."))
+    return F.when(coverage < 1, F.concat(always, F.array(masked))).otherwise(always)

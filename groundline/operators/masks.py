@@ -9,29 +9,32 @@ from ..functions import geometry as g
 from .lattice import GridDef
 
 
-def rasterise(pixels: DataFrame, polygons: DataFrame, grid: GridDef, keys: tuple[str, ...] = ("scene_id",), name: str = "in_yard") -> DataFrame:
+def rasterise(pixels: DataFrame, polygons: DataFrame, grid: GridDef, keys: tuple[str, ...] = ("scene_id",), name: str = "in_yard", keep: tuple[str, ...] = ()) -> DataFrame:
     """``pixels`` with whether each centre is inside its scene's polygon (``outer``, optionally ``holes``).
 
     A scene has one polygon, so the join is by key; the bounding box comes before the ray test.
+    Columns of ``polygons`` named in ``keep`` stay; the grid may be made of its columns.
     """
+    own = grid.as_columns()
     holes = F.col("holes") if "holes" in polygons.columns else None
     low_x, high_x, low_y, high_y = g.bounds(F.col("outer"))
     boxed = polygons.withColumns({"bx0": low_x, "bx1": high_x, "by0": low_y, "by1": high_y})
     a = pixels.join(boxed, list(keys), "left")
-    x = g.pixel_x(F.lit(grid.origin_x), F.lit(grid.pixel_w), F.col("col"))
-    y = g.pixel_y(F.lit(grid.origin_y), F.lit(grid.pixel_h), F.col("row"))
+    x = g.pixel_x(own.origin_x, own.pixel_w, F.col("col"))
+    y = g.pixel_y(own.origin_y, own.pixel_h, F.col("row"))
     box = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
     inside = F.when(box, g.in_polygon(F.col("outer"), x, y, holes)).otherwise(F.lit(False))
-    return a.withColumn(name, F.coalesce(inside, F.lit(False))).select(*pixels.columns, name)
+    return a.withColumn(name, F.coalesce(inside, F.lit(False))).select(*pixels.columns, *keep, name)
 
 
 def cell_shares(cells: DataFrame, polygons: DataFrame, grid: GridDef, keys: tuple[str, ...] = ("scene_id",), name: str = "yard_share") -> DataFrame:
     """``cells`` with the share of each that the polygon covers, from 64 sample points."""
     low_x, high_x, low_y, high_y = g.bounds(F.col("outer"))
     a = cells.join(polygons.withColumns({"bx0": low_x, "bx1": high_x, "by0": low_y, "by1": high_y}), list(keys), "left")
-    left, top = F.lit(grid.origin_x) + F.col("col") * grid.pixel_w, F.lit(grid.origin_y) - F.col("row") * grid.pixel_h
-    meets = (left <= F.col("bx1")) & (left + grid.pixel_w >= F.col("bx0")) & (top >= F.col("by0")) & (top - grid.pixel_h <= F.col("by1"))
-    share = F.when(meets, g.cell_share(F.col("outer"), left, top, F.lit(grid.pixel_w), F.lit(grid.pixel_h))).otherwise(0.0)
+    own = grid.as_columns()
+    left, top = own.origin_x + F.col("col") * own.pixel_w, own.origin_y - F.col("row") * own.pixel_h
+    meets = (left <= F.col("bx1")) & (left + own.pixel_w >= F.col("bx0")) & (top >= F.col("by0")) & (top - own.pixel_h <= F.col("by1"))
+    share = F.when(meets, g.cell_share(F.col("outer"), left, top, own.pixel_w, own.pixel_h)).otherwise(0.0)
     return a.withColumn(name, F.coalesce(share, F.lit(0.0))).select(*cells.columns, name)
 
 

@@ -15,20 +15,21 @@ from .lattice import GridDef, sample
 class Options:
     count: int
     classes: tuple[str, ...]
-    canopy_threshold: float = 0.6
+    cover_threshold: float = 0.6
     spacing: float = 11.0
     edge_buffer: float = 6.0
 
 
 def lattice_points(polygons: DataFrame, keys: list[str], spacing: float) -> DataFrame:
-    """Inner points of a square lattice half as wide as the spacing (2 m at least), in each bounding box."""
+    """``polygons`` with inner points of a square lattice half as wide as the spacing (2 m at least), in each bounding box."""
     step = max(2.0, spacing / 2)
     low_x, high_x, low_y, high_y = g.bounds(F.col("outer"))
     count = lambda low, high: F.floor((high - low - step / 2) / step).cast("int")
     line = lambda low, high: F.when(count(low, high) >= 0, F.sequence(F.lit(0), F.greatest(F.lit(0), count(low, high)))).otherwise(F.array().cast("array<int>"))
-    a = polygons.select(*keys, "outer", low_x.alias("x0"), low_y.alias("y0"), line(low_x, high_x).alias("nx"), line(low_y, high_y).alias("ny"))
-    a = a.select(*keys, "outer", "x0", "y0", "nx", F.explode("ny").alias("j")).select(*keys, "outer", "x0", "y0", "j", F.explode("nx").alias("i"))
-    return a.select(*keys, "outer", (F.col("x0") + step / 2 + F.col("i") * step).alias("x"), (F.col("y0") + step / 2 + F.col("j") * step).alias("y"))
+    a = polygons.withColumns({"__x0": low_x, "__y0": low_y, "__nx": line(low_x, high_x), "__ny": line(low_y, high_y)})
+    a = a.withColumn("__j", F.explode("__ny")).withColumn("__i", F.explode("__nx"))
+    a = a.withColumns({"x": F.col("__x0") + step / 2 + F.col("__i") * step, "y": F.col("__y0") + step / 2 + F.col("__j") * step})
+    return a.select(*polygons.columns, "x", "y")
 
 
 def candidates(polygons: DataFrame, ndvi: DataFrame, fine: GridDef, heat: DataFrame, coarse: GridDef, options: Options, keys: list[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def candidates(polygons: DataFrame, ndvi: DataFrame, fine: GridDef, heat: DataFr
     """
     inside = lattice_points(polygons, keys, options.spacing)
     inside = inside.where(g.in_polygon(F.col("outer"), F.col("x"), F.col("y")) & g.well_inside(F.col("outer"), F.col("x"), F.col("y"), options.edge_buffer)).drop("outer")
-    a = sample(inside, ndvi, fine, "ndvi", keys=tuple(keys)).where(F.col("ndvi") < options.canopy_threshold).drop("row", "col")
+    a = sample(inside, ndvi, fine, "ndvi", keys=tuple(keys)).where(F.col("ndvi") < options.cover_threshold).drop("row", "col")
     a = sample(a, heat, coarse, "lst", keys=tuple(keys))
     return a.select(*keys, "x", "y", (F.coalesce("lst", F.lit(0.0)) - 10 * F.col("ndvi")).alias("score"))
 
@@ -101,3 +102,11 @@ def remove_last(trees: DataFrame, keys: list[str]) -> DataFrame:
 
 def clear(trees: DataFrame) -> DataFrame:
     return trees.where(F.lit(False))
+
+
+def reset(trees: DataFrame, suggested: DataFrame, keys: dict[str, object]) -> DataFrame:
+    """The trees of one plan as they were suggested, all others as they are."""
+    own = F.lit(True)
+    for k, v in keys.items():
+        own = own & F.col(k).eqNullSafe(F.lit(v))
+    return trees.where(~own).unionByName(suggested.where(own))

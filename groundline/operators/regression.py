@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.student_t import critical
 from ..functions.unknown import clamp, known, ratio
+from .stats import at_ranks
 
 #: Residual sums below this share of the total are rounding, and count as none.
 ROUNDING = 1e-13
@@ -77,6 +78,5 @@ def band(points: DataFrame, fits: DataFrame, x: str, keys: list[str], steps: int
 
 def quantile_cutoff(values: DataFrame, value: str, target: float, keys: list[str]) -> DataFrame:
     """keys and the value of rank round(n * target) in ascending order; NULL if that rank is 0."""
-    ordered = F.array_sort(F.collect_list(known(F.col(value))))
-    a = values.groupBy(*keys).agg(ordered.alias("v"))
-    return a.select(*keys, F.get("v", F.floor(F.size("v") * target + 0.5).cast("int") - 1).alias("cutoff"))
+    a = at_ranks(values, F.col(value), keys, {"cutoff": F.floor(F.col("n") * target + 0.5) - 1})
+    return a.select(*keys, "cutoff")

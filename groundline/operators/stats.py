@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.unknown import known, ratio, share
@@ -16,16 +17,17 @@ def known_count(value: Column, mask: Column) -> Column:
     return F.count_if(mask & known(value).isNotNull())
 
 
-def canopy_fraction(canopy: Column, valid: Column) -> Column:
-    return share(canopy, valid)
+def cover_fraction(cover: Column, valid: Column) -> Column:
+    return share(cover, valid)
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
     return F.avg(F.when(mask, known(value)))
 
 
-def values_in(value: Column, mask: Column) -> Column:
-    return F.collect_list(F.when(mask, known(value)))
+def values_in(rows: DataFrame, value: Column, mask: Column, name: str = "value") -> DataFrame:
+    """The rows whose value is known and in the mask; a table, as a group's values may be too many for a list."""
+    return rows.where(mask).withColumn(name, known(value)).where(F.col(name).isNotNull())
 
 
 def coverage(usable: Column, yard: Column) -> Column:
@@ -44,6 +46,39 @@ def summary(value: Column, mask: Column | None = None) -> dict[str, Column]:
     return {"mean": F.avg(v), "sd": F.when(n == 1, 0.0).otherwise(F.stddev_samp(v)), "min": F.min(v), "max": F.max(v), "n": n}
 
 
-def percentile(value: Column, p: float) -> Column:
-    """Exact, by linear interpolation; p in percent, clamped."""
-    return F.percentile(known(value), F.lit(min(1.0, max(0.0, p / 100))))
+#: Parts that a group's range of values is cut into to find the part that holds a rank.
+PARTS = 256
+
+
+def at_ranks(rows: DataFrame, value: Column, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """keys, n (known values) and, under each name, the value of that rank (from 0) in ascending order.
+
+    ``ranks`` are expressions of ``n``; NULL or out of range gives NULL. Values are counted by
+    part of their group's range, which leaves one part for each rank; only the values of that
+    part are counted singly and put in order. So no task holds a group's values.
+    """
+    v = rows.select(*keys, known(value).alias("v"))
+    spans = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))
+    same = [F.col(k) for k in keys]
+    part = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * (PARTS - 1))).otherwise(0).cast("int")
+    placed = v.where("v is not null").join(spans.select(*keys, "low", "high"), keys).select(*same, "v", part.alias("part"))
+    parts = placed.groupBy(*keys, "part").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy(*keys).orderBy("part")) - F.col("c")
+    wanted = spans.select(*same, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank")) for n, r in ranks.items()])).alias("w")).select(*same, "w.name", "w.rank")
+    # A row a part and rank: PARTS rows a group at most.
+    hit = parts.withColumn("before", before).join(wanted, keys).where("rank >= before and rank < before + c").select(*same, "part", "name", F.col("rank") - F.col("before"))
+    hit = hit.toDF(*keys, "part", "name", "rank")
+    single = placed.join(hit.select(*keys, "part").distinct(), [*keys, "part"], "left_semi").groupBy(*keys, "part", "v").agg(F.count("*").alias("c"))
+    to = F.sum("c").over(W.partitionBy(*keys, "part").orderBy("v"))
+    found = single.withColumn("to", to).join(hit, [*keys, "part"]).where("rank < to and rank >= to - c")
+    values = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ranks])
+    return spans.select(*same, "n").join(values, keys, "left")
+
+
+def percentiles(rows: DataFrame, value: Column, keys: list[str], percents: list[float]) -> DataFrame:
+    """keys and p<percent> for each: exact, by linear interpolation; percents are clamped."""
+    at = {p: (F.col("n") - 1) * F.lit(min(1.0, max(0.0, p / 100))) for p in percents}
+    ranks = {f"{side}{k}": f(r) for k, r in enumerate(at.values()) for side, f in (("low", F.floor), ("high", F.ceil))}
+    a = at_ranks(rows, value, keys, ranks)
+    between = lambda k, r: F.col(f"low{k}") * (F.ceil(r) - r) + F.col(f"high{k}") * (r - F.floor(r))
+    return a.select(*keys, *[F.when(F.floor(r) == r, F.col(f"low{k}")).otherwise(between(k, r)).alias(f"p{p}") for k, (p, r) in enumerate(at.items())])

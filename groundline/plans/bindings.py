@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import crowns, geometry, raster
 from ..functions.unknown import fixed
-from ..operators import canopies, costs, gates, masks, planner, regression, resample, stats
+from ..operators import costs, gates, masks, planner, regression, resample, stats, unions
 from ..operators.lattice import GridDef, lattice, sample
 from ..sources.scenes import in_name_order
+from . import report
+from .report import Analysis
 
 FINE = GridDef(40, 40, 0.0, 400.0, 10.0, 10.0, 32612)
 COARSE = GridDef(10, 10, 0.0, 400.0, 40.0, 40.0, 32612)
@@ -21,6 +23,7 @@ HOLE = ((100.0, 100.0), (150.0, 100.0), (150.0, 150.0), (100.0, 150.0))
 # Thermal band constants.
 GAIN, OFFSET, K1, K2 = 3.8e-4, 0.1, 799.0284, 1329.2405
 KEYS = ["scene_id"]
+SCENES = ("AF", "NF", "NO", "RF")
 
 
 def col(name: str) -> Column:
@@ -73,10 +76,10 @@ def bands_for_ndvi(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(nir).alias("nir"), fixed(red).alias("red"))
 
 
-def canopy_fraction(spark: SparkSession, sf: str) -> DataFrame:
+def cover_fraction(spark: SparkSession, sf: str) -> DataFrame:
     v = ndvi_of_line()
     a = lines(spark, sf).groupBy("scene_id")
-    return a.agg(stats.canopy_fraction(raster.is_canopy(v, 0.2), v.isNotNull()).alias("fraction"), stats.count_mask(v.isNotNull()).alias("known"))
+    return a.agg(stats.cover_fraction(raster.is_cover(v, 0.2), v.isNotNull()).alias("fraction"), stats.count_mask(v.isNotNull()).alias("known"))
 
 
 def masked_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +88,8 @@ def masked_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).groupBy("scene_id").agg(*[fixed(stats.percentile(ndvi_of_line(), p)).alias(f"p{p}") for p in (10, 50, 90)])
+    a = stats.percentiles(lines(spark, sf), ndvi_of_line(), KEYS, [10, 50, 90])
+    return a.select("scene_id", *[fixed(col(c)).alias(c) for c in ("p10", "p50", "p90")])
 
 
 def _dn() -> Column:
@@ -97,15 +101,14 @@ def _constants() -> list[Column]:
 
 
 def lst_chain(spark: SparkSession, sf: str) -> DataFrame:
-    lst = raster.surface_temperature(_dn(), ndvi_of_line(), *_constants())
-    return lines(spark, sf).select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(lst, 4).alias("lst"))
+    a = raster.with_surface_temperature(lines(spark, sf).withColumn("v", ndvi_of_line()), "lst", _dn(), col("v"), *_constants())
+    return a.select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(col("lst"), 4).alias("lst"))
 
 
 def lst_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    dn = raster.thermal_number(col("l_quantity"), ndvi_of_line(), *_constants())
-    a = lines(spark, sf).withColumn("dn", dn)
-    back = raster.surface_temperature(col("dn"), ndvi_of_line(), *_constants())
-    return a.select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(col("dn"), 3).alias("dn"), fixed(back, 4).alias("celsius"))
+    a = raster.with_thermal_number(lines(spark, sf).withColumn("v", ndvi_of_line()), "dn", col("l_quantity"), col("v"), *_constants())
+    a = raster.with_surface_temperature(a, "back", col("dn"), col("v"), *_constants())
+    return a.select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(col("dn"), 3).alias("dn"), fixed(col("back"), 4).alias("celsius"))
 
 
 def _usable() -> Column:
@@ -136,7 +139,7 @@ def resample_offset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_to_grid(spark: SparkSession, sf: str) -> DataFrame:
-    a = pixels(spark, sf).withColumn("mask", raster.is_canopy(col("ndvi"), 0.2))
+    a = pixels(spark, sf).withColumn("mask", raster.is_cover(col("ndvi"), 0.2))
     return resample.coverage(a, FINE, COARSE).withColumn("value", fixed(col("value"), 9))
 
 
@@ -160,8 +163,8 @@ def yard_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_at(spark: SparkSession, sf: str) -> DataFrame:
-    a = read(spark, sf, "supplier").select("s_suppkey", F.lit("AF").alias("scene_id"), (col("s_suppkey") * 37 % 450 - 20).cast("double").alias("x"), (col("s_suppkey") * 61 % 450 - 20).cast("double").alias("y"))
-    return sample(a, pixels(spark, sf), FINE, "ndvi", keys=("scene_id",)).select("s_suppkey", "row", "col", fixed(col("ndvi")).alias("ndvi"))
+    a = read(spark, sf, "supplier").select("s_suppkey", F.get(F.array(*map(F.lit, SCENES)), (col("s_suppkey") % 4).cast("int")).alias("scene_id"), (col("s_suppkey") * 37 % 450 - 20).cast("double").alias("x"), (col("s_suppkey") * 61 % 450 - 20).cast("double").alias("y"))
+    return sample(a, pixels(spark, sf), FINE, "ndvi", keys=("scene_id",)).select("s_suppkey", "scene_id", "row", "col", fixed(col("ndvi")).alias("ndvi"))
 
 
 def _fit_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,18 +272,18 @@ def _classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crown_union(spark: SparkSession, sf: str) -> DataFrame:
-    a = canopies.crown_union(canopies.with_radius(_trees(spark, sf), _classes(spark, sf)), KEYS, 0.5)
+    a = unions.crown_union(unions.with_radius(_trees(spark, sf), _classes(spark, sf)), KEYS, 0.5)
     return a.select("scene_id", *[fixed(col(c), 4).alias(c) for c in ("summed", "united", "overlap")])
 
 
 def crown_union_clipped(spark: SparkSession, sf: str) -> DataFrame:
     clip = ((20.0, 20.0), (80.0, 25.0), (75.0, 90.0), (30.0, 70.0))
-    trees = canopies.with_radius(_trees(spark, sf), _classes(spark, sf))
+    trees = unions.with_radius(_trees(spark, sf), _classes(spark, sf))
     clips = trees.select("scene_id").distinct().withColumn("outer", ring(clip))
-    return canopies.crown_union(trees, KEYS, 0.5, clips).select("scene_id", fixed(col("united"), 4).alias("united"))
+    return unions.crown_union(trees, KEYS, 0.5, clips).select("scene_id", fixed(col("united"), 4).alias("united"))
 
 
-OPTIONS = planner.Options(12, ("large", "medium"), canopy_threshold=0.3)
+OPTIONS = planner.Options(12, ("large", "medium"), cover_threshold=0.3)
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,8 +304,8 @@ def plan_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _types(spark: SparkSession, sf: str) -> DataFrame:
-    """The few kinds of part, numbered by name."""
-    return read(spark, sf, "part").select("p_type").distinct().withColumn("k", F.row_number().over(W.orderBy("p_type")) - 1)
+    """The few kinds of part, numbered by name: a list of one row."""
+    return read(spark, sf, "part").agg(F.array_sort(F.collect_set("p_type")).alias("every")).select(F.posexplode("every").alias("k", "p_type"))
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -351,7 +354,7 @@ def fully_cited(spark: SparkSession, sf: str) -> DataFrame:
 
 def unverified(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(col("p_partkey") % 3 == 0, "cited").when(col("p_partkey") % 3 == 1, "unverified")
-    classes = read(spark, sf, "part").where("p_partkey <= 60").select(F.concat(F.lit("R"), (col("p_size") % 3).cast("string")).alias("region"), col("p_partkey").alias("position"), col("p_name").alias("label"), status.alias("radius_status"))
+    classes = read(spark, sf, "part").select(F.concat(F.lit("R"), (col("p_size") % 3).cast("string")).alias("region"), col("p_partkey").alias("position"), col("p_name").alias("label"), status.alias("radius_status"))
     return costs.unverified_classes(classes).select("region", F.array_join("unverified", "|").alias("unverified"))
 
 
@@ -371,7 +374,7 @@ def ring_centroid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inset_ring(spark: SparkSession, sf: str) -> DataFrame:
-    a = _rings(spark, sf).where("s_suppkey % 101 <> 0").select("s_suppkey", F.posexplode(geometry.inset(col("ring"), geometry.inset_factor(lit(0.45)), 2)).alias("i", "p"))
+    a = _rings(spark, sf).select("s_suppkey", F.posexplode(geometry.inset(col("ring"), geometry.inset_factor(lit(0.45)), 2)).alias("i", "p"))
     return a.select("s_suppkey", "i", col("p")[0].alias("x"), col("p")[1].alias("y"))
 
 
@@ -402,28 +405,151 @@ def scaled_bands(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("p_partkey", *[fixed(raster.scaled(col("dn"), p)).alias(n) for n, p in (("surface", raster.LANDSAT_SR), ("thermal", raster.LANDSAT_ST), ("optical", raster.SENTINEL2))])
 
 
-def report_row(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: summary, coverage, fit, gate and verdict of every scene, one row each."""
-    clear = raster.usable(F.when(col("l_linenumber") == 1, 2).otherwise(64))
-    v = ndvi_of_line()
-    s = stats.summary(v, clear)
-    rows = _fit_rows(spark, sf)
-    measured = rows.groupBy("scene_id").agg(
-        s["mean"].alias("mean"), s["sd"].alias("sd"), s["n"].alias("n"), stats.coverage(clear, F.lit(True)).alias("coverage"), stats.canopy_fraction(raster.is_canopy(v, 0.2), v.isNotNull()).alias("canopy")
-    )
-    fits = _fits(spark, sf).withColumnRenamed("n", "n_fit")
-    a = measured.join(fits, "scene_id").withColumns(gates.prediction(col("slope"), col("r2"), col("ci_lo"), col("ci_hi"), col("canopy") * -2.5, col("coverage")))
-    numbers = ("mean", "sd", "canopy", "slope", "r2", "delta_c", "delta_lo", "delta_hi")
-    return a.select("scene_id", "n", "n_fit", "coverage", "kind", "reason", gates.verdict(col("kind")).alias("verdict"), *[fixed(col(c), 5).alias(c) for c in numbers])
+class TableScenes:
+    """A source of scenes made of the driver's tables: bands and heat are sums over the lines of a cell."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    def scenes(self) -> DataFrame:
+        flag = F.substring("scene_id", 1, 1)
+        a = lines(self.spark, self.sf).select("scene_id").distinct().withColumns({"x": (F.ascii(flag) % 8 * 4096).cast("double"), "y": lit(8192)})
+        grid = lambda g: F.struct(col("x").alias("origin_x"), col("y").alias("origin_y"), lit(g.pixel_w).alias("pixel_w"), lit(g.pixel_h).alias("pixel_h"), F.lit(g.width).alias("size"))
+        threshold = F.when(flag == "A", lit(0.1)).otherwise(lit(0.14))
+        constants = [c.alias(n) for n, c in zip(("gain", "offset", "k1", "k2"), _constants(), strict=True)]
+        return a.select("scene_id", F.concat(F.lit("Site "), "scene_id").alias("name"), geometry.ring_area(ring(RING)).alias("yard_area"), threshold.alias("cover_threshold"), F.lit("10:42").alias("overpass"), grid(FINE).alias("fine_grid"), grid(COARSE).alias("thermal_grid"), *constants)
+
+    def yards(self) -> DataFrame:
+        a = self.scenes().withColumn("outer", ring(RING))
+        return a.select("scene_id", F.transform("outer", lambda p: F.array(p[0] + col("fine_grid.origin_x"), p[1] - 400 + col("fine_grid.origin_y"))).alias("outer"))
+
+    def fine(self) -> DataFrame:
+        hundred = lambda c: F.sum(F.round(col(c) * 100).cast("bigint")) / F.count("*") / lit(100)
+        a = lines(self.spark, self.sf).groupBy("scene_id", (col("l_orderkey") % 40).cast("int").alias("row"), (col("l_partkey") % 40).cast("int").alias("col"))
+        return a.agg(hundred("l_discount").alias("nir"), hundred("l_tax").alias("red"))
+
+    def thermal(self) -> DataFrame:
+        by_four = lambda c: F.floor(col(c) % 40 / 4).cast("int")
+        total = lambda c, by: F.sum(F.round(col(c) * by).cast("bigint"))
+        a = lines(self.spark, self.sf).groupBy("scene_id", by_four("l_orderkey").alias("row"), by_four("l_partkey").alias("col"))
+        a = a.agg(((total("l_discount", 100) - total("l_tax", 100)) / F.count("*")).alias("d"), (total("l_quantity", 1) / F.count("*")).alias("q"), F.count("*").alias("n"))
+        noise = F.when(col("scene_id") == "AF", 20.0).when(col("scene_id") == "RF", 600.0).otherwise(100.0)
+        dn = F.floor(30000 - 400 * col("d") + noise * (col("q") - 25) + 0.5).cast("double")
+        return a.select("scene_id", "row", "col", dn.alias("dn"), F.when(col("n") % 9 == 0, 8.0).otherwise(64.0).alias("qa"))
+
+
+class FixedCosts:
+    """A cost model of one region; every item is cited, or the watering is not."""
+
+    def __init__(self, spark: SparkSession, cited: bool):
+        self.spark, self.cited = spark, cited
+        self.models = spark.createDataFrame([("R0",)], "region string")
+
+    def items(self) -> DataFrame:
+        prices = (("tree_large", 712.0, 944.0), ("tree_medium", 512.0, 700.0), ("watering", 12.0, 20.0))
+        rows = [("R0", n, k, k, low, high, "list", "https://prices.example/list" if self.cited or k != "watering" else "", "2026-08-07") for n, (k, low, high) in enumerate(prices)]
+        return self.spark.createDataFrame(rows, "region string, position int, key string, label string, low double, high double, source_name string, source_url string, source_retrieved string")
+
+    def class_keys(self) -> DataFrame:
+        return self.spark.createDataFrame([("R0", "large_shade", "tree_large"), ("R0", "medium_shade", "tree_medium")], "region string, class_key string, key string")
+
+    def per_tree(self) -> DataFrame:
+        return self.spark.createDataFrame([("R0", 0, "watering")], "region string, position int, key string")
+
+    def classes(self) -> DataFrame:
+        return self.spark.createDataFrame([("large_shade", 7.5, 15.0), ("medium_shade", 5.5, 20.0)], "class_key string, crown_radius double, maturity double")
+
+
+def _rounded(a: DataFrame, numbers: tuple[str, ...], others: tuple[str, ...]) -> DataFrame:
+    return a.select("scene_id", *others, *[fixed(col(c), 4).alias(c) for c in numbers])
+
+
+MEASURED = ("cover_fraction", "ndvi_yard", "ndvi_cover", "ndvi_open", "lst_mean", "lst_sd", "lst_min", "lst_max", "coverage", "slope", "intercept", "r2", "ci_lo", "ci_hi")
+PLANNED = ("summed", "united", "overlap", "effective", "cover_before", "cover_after", "cover_delta", "delta_ndvi", "maturity")
+REPORTED = ("lst_mean", "coverage", *PLANNED, "delta_c", "delta_lo", "delta_hi", "lst_predicted", "total_low", "total_high")
+SAID = ("thermal_pixels", "kind", "reason", "explanation", "method", "verdict", "n_lines", "n_sourced", "cost", "limitations")
+
+
+def analyse_scene(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks, resampling, temperature, yard cells and the neighbourhood's fit of every scene."""
+    return _rounded(Analysis(TableScenes(spark, sf)).measured(), MEASURED, ("yard_pixels", "yard_cells", "thermal_pixels", "n"))
+
+
+PLAN = tuple((80.0 + 24.0 * (i % 4), -330.0 + 21.0 * (i // 4), ("large_shade", "medium_shade")[i % 2]) for i in range(12))
+
+
+def _plan(spark: SparkSession, sf: str) -> DataFrame:
+    trees = F.array(*[F.struct(lit(x).alias("x"), lit(y).alias("y"), F.lit(k).alias("class_key")) for x, y, k in PLAN])
+    return TableScenes(spark, sf).scenes().where("scene_id <> 'RF'").select("scene_id", F.explode(trees).alias("t")).select("scene_id", "t.*")
+
+
+def plan_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """What a given plan changes; one scene has none."""
+    analysis = Analysis(TableScenes(spark, sf))
+    return _rounded(report.plan_geometry(analysis.measured(), _plan(spark, sf), FixedCosts(spark, True).classes(), analysis.yards), PLANNED, ())
+
+
+def _said(a: DataFrame) -> DataFrame:
+    return _rounded(a.withColumn("limitations", F.array_join("limitations", "|")), REPORTED, SAID)
+
+
+def build_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports on a given plan, priced with an item that nobody cites."""
+    return _said(report.build_report(Analysis(TableScenes(spark, sf)), _plan(spark, sf), FixedCosts(spark, False), "2026-08-07"))
+
+
+def site_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: a plan is suggested for every scene, and reported on, one row each."""
+    return _said(report.build_for(TableScenes(spark, sf), FixedCosts(spark, True), generated_for="2026-08-07"))
+
+
+def method_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _gated(spark, sf).select("p_partkey", gates.method_label(col("kind"), col("r2"), col("p_partkey") * 7, lit(15)).alias("method"))
+
+
+def limitation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    a = _gate_rows(spark, sf).select("p_partkey", F.posexplode(gates.limitations(col("p_partkey") % 9, F.lit("10:42"), col("coverage"))).alias("place", "line"))
+    return a
+
+
+def contrast(spark: SparkSession, sf: str) -> DataFrame:
+    a = read(spark, sf, "part").select("p_partkey", raster.heat_colour(col("p_size") + 10).alias("heat"), raster.green_colour(col("p_size") / 60).alias("green"))
+    return a.select("p_partkey", fixed(raster.contrast(col("heat"), col("green")), 4).alias("contrast"))
+
+
+def known_values(spark: SparkSession, sf: str) -> DataFrame:
+    a = lines(spark, sf).withColumn("v", ndvi_of_line())
+    return stats.values_in(a, col("v"), col("l_linenumber") <= 2).select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(col("value")).alias("value"))
+
+
+def fit_points(spark: SparkSession, sf: str) -> DataFrame:
+    a = lines(spark, sf).withColumns({"v": ndvi_of_line(), "ok": _usable()})
+    return regression.fit_points(a, "v", "l_quantity", "ok").select("scene_id", "l_orderkey", "l_partkey", "l_linenumber", fixed(col("v")).alias("x"), col("l_quantity").alias("y"))
+
+
+def bool_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice(spark, COARSE, F.lit(False)).select("row", "col", "value")
+
+
+def plan_reset(spark: SparkSession, sf: str) -> DataFrame:
+    a = planner.place(_candidates(spark, sf), OPTIONS, KEYS)
+    return planner.reset(planner.remove_last(planner.remove_last(a, KEYS), KEYS), a, {"scene_id": "AF"}).groupBy("scene_id").agg(F.count("*").alias("trees"))
+
+
+def recess_yard(spark: SparkSession, sf: str) -> DataFrame:
+    a = geometry.with_recess_yard(_rings(spark, sf).withColumn("ring", F.transform("ring", lambda p: F.array(p[0] * 3, p[1] * 3))), "ring")
+    return a.select("s_suppkey", col("yard_area").alias("area"), "parcel_area", F.size("yard").alias("vertices"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        ndvi_pixels, bands_for_ndvi, canopy_fraction, masked_summary, percentiles, lst_chain, lst_roundtrip, qa_mask, coverage_gate,
+        ndvi_pixels, bands_for_ndvi, cover_fraction, masked_summary, percentiles, lst_chain, lst_roundtrip, qa_mask, coverage_gate,
         resample_aligned, resample_offset, coverage_to_grid, pip_mask, pip_hole, cell_overlap, yard_cells, sample_at, ols_fit, ols_degenerate,
         t_critical, regression_band, quantile_cutoff, predict_gate, explain_gate, decision_trace, verdicts, crown_scalars, lens_area, crown_union,
         crown_union_clipped, suggest_candidates, suggest_greedy, plan_edits, cost_lines, cost_totals, cost_format, fully_cited, unverified,
-        ring_area, ring_centroid, inset_ring, utm_forward, color_bins, list_scenes, grid_lattice, scaled_bands, report_row,
+        ring_area, ring_centroid, inset_ring, utm_forward, color_bins, list_scenes, grid_lattice, scaled_bands,
+        analyse_scene, plan_geometry, build_report, site_report, method_labels, limitation_lines, contrast, known_values, fit_points, bool_grid,
+        plan_reset, recess_yard,
     )
 }

@@ -1,7 +1,7 @@
 """From pixels to one report row a scene.
 
-All scenes of a source go through one plan. They share the grids' sizes but not their origins,
-so pixels are addressed in metres from their own origin, and rings are shifted likewise.
+All scenes of a source go through one plan, each on its own grids: their sizes are columns. Pixels
+are addressed in metres from their own origin, and rings are shifted likewise.
 """
 
 from __future__ import annotations
@@ -13,82 +13,84 @@ from pyspark.sql import functions as F
 
 from ..functions import crowns, raster
 from ..functions.unknown import ratio
-from ..operators import canopies, costs, gates, masks, planner, regression, resample, stats
+from ..operators import costs, gates, masks, planner, regression, resample, stats, unions
 from ..operators.lattice import GridDef
-from ..sources.errors import Malformed
 from ..sources.scenes import SceneSource
 
 KEYS = ["scene_id"]
+GRIDS = ("fine_size", "fine_w", "fine_h", "thermal_size", "thermal_w", "thermal_h")
 
 
-def shared_grid(scenes: DataFrame, name: str) -> GridDef:
-    """The grid that all scenes share but for its origin; anything else is refused."""
-    found = scenes.select(*[F.col(f"{name}.{f}").alias(f) for f in ("size", "pixel_w", "pixel_h")]).distinct().limit(2).collect()
-    if len(found) != 1:
-        raise Malformed(name, "scenes differ in grid size or pixel size")
-    return GridDef(found[0].size, found[0].size, 0.0, 0.0, found[0].pixel_w, found[0].pixel_h)
+def grid_of(name: str) -> GridDef:
+    """A scene's own grid, from its columns; the origin is that of the scene."""
+    size = F.col(f"{name}_size")
+    return GridDef(size, size, 0.0, 0.0, F.col(f"{name}_w"), F.col(f"{name}_h"))
 
 
-def local_yards(source: SceneSource, scenes: DataFrame) -> DataFrame:
-    """Yards in metres from their scene's origin."""
-    a = source.yards().join(scenes.select("scene_id", "fine_grid"), "scene_id")
-    g = F.col("fine_grid")
-    return a.select("scene_id", F.transform("outer", lambda p: F.array(p[0] - g["origin_x"], p[1] - g["origin_y"])).alias("outer"))
+def sites(source: SceneSource, scenes: DataFrame) -> DataFrame:
+    """scene_id, the yard in metres from its scene's origin, its threshold and grids; one small row a scene."""
+    grids = [F.col(f"{n}_grid.{old}").alias(f"{n}_{new}") for n in ("fine", "thermal") for old, new in (("size", "size"), ("pixel_w", "w"), ("pixel_h", "h"))]
+    a = scenes.select("scene_id", "cover_threshold", F.col("fine_grid.origin_x").alias("__x"), F.col("fine_grid.origin_y").alias("__y"), *grids).join(source.yards(), "scene_id", "left")
+    return a.withColumn("outer", F.transform("outer", lambda p: F.array(p[0] - F.col("__x"), p[1] - F.col("__y")))).drop("__x", "__y")
 
 
 class Analysis:
-    """Pixel tables of a source and what is measured of each scene."""
+    """Pixel tables of a source and what is measured of each scene.
+
+    Several measurements and the suggested plan read the pixels, so these are kept (in memory,
+    else on disk; lost parts are computed anew) until ``release``.
+    """
 
     def __init__(self, source: SceneSource):
         self.scenes = source.scenes()
-        self.fine_grid, self.thermal_grid = shared_grid(self.scenes, "fine_grid"), shared_grid(self.scenes, "thermal_grid")
-        self.yards = local_yards(source, self.scenes)
-        thresholds = self.scenes.select("scene_id", "canopy_threshold")
+        self.sites = sites(source, self.scenes)
+        self.yards = self.sites.select("scene_id", "outer")
         fine = source.fine().withColumn("ndvi", raster.ndvi(F.col("nir"), F.col("red")))
-        fine = masks.rasterise(fine.select("scene_id", "row", "col", "ndvi"), self.yards, self.fine_grid)
-        fine = fine.join(thresholds, "scene_id").withColumn("canopy", raster.is_canopy(F.col("ndvi"), F.col("canopy_threshold")))
-        self.fine = fine.withColumn("valid", F.col("in_yard") & F.col("ndvi").isNotNull())
-        means = resample.resample(self.fine, self.fine_grid, self.thermal_grid, "ndvi").withColumnRenamed("value", "ndvi")
+        fine = masks.rasterise(fine.select("scene_id", "row", "col", "ndvi"), self.sites, grid_of("fine"), keep=("cover_threshold", *GRIDS))
+        self.fine = fine.withColumns({"cover": raster.is_cover(F.col("ndvi"), F.col("cover_threshold")), "valid": F.col("in_yard") & F.col("ndvi").isNotNull()}).persist()
+        means = resample.resample(self.fine, grid_of("fine"), grid_of("thermal"), "ndvi", complete=False).withColumnRenamed("value", "ndvi")
         constants = self.scenes.select("scene_id", "gain", "offset", "k1", "k2")
         thermal = source.thermal().join(means, ["scene_id", "row", "col"], "left").join(constants, "scene_id")
-        lst = raster.surface_temperature(*[F.col(c) for c in ("dn", "ndvi", "gain", "offset", "k1", "k2")])
-        thermal = thermal.withColumn("lst", lst).withColumn("usable", raster.usable(F.col("qa")))
-        self.thermal = masks.yard_cells(thermal.select("scene_id", "row", "col", "ndvi", "lst", "usable"), self.yards, self.thermal_grid)
+        thermal = raster.with_surface_temperature(thermal, "lst", *[F.col(c) for c in ("dn", "ndvi", "gain", "offset", "k1", "k2")]).withColumn("usable", raster.usable(F.col("qa")))
+        self.thermal = masks.yard_cells(thermal.select("scene_id", "row", "col", "ndvi", "lst", "usable"), self.sites, grid_of("thermal")).persist()
+
+    def release(self) -> None:
+        self.fine.unpersist()
+        self.thermal.unpersist()
 
     def measured(self) -> DataFrame:
-        v, canopy, valid = F.col("ndvi"), F.col("canopy"), F.col("valid")
+        v, cover, valid = F.col("ndvi"), F.col("cover"), F.col("valid")
         cover = self.fine.groupBy(*KEYS).agg(
-            stats.canopy_fraction(canopy, valid).alias("canopy_fraction"),
+            stats.cover_fraction(cover, valid).alias("cover_fraction"),
             stats.masked_mean(v, valid).alias("ndvi_yard"),
-            stats.masked_mean(v, valid & canopy).alias("ndvi_canopy"),
-            stats.masked_mean(v, valid & ~canopy).alias("ndvi_open"),
+            stats.masked_mean(v, valid & cover).alias("ndvi_cover"),
+            stats.masked_mean(v, valid & ~cover).alias("ndvi_open"),
             stats.count_mask(F.col("in_yard")).alias("yard_pixels"),
         )
         seen = F.col("usable") & F.col("in_yard")
         s = stats.summary(F.col("lst"), seen)
-        heat = self.thermal.groupBy(*KEYS).agg(s["mean"].alias("lst_mean"), s["sd"].alias("lst_sd"), s["n"].alias("thermal_pixels"), stats.coverage(F.col("usable"), F.col("in_yard")).alias("coverage"))
+        heat = self.thermal.groupBy(*KEYS).agg(*[s[n].alias(f"lst_{n}") for n in ("mean", "sd", "min", "max")], stats.known_count(F.col("lst"), seen).alias("thermal_pixels"), stats.count_mask(F.col("in_yard")).alias("yard_cells"), stats.coverage(F.col("usable"), F.col("in_yard")).alias("coverage"))
         fits = regression.fit(self.thermal, F.col("ndvi"), F.col("lst"), KEYS, F.col("usable"))
         return self.scenes.join(cover, "scene_id", "left").join(heat, "scene_id", "left").join(fits, "scene_id", "left")
 
     def suggested(self, options: planner.Options) -> DataFrame:
         """A plan for each scene, by its own threshold of the index."""
-        bare = self.fine.withColumn("ndvi", F.when(F.col("ndvi") < F.col("canopy_threshold"), F.col("ndvi"))).select("scene_id", "row", "col", "ndvi")
-        found = planner.candidates(self.yards, bare, self.fine_grid, self.thermal.select("scene_id", "row", "col", "lst"), self.thermal_grid, replace(options, canopy_threshold=2.0), KEYS)
+        found = planner.candidates(self.sites, self.fine.select("scene_id", "row", "col", "ndvi"), grid_of("fine"), self.thermal.select("scene_id", "row", "col", "lst"), grid_of("thermal"), replace(options, cover_threshold=F.col("cover_threshold")), KEYS)
         return planner.place(found, options, KEYS)
 
 
 def plan_geometry(measured: DataFrame, trees: DataFrame, classes: DataFrame, yards: DataFrame) -> DataFrame:
-    """What a plan's crowns change: areas, canopy share before and after, and the index's shift."""
-    areas = canopies.crown_union(canopies.with_radius(trees, classes), KEYS, clips=yards)
+    """What a plan's crowns change: areas, cover share before and after, and the index's shift."""
+    areas = unions.crown_union(unions.with_radius(trees, classes), KEYS, clips=yards)
     years = classes.agg(F.coalesce(F.max("maturity"), F.lit(0.0)).alias("maturity"))
     a = measured.join(areas, "scene_id", "left").join(F.broadcast(years))  # one row
     a = a.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("summed", "united", "overlap")})
-    a = a.withColumn("effective", crowns.effective_added(F.col("united"), F.col("canopy_fraction")))
-    before = F.col("canopy_fraction") * 100
-    existing = F.coalesce(F.col("canopy_fraction") * F.col("yard_area"), F.lit(0.0))
-    a = a.withColumns({"canopy_before": before, "canopy_after": crowns.percent_after(existing, F.col("effective"), F.col("yard_area"))})
-    shift = ratio(F.col("effective"), F.col("yard_area")) * (F.col("ndvi_canopy") - F.col("ndvi_open"))
-    return a.withColumns({"canopy_delta": F.col("canopy_after") - F.col("canopy_before"), "delta_ndvi": shift})
+    a = a.withColumn("effective", crowns.effective_added(F.col("united"), F.col("cover_fraction")))
+    before = F.col("cover_fraction") * 100
+    existing = F.coalesce(F.col("cover_fraction") * F.col("yard_area"), F.lit(0.0))
+    a = a.withColumns({"cover_before": before, "cover_after": crowns.percent_after(existing, F.col("effective"), F.col("yard_area"))})
+    shift = ratio(F.col("effective"), F.col("yard_area")) * (F.col("ndvi_cover") - F.col("ndvi_open"))
+    return a.withColumns({"cover_delta": F.col("cover_after") - F.col("cover_before"), "delta_ndvi": shift})
 
 
 def build_report(analysis: Analysis, trees: DataFrame, cost_model, generated_for: str) -> DataFrame:

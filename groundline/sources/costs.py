@@ -22,7 +22,7 @@ class JsonCosts:
     def for_region(self, region: str) -> JsonCosts:
         own = self.models.where(F.col("region") == region)
         if own.isEmpty():
-            there = ", ".join(sorted(r.region for r in self.models.select("region").limit(100).collect()))
+            there = ", ".join(sorted(r.region for r in self.models.select("region").distinct().collect()))
             raise Malformed(region, f"no cost model for this region; there are {there}")
         out = JsonCosts.__new__(JsonCosts)
         out.models = own

@@ -17,7 +17,7 @@ from .errors import Malformed
 BAND = "width int, height int, data array<double>"
 META = (
     "slug string, name string, city string, state string, synthetic boolean, provenance string, yardAreaM2 double, parcelAreaM2 double,"
-    " ndviCanopyThreshold double, thresholdRationale string, opticalSceneId string, opticalDate string,"
+    " {threshold} double, thresholdRationale string, opticalSceneId string, opticalDate string,"
     " grid struct<epsg:int,originX:double,originY:double,finePixelM:double,thermalPixelM:double,fineSize:int,thermalSize:int>,"
     " mtl struct<radianceMult:double,radianceAdd:double,k1:double,k2:double,spacecraft:string,acquisitionDate:string,localOverpassTime:string,sceneId:string>"
 )
@@ -34,19 +34,21 @@ class SceneSource(Protocol):
 
 
 class JsonScenes:
-    def __init__(self, spark: SparkSession, root: str, slug: str = "*"):
-        self.spark, self.root, self.slug = spark, root.rstrip("/"), slug
+    """``threshold_key`` is the name that the metadata give to the index's threshold of cover."""
+
+    def __init__(self, spark: SparkSession, root: str, slug: str = "*", threshold_key: str = "ndviCoverThreshold"):
+        self.spark, self.root, self.slug, self.threshold_key = spark, root.rstrip("/"), slug, threshold_key
 
     def _read(self, name: str, schema: str) -> DataFrame:
         raw = self.spark.read.schema(schema).option("multiLine", True).json(f"{self.root}/{self.slug}/{name}.json")
         return raw.withColumn("scene_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
     def scenes(self) -> DataFrame:
-        """One row a scene, in order of name."""
-        a = self._read("meta", META)
-        a = a.select(
+        """One row a scene."""
+        a = self._read("meta", META.replace("{threshold}", f"`{self.threshold_key}`"))
+        return a.select(
             "scene_id",
-            *[F.col(old).alias(new) for old, new in (("name", "name"), ("city", "city"), ("state", "state"), ("synthetic", "synthetic"), ("provenance", "provenance"), ("yardAreaM2", "yard_area"), ("ndviCanopyThreshold", "canopy_threshold"), ("thresholdRationale", "threshold_rationale"), ("opticalSceneId", "optical_scene"), ("opticalDate", "optical_date"))],
+            *[F.col(old).alias(new) for old, new in (("name", "name"), ("city", "city"), ("state", "state"), ("synthetic", "synthetic"), ("provenance", "provenance"), ("yardAreaM2", "yard_area"), (self.threshold_key, "cover_threshold"), ("thresholdRationale", "threshold_rationale"), ("opticalSceneId", "optical_scene"), ("opticalDate", "optical_date"))],
             F.struct(F.col("grid.originX").alias("origin_x"), F.col("grid.originY").alias("origin_y"), F.col("grid.finePixelM").alias("pixel_w"), F.col("grid.finePixelM").alias("pixel_h"), F.col("grid.fineSize").alias("size"), F.col("grid.epsg").alias("epsg")).alias("fine_grid"),
             F.struct(F.col("grid.originX").alias("origin_x"), F.col("grid.originY").alias("origin_y"), F.col("grid.thermalPixelM").alias("pixel_w"), F.col("grid.thermalPixelM").alias("pixel_h"), F.col("grid.thermalSize").alias("size"), F.col("grid.epsg").alias("epsg")).alias("thermal_grid"),
             F.col("mtl.radianceMult").alias("gain"),
@@ -58,11 +60,10 @@ class JsonScenes:
             F.col("mtl.localOverpassTime").alias("overpass"),
             F.col("mtl.sceneId").alias("thermal_scene"),
         )
-        return in_name_order(a)
 
     def load(self, slug: str) -> JsonScenes:
         """The source narrowed to one scene; an unknown one is refused at once."""
-        one = JsonScenes(self.spark, self.root, slug)
+        one = JsonScenes(self.spark, self.root, slug, self.threshold_key)
         if self.scenes().where(F.col("scene_id") == slug).isEmpty():
             raise Malformed(f"{self.root}/{slug}", "no such scene")
         return one
@@ -71,16 +72,19 @@ class JsonScenes:
         """scene_id and the yard's outer ring in projected metres."""
         return self._read("yard", YARD).select("scene_id", F.col("properties.coordinatesProjected").alias("outer"))
 
-    def band(self, name: str) -> DataFrame:
-        """scene_id, row, col and the band's value under its own name."""
-        a = self._read(name, BAND).select("scene_id", "width", F.posexplode("data").alias("i", "v"))
-        return a.select("scene_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).alias("col"), known(F.col("v")).alias(name))
+    def bands(self, *names: str) -> DataFrame:
+        """scene_id, row, col and each band's value under its own name; the files are joined, one row a scene, not the pixels."""
+        a = self._read(names[0], BAND).select("scene_id", "width", F.col("data").alias(names[0]))
+        for name in names[1:]:
+            a = a.join(self._read(name, BAND).select("scene_id", F.col("data").alias(name)), "scene_id")
+        a = a.select("scene_id", "width", F.posexplode(F.arrays_zip(*names)).alias("i", "v"))
+        return a.select("scene_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).alias("col"), *[known(F.col("v")[n]).alias(n) for n in names])
 
     def fine(self) -> DataFrame:
-        return self.band("nir").join(self.band("red"), ["scene_id", "row", "col"])
+        return self.bands("nir", "red")
 
     def thermal(self) -> DataFrame:
-        return self.band("thermal").withColumnRenamed("thermal", "dn").join(self.band("qa"), ["scene_id", "row", "col"])
+        return self.bands("thermal", "qa").withColumnRenamed("thermal", "dn")
 
     def check(self, bands: tuple[str, ...] = ("nir", "red", "thermal", "qa")) -> None:
         """Raises on the first file whose array or ring has the wrong length."""
@@ -103,7 +107,7 @@ class ParquetScenes:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def scenes(self) -> DataFrame:
-        return in_name_order(self._read("scenes"))
+        return self._read("scenes")
 
     def yards(self) -> DataFrame:
         return self._read("yards")

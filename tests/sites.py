@@ -13,7 +13,7 @@ class Site(NamedTuple):
     seed: int
     ndvi_mean: float
     ndvi_spread: float
-    canopy_target: float
+    cover_target: float
     intercept: float
     slope: float
     r2: float

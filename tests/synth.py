@@ -15,6 +15,7 @@ GAIN, OFFSET, K1, K2 = 3.8e-4, 0.1, 799.0284, 1329.2405
 MASK = 0xFFFFFFFF
 
 
+# Multiplier, shifts and masks of the generator, and the fields' sizes, as the published results came of them.
 def draws(seed: int) -> Iterator[float]:
     state = seed & MASK
     while True:
@@ -61,7 +62,7 @@ def scene(site: Site) -> dict[str, np.ndarray]:
     yard = inside(ring, *centres(site, FINE, 10.0))
     v = site.ndvi_mean + (index - 0.5) * 2 * site.ndvi_spread
     ranked = np.sort(crown[yard])
-    cut = ranked[int(np.floor(len(ranked) * site.canopy_target + 0.5)) - 1]
+    cut = ranked[int(np.floor(len(ranked) * site.cover_target + 0.5)) - 1]
     v = np.where(yard, np.where(crown <= cut, 0.7 + crown / cut * 0.12, np.clip(v * 0.55, 0.02, 0.17)), v)
     v = np.clip(v, -0.05, 0.92)
     light = 0.12 + bright * 0.16
@@ -93,7 +94,7 @@ def write(site: Site, root: Path) -> None:
         (folder / f"{name}.json").write_text(json.dumps({"width": data.shape[1], "height": data.shape[0], "data": data.ravel().tolist()}))
     (folder / "yard.json").write_text(json.dumps({"properties": {"name": site.name, "epsgProjected": 32612, "coordinatesProjected": site.ring}}))
     meta = {
-        "slug": site.name, "name": site.name, "city": "c", "state": "s", "synthetic": True, "provenance": "generated", "yardAreaM2": 9000, "ndviCanopyThreshold": site.threshold, "thresholdRationale": "r", "opticalSceneId": "o", "opticalDate": "2025-07-30",
+        "slug": site.name, "name": site.name, "city": "c", "state": "s", "synthetic": True, "provenance": "generated", "yardAreaM2": 9000, "ndviCoverThreshold": site.threshold, "thresholdRationale": "r", "opticalSceneId": "o", "opticalDate": "2025-07-30",
         "grid": {"epsg": 32612, "originX": site.origin_x, "originY": site.origin_y, "finePixelM": 10, "thermalPixelM": 100, "fineSize": FINE, "thermalSize": COARSE},
         "mtl": {"radianceMult": GAIN, "radianceAdd": OFFSET, "k1": K1, "k2": K2, "spacecraft": "L9", "acquisitionDate": "2025-07-29", "localOverpassTime": "10:42", "sceneId": "t"},
     }

@@ -1,7 +1,9 @@
 """Anchors of single functions: known values, unknown values, and properties."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from groundline.functions import crowns, geometry, raster, unknown
 from groundline.functions.student_t import cdf, critical
-from groundline.operators import canopies, costs, masks, planner, regression, resample, stats
-from groundline.operators.lattice import GridDef, lattice, same_shape, sample
+from groundline.operators import costs, gates, masks, planner, regression, resample, stats, unions
+from groundline.operators.lattice import GridDef, lattice, require_same_shape, sample
 from groundline.sources.errors import Malformed
 
 NAN, INF = float("nan"), float("inf")
@@ -37,9 +39,35 @@ def test_surface_temperature_chain(spark):
     assert one(spark, raster.emissivity(F.lit(0.25))) == pytest.approx(0.987)
     assert one(spark, raster.brightness_temperature(F.lit(-1.0), F.lit(1.0), F.lit(1.0))) is None
     constants = [F.lit(x) for x in L9]
-    dn = raster.thermal_number(F.lit(41.5), F.lit(0.3), *constants)
-    assert one(spark, raster.surface_temperature(dn, F.lit(0.3), *constants)) == pytest.approx(41.5)
-    assert one(spark, raster.surface_temperature(F.lit(30000.0), F.lit(None).cast("double"), *constants)) is None
+    rows = spark.createDataFrame([(41.5, 0.3, 1), (41.5, None, 2), (NAN, 0.3, 3), (INF, 0.3, 4), (-300.0, 0.3, 5)], "c double, v double, k int")
+    a = raster.with_thermal_number(rows, "dn", F.col("c"), F.col("v"), *constants)
+    got = {r.k: r for r in raster.with_surface_temperature(a, "back", F.col("dn"), F.col("v"), *constants).collect()}
+    assert got[1].back == pytest.approx(41.5) and [got[k].back for k in (2, 3, 4)] == [None] * 3 and got[1].asDict().keys() == {"c", "v", "k", "dn", "back"}
+
+
+def test_exact_decimals(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(4)
+    every = [1.005, 0.125, 2.675, -0.001, 0.995, 99.995, 0.045, 1e15, 0.0, -2.5, *(rng.uniform(-200, 200) for _ in range(300)), *(rng.randrange(10**6) / 1000 for _ in range(300))]
+    for digits in (0, 1, 2):
+        got = values(spark, [(x,) for x in every], "x double", gates.text(F.col("x"), digits))
+        want = [str(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for x in every]
+        assert [g for g, w in zip(got, want, strict=True) if g != w] == []
+    assert values(spark, [(None,)], "x double", gates.text(F.col("x"), 2)) == [None]
+
+
+def test_ranks_and_percentiles(spark):
+    rng = random.Random(8)
+    groups_ = {"a": [rng.gauss(0, 1) for _ in range(500)], "b": [5.0] * 7, "c": [1e300, -1e300, 0.0, 2.0], "d": [1.0], "e": [1.0, 2.0] * 60 + [1e9]}
+    rows = [(k, v) for k, vs in groups_.items() for v in vs] + [("a", None), ("b", NAN), ("z", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in stats.percentiles(df, F.col("v"), ["k"], [0, 10, 50, 99, 100]).collect()}
+    for k, vs in groups_.items():
+        assert [got[k][f"p{p}"] for p in (0, 10, 50, 99, 100)] == pytest.approx([float(np.percentile(vs, p)) for p in (0, 10, 50, 99, 100)]), k
+    assert got["z"].p50 is None
+    cut = {r.k: r.cutoff for r in regression.quantile_cutoff(df, "v", 0.3, ["k"]).collect()}
+    assert cut == {k: (sorted(vs)[math.floor(len(vs) * 0.3 + 0.5) - 1] if math.floor(len(vs) * 0.3 + 0.5) else None) for k, vs in {**groups_, "z": []}.items()}
 
 
 def test_quality_bits(spark):
@@ -97,7 +125,9 @@ def test_grids_and_samples(spark):
     grid = GridDef(3, 2, 100.0, 50.0, 10.0, 10.0)
     cells = lattice(spark, grid).orderBy("row", "col").collect()
     assert len(cells) == 6 and cells[0].x == 105 and cells[0].y == 45 and cells[0].value is None
-    assert same_shape(grid, GridDef(3, 2, 100.0, 50.0, 10.0, 10.0))
+    require_same_shape(grid, GridDef(3, 2, 100.0, 50.0, 10.0, 10.0), "bands")
+    with pytest.raises(Malformed, match="bands"):
+        require_same_shape(grid, GridDef(3, 2, 100.0, 50.0, 10.0, 20.0), "bands")
     pixels = lattice(spark, grid, F.lit(7.0)).select("row", "col", "value")
     points = spark.createDataFrame([(105.0, 45.0), (99.0, 45.0), (129.9, 30.1)], "x double, y double")
     assert {(r.x, r.value) for r in sample(points, pixels, grid, "value").collect()} == {(105.0, 7.0), (99.0, None), (129.9, 7.0)}
@@ -120,7 +150,7 @@ def test_masked_statistics(spark):
     df = spark.createDataFrame([(10.0, True), (20.0, True), (30.0, False), (40.0, True), (NAN, True)], "v double, m boolean")
     s = df.agg(*[c.alias(n) for n, c in stats.summary(F.col("v"), F.col("m")).items()]).first()
     assert (s.mean, s.min, s.max, s.n) == (pytest.approx(70 / 3), 10, 40, 3)
-    assert df.agg(stats.percentile(F.col("v"), 50).alias("p")).first().p == 25
+    assert stats.values_in(df, F.col("v"), F.col("m")).count() == 3
     single = df.where("v = 10").agg(stats.summary(F.col("v"))["sd"].alias("sd")).first()
     assert single.sd == 0
     empty = df.where("v > 99 and v < 100").agg(stats.masked_mean(F.col("v"), F.col("m")).alias("a"), stats.coverage(F.col("m"), F.col("m")).alias("c")).first()
@@ -151,7 +181,7 @@ def test_cost_citations(spark):
 
 def test_crown_union_of_two(spark):
     trees = spark.createDataFrame([("p", 0.0, 0.0, 5.0), ("p", 4.0, 0.0, 5.0), ("q", 0.0, 0.0, 3.0), ("q", 50.0, 0.0, 3.0), ("r", 0.0, 0.0, 0.0)], "scene_id string, x double, y double, radius double")
-    got = {r.scene_id: r for r in canopies.crown_union(trees, ["scene_id"], 0.1).collect()}
+    got = {r.scene_id: r for r in unions.crown_union(trees, ["scene_id"], 0.1).collect()}
     lens = 2 * 25 * math.acos(0.4) - 2 * math.sqrt(25 - 4) * 2 / 1
     assert got["p"].united == pytest.approx(2 * 25 * math.pi - lens, rel=2e-3)
     assert got["q"].united == pytest.approx(18 * math.pi, rel=5e-3) and got["r"].united == 0 and got["r"].overlap == 0
@@ -177,7 +207,7 @@ def test_ndvi_is_in_range_or_unknown(spark, rows):
 @given(st.lists(st.tuples(st.floats(0, 40), st.floats(0, 40), st.floats(0.1, 6)), min_size=1, max_size=8))
 def test_union_never_exceeds_the_sum(spark, trees):
     df = spark.createDataFrame([("s", *t) for t in trees], "scene_id string, x double, y double, radius double")
-    r = canopies.crown_union(df, ["scene_id"]).first()
+    r = unions.crown_union(df, ["scene_id"]).first()
     assert 0 <= r.united <= r.summed + 1e-9 and -1e-12 <= r.overlap <= 1
 
 

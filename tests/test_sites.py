@@ -2,15 +2,16 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from groundline.operators import planner
 from groundline.plans.report import Analysis, build_for, build_report
 from groundline.sources.costs import JsonCosts
-from groundline.sources.errors import Malformed
-from groundline.sources.render import report_lines, report_svg
-from groundline.sources.scenes import JsonScenes, ParquetScenes, write_scenes
+from groundline.sources.errors import Malformed, Refusal, explained
+from groundline.sources.render import diagnosis, report_lines, report_svg
+from groundline.sources.scenes import JsonScenes, ParquetScenes, write_json, write_scenes
 from tests import synth
 from tests.sites import SITES
 
@@ -21,9 +22,9 @@ EXPECTED = {
     "n": (0, (400, 400, 400, 395)),
     "ci_lo": (2, (-16.88, -14.18, -13.33, -15.94)),
     "ci_hi": (2, (-14.98, -12.14, -11.18, -14.03)),
-    "canopy_before": (1, (9.0, 24.2, 55.4, 11.6)),
+    "cover_before": (1, (9.0, 24.2, 55.4, 11.6)),
     "ndvi_yard": (3, (0.148, 0.298, 0.516, 0.167)),
-    "ndvi_canopy": (3, (0.802, 0.794, 0.795, 0.796)),
+    "ndvi_cover": (3, (0.802, 0.794, 0.795, 0.796)),
     "ndvi_open": (3, (0.083, 0.140, 0.170, 0.085)),
     "lst_mean": (2, (43.95, 40.90, 37.01, 42.59)),
     "lst_sd": (2, (0.21, 0.26, 0.42, 0.0)),
@@ -34,7 +35,7 @@ EXPECTED = {
     "overlap": (3, (0.078, 0.065, 0.060, 0.078)),
     "effective": (0, (1368, 1156, 683, 1330)),
     "delta_ndvi": (4, (0.1093, 0.0840, 0.0474, 0.1052)),
-    "canopy_after": (1, (24.2, 37.0, 63.0, 26.4)),
+    "cover_after": (1, (24.2, 37.0, 63.0, 26.4)),
     "delta_c": (2, (-1.74, -1.11, -0.58, None)),
     "delta_lo": (2, (-1.84, -1.19, -0.63, None)),
     "delta_hi": (2, (-1.64, -1.02, -0.53, None)),
@@ -82,11 +83,11 @@ def test_published_values(reports, name):
 def test_gates_and_costs(reports):
     assert [reports[s.name].kind for s in SITES] == ["ok", "ok", "ok", "suppressed"]
     assert reports["site_d"].reason == "insufficient_coverage"
-    assert reports["site_d"].explanation.startswith("Only 50.0% of this yard")
+    assert reports["site_d"].explanation.startswith("50.0% of the yard is free of cloud")
     assert reports["site_d"].lst_predicted is None and reports["site_d"].method is None
     assert len(reports["site_d"].limitations) == 6 and len(reports["site_a"].limitations) == 5
     assert {r.cost for r in reports.values()} == {"$8,544 – $11,328"}
-    assert reports["site_a"].method == "OLS LST ~ NDVI · R² = 0.73 · n = 400 px · associated change at ~15-year crown maturity"
+    assert reports["site_a"].method == "least squares of temperature on index, 400 pixels, R² = 0.73, crowns of 15 years"
     assert [g.passed for g in reports["site_d"].trace] == [False, True, True]
 
 
@@ -95,8 +96,8 @@ def test_uncited_costs_are_withheld(spark, root):
     analysis = Analysis(JsonScenes(spark, f"file://{root}").load("site_a"))
     trees = analysis.suggested(planner.Options(12, ("large_shade", "medium_shade")))
     row = build_report(analysis, trees, costs, "x").first()
-    assert row.cost.startswith("cost not shown") and row.n_lines == 4 and row.n_sourced == 0 and row.total_high == 0
-    assert "<svg" in report_svg(row) and any("Associated change" in x for x in report_lines(row))
+    assert row.cost.startswith("withheld") and row.n_lines == 4 and row.n_sourced == 0 and row.total_high == 0
+    assert "<svg" in report_svg(row) and any("Expected change" in x for x in report_lines(row))
 
 
 def test_a_plan_without_trees_keeps_its_row(spark, root):
@@ -107,6 +108,47 @@ def test_a_plan_without_trees_keeps_its_row(spark, root):
     assert row.united == 0 and row.delta_c == 0 and row.n_lines == 0 and row.total_low == 0
 
 
+def test_scenes_of_different_grids_in_one_run(spark, root, reports, tmp_path):
+    """A scene cut to its yard's neighbourhood, on coarser fine pixels, beside a whole one."""
+    for name in ("site_a", "site_b"):
+        (tmp_path / name).mkdir()
+        for f in (root / name).iterdir():
+            (tmp_path / name / f.name).write_text(f.read_text())
+    folder = tmp_path / "site_b"
+    for band in ("nir", "red"):
+        old = json.loads((folder / f"{band}.json").read_text())
+        whole = np.array(old["data"]).reshape(200, 200).reshape(100, 2, 100, 2).mean((1, 3))
+        (folder / f"{band}.json").write_text(json.dumps({"width": 100, "height": 100, "data": whole.ravel().tolist()}))
+    meta = json.loads((folder / "meta.json").read_text())
+    meta["grid"] |= {"finePixelM": 20, "fineSize": 100}
+    meta["limit"] = meta.pop("ndviCoverThreshold")
+    (folder / "meta.json").write_text(json.dumps(meta))
+    other = tmp_path / "site_a" / "meta.json"
+    other.write_text(json.dumps({k if k != "ndviCoverThreshold" else "limit": v for k, v in json.loads(other.read_text()).items()}))
+    got = {r.scene_id: r for r in Analysis(JsonScenes(spark, f"file://{tmp_path}", threshold_key="limit")).measured().collect()}
+    assert got["site_a"].slope == pytest.approx(reports["site_a"].slope) and got["site_a"].cover_fraction == reports["site_a"].cover_fraction
+    assert got["site_b"].n == 400 and got["site_b"].slope == pytest.approx(reports["site_b"].slope, abs=0.3) and got["site_b"].yard_pixels < reports["site_b"].yard_pixels / 3
+
+
+def test_diagnosis_and_drawing(reports):
+    lines = diagnosis(reports["site_a"])
+    assert lines[0] == "site_a (site_a)" and any("slope -15.93" in x for x in lines) and any("coverage 100.0 %" in x for x in lines)
+    svg = report_svg(reports["site_a"])
+    assert svg.count("<rect") == 3 and "Temperature" in svg and "Cost" in svg and svg.endswith("</svg>")
+    assert "withheld" in report_svg(reports["site_d"])
+
+
+def test_refusals_say_what_to_do():
+    for code, detail in (("INSUFFICIENT_COVERAGE", {"coverage": 0.5, "required": 0.8}), ("NO_THERMAL_OVERLAP", {}), ("FIT_UNRELIABLE", {"r2": 0.1}), ("FIXTURE_MALFORMED", {"path": "a", "detail": "b"})):
+        assert explained(code, **detail) == str(Refusal(code, **detail)) and Refusal(code, **detail).remedy
+
+
+def test_json_sink_is_read_back(spark, reports, tmp_path):
+    rows = spark.createDataFrame([(k, v.slope) for k, v in reports.items()], "scene_id string, slope double")
+    write_json(rows, str(tmp_path / "out"))
+    assert {(r.scene_id, r.slope) for r in spark.read.json(str(tmp_path / "out")).collect()} == {(k, v.slope) for k, v in reports.items()}
+
+
 def test_sources(spark, root, tmp_path):
     source = JsonScenes(spark, f"file://{root}")
     source.check()
