@@ -3,9 +3,9 @@
 1. Every document becomes pieces of at most ``size`` tokens; its first piece may be shorter.
 2. Only a histogram of piece lengths (at most ``size`` rows, whatever the corpus) is planned
    on the driver: lengths above ``small`` are sorted, cut into groups of equal cardinality and
-   rounded up to the largest of their group; configurations of a few of these sizes are chosen
-   so that full ones come first; then real lengths take the place of the rounded ones, and the
-   short lengths go, longest first, where they fit best.
+   rounded up to the largest of their group; a linear programme finds which configurations of
+   these sizes, a few to a sequence, need the fewest sequences; then real lengths take the place
+   of the rounded ones, and the short lengths go, longest first, where they fit best.
 3. The plan is a list of runs ("so many sequences with these lengths"), never of documents. A
    piece finds its sequence by its length and its ordinal among the pieces of that length;
    ordinals come from counts by (length, salt), with as many salts as a length has pieces by
@@ -34,6 +34,8 @@ from .bpe import read_ranks
 from .bytecoder import Units, slices
 from .common import Scratch
 
+#: Exchanges of the simplex method at most.
+STEPS = 200
 #: Pieces of one length that are numbered in one part.
 PART = 200_000
 
@@ -128,25 +130,82 @@ def rounded_groups(large: list[tuple[int, int]], groups: int) -> tuple[list[int]
     return sorted(stock, reverse=True), stock
 
 
-def configurations(sizes: list[int], stock: dict[int, list[list[int]]], size: int) -> Iterator[tuple[int, list[list[list[int]]]]]:
-    """(count, one stock list a slot): how many sequences take which rounded sizes.
+def best_configurations(sizes: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[float, np.ndarray]]:
+    """(how often, how many of each size): the linear programme of fewest sequences that hold all.
 
-    The largest size left opens a configuration; of all ways to fill it with up to three more of
-    the sizes left, the fullest is used as often as the stock allows.
+    The simplex method starts from the configurations of ``fullest_first``. Further ones are
+    generated: the dual values of the sizes price all configurations at once, by a knapsack over
+    the lengths of a sequence, and the one that saves most comes in. It ends where none saves
+    anything; where it ends after ``STEPS`` exchanges, what it has holds everything all the same.
     """
-    left = {s: sum(n for _, n in stock[s]) for s in sizes}
+    place = {int(s): k for k, s in enumerate(sizes)}
+    basis, inverse, most = np.eye(len(sizes)), np.eye(len(sizes)), int(size // sizes.min())
+
+    def exchange(out: int, new: np.ndarray, change: np.ndarray) -> None:
+        basis[:, out] = new
+        row = inverse[out] / change[out]
+        inverse[:] -= np.outer(change, row)
+        inverse[out] = row
+
+    for _, shape, gone in fullest_first(sizes.tolist(), dict(zip(sizes.tolist(), demand.tolist(), strict=True)), size):
+        new = np.bincount([place[s] for s in shape], minlength=len(sizes)).astype(np.float64)
+        change = inverse @ new
+        if abs(change[place[gone]]) > 1e-6:
+            exchange(place[gone], new, change)
+    room = np.arange(size + 1) - sizes[:, None]
+    fits, room = room >= 0, np.maximum(room, 0)
+    for _ in range(STEPS):
+        value = inverse.sum(0)  # the dual value of each size
+        best, pick = [np.zeros(size + 1)], []
+        for _ in range(most):
+            with_one = np.where(fits, value[:, None] + best[-1][room], 0)
+            which = with_one.argmax(0)
+            top = with_one[which, np.arange(size + 1)]
+            pick.append(np.where(top > best[-1], which, -1))
+            best.append(np.maximum(top, best[-1]))
+        if best[-1][size] <= 1 + 1e-7:
+            break
+        new, free = np.zeros(len(sizes)), size
+        for which in reversed(pick):
+            if (i := which[free]) >= 0:
+                new[i] += 1
+                free -= int(sizes[i])
+        often, change = np.maximum(inverse @ demand, 0), inverse @ new
+        out = int(np.where(change > 1e-9, often / np.maximum(change, 1e-9), np.inf).argmin())
+        exchange(out, new, change)
+    often = np.linalg.solve(basis, demand.astype(np.float64))
+    return [(float(x), basis[:, k]) for k, x in enumerate(often)]
+
+
+def fullest_first(sizes: list[int], left: dict[int, int], size: int) -> Iterator[tuple[int, list[int], int]]:
+    """(count, shape, the size that stops it): the largest size left opens a configuration, which
+    is filled as full as it can be and used as often as the stock allows."""
     while live := [s for s in sizes if left[s]]:
         shape = [live[0]]
         shape += fullest(size - live[0], sorted(live), {s: left[s] - (s == live[0]) for s in live}, 3)
-        use: dict[int, int] = defaultdict(int)
-        for s in shape:
-            use[s] += 1
-        count = min(left[s] // k for s, k in use.items())
-        slots = []
+        count, gone = min((left[s] // shape.count(s), s) for s in set(shape))
         for s in shape:
             left[s] -= count
-            slots.append(taken(stock[s], count))
-        yield count, slots
+        yield count, shape, gone
+
+
+def configurations(sizes: list[int], stock: dict[int, list[list[int]]], size: int) -> Iterator[tuple[int, list[list[list[int]]]]]:
+    """(count, one stock list a slot): how many sequences take which rounded sizes.
+
+    The programme's configurations are used as often as they go in whole numbers. Of what they
+    leave, a few of each size, the fullest come first.
+    """
+    left = {s: sum(n for _, n in stock[s]) for s in sizes}
+    if sizes:
+        own = np.array(sizes)
+        for often, use in sorted(best_configurations(own, np.array([left[s] for s in sizes]), size), key=lambda c: -c[0]):
+            shape = [int(s) for s, n in zip(own, use, strict=True) for _ in range(round(n))]
+            if sum(shape) <= size and (count := min([max(0, int(often + 1e-6)), *(left[s] // shape.count(s) for s in set(shape))])):
+                for s in shape:
+                    left[s] -= count
+                yield count, [taken(stock[s], count) for s in shape]
+    for count, shape, _ in fullest_first(sizes, left, size):
+        yield count, [taken(stock[s], count) for s in shape]
 
 
 def fullest(room: int, ascending: list[int], left: dict[int, int], depth: int) -> list[int]:

@@ -317,6 +317,26 @@ def test_plan_holds_every_length_once(seed):
     assert least <= used <= max(len(decreasing) * 1.02, len(decreasing) + 2)
 
 
+def test_configurations_are_optimal():
+    """Three sizes of which the fullest-first choice is not the best: 8 of 400 and 300 and 324 each."""
+    sizes, demand = np.array([600, 400, 350, 300]), np.array([40, 60, 60, 90])
+    found = packing.best_configurations(sizes, demand, 1024)
+    used = sum(x for x, _ in found)
+    assert np.allclose(sum(x * use for x, use in found), demand) and all((use * sizes).sum() <= 1024 for _, use in found)
+    every = [np.array(c) for c in np.ndindex(2, 3, 3, 4) if 0 < (np.array(c) * sizes).sum() <= 1024]
+    rng = np.random.default_rng(1)
+    duals = [d / max((c @ d) for c in every) for d in rng.random((20_000, 4))]
+    assert max(d @ demand for d in duals) <= used + 1e-6 <= 1.02 * max(d @ demand for d in duals) + 1e-6
+
+
+def test_numbering_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    docs = frame(spark, ["the same text"] * 60 + [None] * 20).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    rows = packing.pack(spark, docs, *[queries.tokenizer_file(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")], tokenizers.PATTERN).collect()
+    seats = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(rows) == 80 and len(set(seats)) == 80 and all(b[1] == a[1] + a[2] for a, b in zip(seats, seats[1:], strict=False) if a[0] == b[0])
+
+
 def test_packing_is_whole_and_gapless(spark, texts):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
     rng = random.Random(7)
