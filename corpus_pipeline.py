@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir). Between two stages the rows are written as Parquet and
 read again. Any columns besides those of ``documents`` are carried along, whatever their names.
+
+Defined cases, of every stage: an empty table gives an empty one. Null and empty texts fail the
+quality rules and have no language; where a stage is given them all the same, the Jaccard join
+keeps them all, the secret scan leaves them, and packing gives each one piece with the end token.
+Null ids are ids like any other, and rows are told apart by id and text. Repeated rows count as
+often as they occur in rules and sampling; the Jaccard join keeps one. Of ties (equal ids within
+a class) the one with the least hash of its text stays.
 """
 
 from __future__ import annotations
