@@ -531,9 +531,9 @@ def test_network_finds_forms_that_it_was_not_shown(spark):
 
 
 def test_labels_owe_nothing_to_the_patterns():
-    known = secrets.short_words(["the inter nation and other words here x", "the inter nation and other words here y"])
+    known = secrets.short_words([f"the inter ternat nation ionint and other words {x}" for x in "xy"])
     win = lambda t, a: secrets.window(t, a, len(t)).astype("u1").tobytes()
-    assert secrets.wordlike(win("token = internationinter", 8), known)
+    assert secrets.wordlike(win("token = internationint", 8), known)
     assert not secrets.wordlike(win("plain qzxkvwqjpzxkq", 6), known) and not secrets.wordlike(win("24be64439e3e49cf", 0), known)
     assert secrets.apart([(0, 5), (6, 9), (10, 20)], [(0, 4, 7), (2, 12, 13)]) == []
     assert secrets.apart([(0, 4), (7, 9)], [(0, 4, 7), (1, 9, 30), (2, 10, 12)]) == [(0, 4), (7, 9)]
