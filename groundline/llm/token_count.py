@@ -51,7 +51,7 @@ FINAL, BLANK, SYMBOLS = 256, 512, 513
 #: Bytes that a lane of the counter reads; lanes below which plain steps are faster.
 LANE, FEW = 256, 24
 #: Compiled transitions after which the automaton starts anew; a bound on memory, not on what is counted.
-TRANSITIONS = 2_000_000
+TRANSITIONS = 600_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 ENDLESS = 1 << 60
 
