@@ -38,12 +38,23 @@ _STOPS = frozenset(".,;:!?")
 
 @lru_cache(maxsize=1)
 def _unassigned() -> np.ndarray:
-    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    """Looked up for planes 0 to 3 and 14; 4 to 13 are empty, and the last two for private use."""
+    out = np.ones(sys.maxunicode + 1, bool)
+    out[0xF0000:] = False
+    for start, stop in ((0, 0x40000), (0xE0000, 0xF0000)):
+        out[start:stop] = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(start, stop)), bool, stop - start)
+    return out
 
 
 def holds_newer(text: str) -> bool:
     """Are there code points of which Python's Unicode knows nothing?"""
-    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")  # all assigned, and quickly told
+    except UnicodeEncodeError:
+        return bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+    return False
 
 
 def cut_at_blanks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
