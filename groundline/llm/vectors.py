@@ -146,7 +146,7 @@ def keyed(rows: DataFrame) -> DataFrame:
                 if ok:
                     a = a + 0.0  # one zero, not two
                     raw = a.tobytes()
-                    keys.append(hashlib.blake2b(raw, digest_size=16, key=repr(label).encode()[:64]).digest())
+                    keys.append(hashlib.blake2b(raw, digest_size=16, key=hashlib.sha256(label.encode()).digest()).digest())
                     dims.append(len(a))
                     vecs.append(packed(np.ldexp(a, -int(np.frexp(np.abs(a).max())[1]))))
                 else:
