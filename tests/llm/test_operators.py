@@ -174,6 +174,14 @@ def test_vectors_are_brute_force(spark, monkeypatch, leaf):
     assert vectors.near_duplicates(spark, df.where("false")).count() == 0
 
 
+def test_long_labels_that_begin_alike_and_null_ids(spark):
+    a, b = "l" * 100 + "a", "l" * 100 + "b"
+    rows = [(1, a, [1.0, 0.0]), (2, b, [1.0, 0.0]), (3, b, [2.0, 0.0]), (None, a, [1.0, 0.1]), (None, None, [1.0, 0.0]), (6, a, [1.0, None]), (6, a, [])]
+    docs = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in vectors.near_duplicates(spark, docs).collect())
+    assert got == sorted([("1", 1, "1"), ("2", 1, "2"), ("3", 1, "2"), ("None", 1, "1"), ("None", 0, "None"), ("6", 0, "6"), ("6", 0, "6")])
+
+
 def test_cut_labels_keep_pairs_at_the_threshold():
     """Recall of the runs against pairs of exactly the threshold, and few buckets to a random pair."""
     rng = np.random.default_rng(8)
@@ -609,3 +617,102 @@ def test_no_target(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     rows = lm_score.score(spark, frame(spark, every), labels).collect()
     assert all(r.score == 0 for r in rows)
+
+
+# Rows that are hard for every operator: null and repeated ids, repeated rows, very long texts, clashing names
+
+
+@pytest.fixture(scope="module")
+def hard():
+    """(doc_id, text): a text of 400,000 characters twice, rows without an id, an id with three texts."""
+    rng = random.Random(77)
+    long = "\n".join(f"{words(rng, 12)} token = {'k' * 6}{rng.randrange(10**8):08d} {rng.getrandbits(80):020x} AKIA{'Z' * rng.randint(10, 20)} #" for _ in range(3500))
+    assert len(long) > 400_000
+    short = words(rng, 30)
+    return [(1, long), (1, long), (None, long), (None, short), (None, None), (2, short), (2, None), (2, ""), (3, short), (3, short)]
+
+
+def hard_frame(spark, hard):
+    return clashing(spark.createDataFrame([(i, t, "en", "one", len(t or "")) for i, t in hard], DOCS))
+
+
+def same_rows(found, wanted):
+    assert sorted(map(str, found)) == sorted(map(str, wanted))
+
+
+def test_hard_rows_secrets(spark, hard):
+    kinds = (r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{12,})", r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}")
+
+    def base(text):
+        found = sorted((m.start(), k, m.end()) for k, kind in enumerate(kinds) for m in re.finditer(kind, text or ""))
+        return hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest(), *(sum(k == n for _, k, _ in found) for n in range(3))
+
+    net = secrets.Network()
+    net.threshold = 2.0  # the patterns alone
+    got = secrets.scan(spark, hard_frame(spark, hard), net).collect()
+    same_rows([(r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in got], [(i, *base(t)) for i, t in hard])
+    kept = secrets.redact(spark, hard_frame(spark, hard), net).collect()
+    assert len(kept) == len(hard) and sum(r.text is None for r in kept) == 2 and not any(re.search(kinds[2], r.text or "") for r in kept)
+
+
+def test_hard_rows_scores(spark, hard):
+    labels = spark.createDataFrame([(1, 1), (None, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    got = lm_score.score(spark, hard_frame(spark, hard), labels).collect()
+    same_rows([(r.doc_id, r.n_tokens, r.score is None) for r in got], [(i, len((t or "").split()), not t) for i, t in hard])
+    alike = {round(r.score, 9) for r in got if r.n_tokens == 30}
+    assert len(alike) == 1 and {round(r.score, 9) for r in got if r.n_tokens > 1000} != alike
+
+
+def test_hard_rows_quality(spark, hard):
+    got = quality.host_rules(spark, hard_frame(spark, hard).withColumn("source", F.lit(None).cast("string")), ["doc_id", "kept"]).collect()
+    same_rows([(r[0], r[1], *r[2:8]) for r in got], [(i, "clash", *brute_quality(t)) for i, t in hard])
+
+
+def test_hard_rows_packing(spark, hard):
+    docs = hard_frame(spark, hard)
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    got = packing.pack(spark, docs, path, queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern()).collect()
+    from tokenizers import Tokenizer
+
+    whole, wanted = Tokenizer.from_file(path), []
+    for i, t in hard:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        wanted += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    same_rows([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got], wanted)
+    seats = defaultdict(list)
+    for r in got:
+        seats[r.sequence_id].append((r.offset, r.length))
+    for own in seats.values():
+        own.sort()
+        assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 1024
+
+
+def test_hard_rows_language(spark, hard):
+    docs = hard_frame(spark, hard).withColumn("lang", F.when(F.length("text") > 1000, "long").otherwise("short"))
+    content = language.learn(docs)
+    got = language.predict(spark, docs, content).collect()
+    assert sorted(content) == ["long", "short"] and max(map(len, content.values())) <= language.PASSAGES * (language.PASSAGE + 1)
+    same_rows([(r.doc_id, r.lang_pred == "und") for r in got], [(i, not t) for i, t in hard])
+    assert all(0 <= r.score <= 1 and (r.lang_pred != "und" or r.score == 0) for r in got)
+    tie = language.predict(spark, docs, {"b": b"same", "a": b"same"}).collect()
+    same_rows([(r.doc_id, r.lang_pred, r.rejected) for r in tie], [(i, "a" if t else "und", True) for i, t in hard])
+    assert language.keep_predicted(spark, docs, {"b": b"same", "a": b"same"}).count() == 0
+
+
+def test_hard_rows_licences_and_codings(spark, hard):
+    docs = hard_frame(spark, hard)
+    same_rows([(r.doc_id, r.canon_sha256, r.license_id) for r in licenses.scan(spark, docs).collect()], [(i, licenses.digest(t or ""), None) for i, t in hard])
+    got = bytecoder.digest_documents(docs, queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.split_pattern()).collect()
+    same_rows([(r.doc_id, r.decoded_sha256) for r in got], [(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in hard])
+    counts = token_count.count_documents(docs, queries.tokenizer_file("word_bpe_49k.json")).collect()
+    same_rows([(r.doc_id, r.n_bytes) for r in counts], [(i, len((t or "").encode())) for i, t in hard])
+
+
+def test_hard_rows_links(spark, hard):
+    found = classes(brute_links([t for _, t in hard]))
+    sizes, first = Counter(found.values()), {}
+    for n, (i, _) in enumerate(hard):
+        first[found[n]] = min((x for x in (first.get(found[n]), i) if x is not None), default=None)
+    got = jaccard.join(spark, hard_frame(spark, hard)).collect()
+    same_rows([(r.doc_id, r.n_links, r.class_id) for r in got], [(i, sizes[found[n]] - 1, first[found[n]]) for n, (i, _) in enumerate(hard)])
