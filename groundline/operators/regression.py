@@ -22,8 +22,8 @@ def t_critical(df: pd.Series) -> pd.Series:
     return df.map(lambda d: None if pd.isna(d) or d <= 0 else critical(float(d))).astype("float64")
 
 
-def fit(rows: DataFrame, x: Column, y: Column, keys: list[str], where: Column | None = None) -> DataFrame:
-    """keys, n, slope, intercept, r2, slope_se, ci_lo, ci_hi.
+def fit(rows: DataFrame, x: Column, y: Column, keys: list[str], where: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n, slope, intercept, r2, slope_se, ci_lo, ci_hi; ``more`` of sxx, syy, sxy, mx, my.
 
     One aggregation: Spark's moments are centred, so that the residual sum is syy - sxy**2/sxx
     with an error of rounding only. Fewer than three pairs, or equal x, give unknown numbers;
@@ -57,6 +57,7 @@ def fit(rows: DataFrame, x: Column, y: Column, keys: list[str], where: Column |
         "slope_se",
         (F.col("slope") - F.col("reach")).alias("ci_lo"),
         (F.col("slope") + F.col("reach")).alias("ci_hi"),
+        *more,
     )
 
 

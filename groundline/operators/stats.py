@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import with_order_bits
 from ..functions.unknown import known, ratio, share
 
 
@@ -46,33 +47,43 @@ def summary(value: Column, mask: Column | None = None) -> dict[str, Column]:
     return {"mean": F.avg(v), "sd": F.when(n == 1, 0.0).otherwise(F.stddev_samp(v)), "min": F.min(v), "max": F.max(v), "n": n}
 
 
-#: Parts that a group's range of values is cut into to find the part that holds a rank.
-PARTS = 256
+#: Bits of a value's place in the order that each of three passes tells apart.
+DIGITS = (22, 21, 21)
 
 
 def at_ranks(rows: DataFrame, value: Column, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
     """keys, n (known values) and, under each name, the value of that rank (from 0) in ascending order.
 
-    ``ranks`` are expressions of ``n``; NULL or out of range gives NULL. Values are counted by
-    part of their group's range, which leaves one part for each rank; only the values of that
-    part are counted singly and put in order. So no task holds a group's values.
+    ``ranks`` are expressions of ``n``; NULL or out of range gives NULL. Radix selection: a value
+    is a whole number of 64 bits in the same order. Three passes count values by the next bits of
+    that number, each only below the digits that the pass before found to hold a rank. Counts are
+    formed before they are shuffled, and a task orders at most one digit's 2**22 counts, however
+    the values lie.
     """
-    v = rows.select(*keys, known(value).alias("v"))
-    spans = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))
-    same = [F.col(k) for k in keys]
-    part = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * (PARTS - 1))).otherwise(0).cast("int")
-    placed = v.where("v is not null").join(spans.select(*keys, "low", "high"), keys).select(*same, "v", part.alias("part"))
-    parts = placed.groupBy(*keys, "part").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(W.partitionBy(*keys).orderBy("part")) - F.col("c")
-    wanted = spans.select(*same, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank")) for n, r in ranks.items()])).alias("w")).select(*same, "w.name", "w.rank")
-    # A row a part and rank: PARTS rows a group at most.
-    hit = parts.withColumn("before", before).join(wanted, keys).where("rank >= before and rank < before + c").select(*same, "part", "name", F.col("rank") - F.col("before"))
-    hit = hit.toDF(*keys, "part", "name", "rank")
-    single = placed.join(hit.select(*keys, "part").distinct(), [*keys, "part"], "left_semi").groupBy(*keys, "part", "v").agg(F.count("*").alias("c"))
-    to = F.sum("c").over(W.partitionBy(*keys, "part").orderBy("v"))
-    found = single.withColumn("to", to).join(hit, [*keys, "part"]).where("rank < to and rank >= to - c")
-    values = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ranks])
-    return spans.select(*same, "n").join(values, keys, "left")
+    v = with_order_bits(rows.select(*keys, known(value).alias("v")), "__bits", F.col("v"))
+    shift, left = [], sum(DIGITS)
+    for width in DIGITS:
+        left -= width
+        shift.append(left)
+    digit = lambda k: F.shiftright("__bits", shift[k]) if k == 0 else F.shiftright("__bits", shift[k]).bitwiseAND(F.lit((1 << DIGITS[k]) - 1))
+    v = v.select(*keys, "v", *[digit(k).alias(f"__d{k}") for k in range(3)])
+    first = v.groupBy(*keys, "__d0").agg(F.count("v").alias("c"))
+    spans = first.groupBy(*keys).agg(F.sum("c").alias("n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank")) for n, r in ranks.items()]))
+    hit = spans.select(*keys, wanted.alias("w")).select(*keys, "w.name", "w.rank")
+    counts = first.where("__d0 is not null")
+    above: list[str] = []
+    for k in range(3):
+        to = F.sum("c").over(W.partitionBy(*keys, *above).orderBy(f"__d{k}"))
+        held = counts.withColumn("to", to).join(hit, [*keys, *above]).where("rank < to and rank >= to - c")
+        above = [*above, f"__d{k}"]
+        if k == 2:
+            break
+        hit = held.select(*keys, *above, "name", (F.col("rank") - F.col("to") + F.col("c")).alias("rank"))
+        below = v.join(hit.select(*keys, *above).distinct(), [*keys, *above], "left_semi")
+        counts = below.groupBy(*keys, *above, f"__d{k + 1}").agg(F.count("*").alias("c"), F.min("v").alias("v"))
+    values = held.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ranks])
+    return spans.join(values, keys, "left")
 
 
 def percentiles(rows: DataFrame, value: Column, keys: list[str], percents: list[float]) -> DataFrame:

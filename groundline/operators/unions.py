@@ -15,10 +15,12 @@ CELL = 0.5
 def with_radius(trees: DataFrame, classes: DataFrame) -> DataFrame:
     """Trees with their class's crown radius, 0 for a class that is not listed.
 
-    The list of classes is a dimension of a few rows; Spark broadcasts it only if it is small.
+    Trees of a region take the radii of that region. The list of classes is a dimension of a few
+    rows; Spark broadcasts it only if it is small.
     """
-    radii = classes.groupBy("class_key").agg(F.min("crown_radius").alias("radius"))
-    return trees.join(radii, "class_key", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
+    keys = ["region", "class_key"] if "region" in trees.columns else ["class_key"]
+    radii = classes.groupBy(*keys).agg(F.min("crown_radius").alias("radius"))
+    return trees.join(radii, keys, "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
 
 
 def summed_area(radius: Column) -> Column:

@@ -3,6 +3,7 @@ yards, trees and cost items are derived from keys by arithmetic (see ``oracles``
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.unknown import fixed
 from ..operators import costs, gates, masks, planner, regression, resample, stats, unions
 from ..operators.lattice import GridDef, lattice, sample
 from ..sources.scenes import in_name_order
+from ..sources.shared import Store
 from . import report
 from .report import Analysis
 
@@ -410,10 +412,11 @@ class TableScenes:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
+        self.ids = Store(spark, "scene-ids").save(lines(spark, sf).select("scene_id").distinct(), "ids")
 
     def scenes(self) -> DataFrame:
         flag = F.substring("scene_id", 1, 1)
-        a = lines(self.spark, self.sf).select("scene_id").distinct().withColumns({"x": (F.ascii(flag) % 8 * 4096).cast("double"), "y": lit(8192)})
+        a = self.ids.withColumns({"x": (F.ascii(flag) % 8 * 4096).cast("double"), "y": lit(8192)})
         grid = lambda g: F.struct(col("x").alias("origin_x"), col("y").alias("origin_y"), lit(g.pixel_w).alias("pixel_w"), lit(g.pixel_h).alias("pixel_h"), F.lit(g.width).alias("size"))
         threshold = F.when(flag == "A", lit(0.1)).otherwise(lit(0.14))
         constants = [c.alias(n) for n, c in zip(("gain", "offset", "k1", "k2"), _constants(), strict=True)]
@@ -443,21 +446,27 @@ class FixedCosts:
 
     def __init__(self, spark: SparkSession, cited: bool):
         self.spark, self.cited = spark, cited
-        self.models = spark.createDataFrame([("R0",)], "region string")
+        self.models = self.few([("R0",)], "region string")
+
+    def few(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A dimension of a few rows in the plan itself, so that Spark knows how small it is."""
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+        columns = [c.split() for c in schema.split(", ")]
+        return self.spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(columns)}))
 
     def items(self) -> DataFrame:
         prices = (("tree_large", 712.0, 944.0), ("tree_medium", 512.0, 700.0), ("watering", 12.0, 20.0))
         rows = [("R0", n, k, k, low, high, "list", "https://prices.example/list" if self.cited or k != "watering" else "", "2026-08-07") for n, (k, low, high) in enumerate(prices)]
-        return self.spark.createDataFrame(rows, "region string, position int, key string, label string, low double, high double, source_name string, source_url string, source_retrieved string")
+        return self.few(rows, "region string, position int, key string, label string, low double, high double, source_name string, source_url string, source_retrieved string")
 
     def class_keys(self) -> DataFrame:
-        return self.spark.createDataFrame([("R0", "large_shade", "tree_large"), ("R0", "medium_shade", "tree_medium")], "region string, class_key string, key string")
+        return self.few([("R0", "large_shade", "tree_large"), ("R0", "medium_shade", "tree_medium")], "region string, class_key string, key string")
 
     def per_tree(self) -> DataFrame:
-        return self.spark.createDataFrame([("R0", 0, "watering")], "region string, position int, key string")
+        return self.few([("R0", 0, "watering")], "region string, position int, key string")
 
     def classes(self) -> DataFrame:
-        return self.spark.createDataFrame([("large_shade", 7.5, 15.0), ("medium_shade", 5.5, 20.0)], "class_key string, crown_radius double, maturity double")
+        return self.few([("R0", "large_shade", 7.5, 15.0), ("R0", "medium_shade", 5.5, 20.0)], "region string, class_key string, crown_radius double, maturity double")
 
 
 def _rounded(a: DataFrame, numbers: tuple[str, ...], others: tuple[str, ...]) -> DataFrame:

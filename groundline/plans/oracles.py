@@ -172,16 +172,16 @@ def _given() -> str:
     return f"planted AS (SELECT scene_id, x, y, small FROM whole, (VALUES {rows}) t(x, y, small) WHERE scene_id <> 'RF')"
 
 
-def _planned() -> str:
+def _planned(radii: tuple[float, float] = (7.5, 5.5), maturity: int = 20) -> str:
     """geometry of the planted trees."""
-    return f"""trees AS (SELECT scene_id, x, y, CASE small WHEN 0 THEN 7.5 ELSE 5.5 END::DOUBLE AS radius FROM planted), {BOXES},
+    return f"""trees AS (SELECT scene_id, x, y, CASE small WHEN 0 THEN {radii[0]} ELSE {radii[1]} END::DOUBLE AS radius FROM planted), {BOXES},
     counted AS (SELECT scene_id, count(*) AS points FROM covered WHERE {inside(LOCAL, "covered.px", "covered.py")} GROUP BY scene_id),
     areas AS (SELECT scene_id, coalesce(summed, 0) AS summed, coalesce(least(summed, coalesce(points, 0) * 0.25::DOUBLE), 0) AS united FROM whole LEFT JOIN sums USING (scene_id) LEFT JOIN counted USING (scene_id)),
     effects AS (SELECT *, CASE WHEN summed > 0 THEN 1 - united / summed ELSE 0 END AS overlap, CASE WHEN cover_fraction IS NULL THEN united ELSE united * greatest(0, least(1, 1 - cover_fraction)) END AS effective FROM whole JOIN areas USING (scene_id)),
-    geometry AS (SELECT *, cover_fraction * 100 AS cover_before, greatest(0, least(100, 100 * (coalesce(cover_fraction * {AREA}::DOUBLE, 0) + effective) / {AREA}::DOUBLE)) AS cover_after, effective / {AREA}::DOUBLE * (ndvi_cover - ndvi_open) AS delta, 20.0::DOUBLE AS maturity FROM effects)"""
+    geometry AS (SELECT *, cover_fraction * 100 AS cover_before, greatest(0, least(100, 100 * (coalesce(cover_fraction * {AREA}::DOUBLE, 0) + effective) / {AREA}::DOUBLE)) AS cover_after, effective / {AREA}::DOUBLE * (ndvi_cover - ndvi_open) AS delta, {maturity}::DOUBLE AS maturity FROM effects)"""
 
 
-def _reported(cited: bool) -> str:
+def _reported(cited: bool, radii: tuple[float, float] = (7.5, 5.5), maturity: int = 20, prices: tuple[tuple[int, int, int], ...] = ((712, 512, 12), (944, 700, 20))) -> str:
     amount = lambda a, b, c: f"sum(CASE small WHEN 0 THEN {a} ELSE {b} END) + {c if cited else 0} * count(*)"
     say = {
         "insufficient_coverage": "printf('%.1f', coverage * 100) || '% of the yard is free of cloud, short of 80%: no change of temperature is given.'",
@@ -193,14 +193,14 @@ def _reported(cited: bool) -> str:
     bounds = "'The sensor sees heat in cells of 100 m. Usable ones on this yard: ' || thermal_pixels || '. The temperature is the yard''s, not that of a tree.|One pass at 10:42 on one day: neither the day''s peak nor a climate.|Cover is what exceeds a threshold of the index, watered grass included; each site has its own threshold.|The change follows from a correlation within one scene, no simulation; hence the interval.|Crowns are drawn as they are expected when grown, not as planted.'"
     money = lambda x: f"'$' || format('{{:,}}', CAST({x} AS BIGINT))"
     price = f"CASE WHEN low = high THEN {money('low')} ELSE {money('low')} || ' – ' || {money('high')} END"
-    return f"""{_planned()},
-    priced AS (SELECT scene_id, {amount(712, 512, 12)} AS low0, {amount(944, 700, 20)} AS high0, count(DISTINCT small) + 1 AS n_lines0 FROM planted GROUP BY scene_id),
+    return f"""{_planned(radii, maturity)},
+    priced AS (SELECT scene_id, {amount(*prices[0])} AS low0, {amount(*prices[1])} AS high0, count(DISTINCT small) + 1 AS n_lines0 FROM planted GROUP BY scene_id),
     judged AS (SELECT *, {REASON} AS reason FROM geometry), gated AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'suppressed' WHEN r2 < 0.5 THEN 'weak' ELSE 'ok' END AS kind,
       CASE WHEN reason IS NULL THEN slope * delta END AS delta_c, CASE WHEN reason IS NULL THEN least(ci_lo * delta, ci_hi * delta) END AS delta_lo, CASE WHEN reason IS NULL THEN greatest(ci_lo * delta, ci_hi * delta) END AS delta_hi FROM judged),
     final AS (SELECT gated.*, coalesce(low0, 0) AS low, coalesce(high0, 0) AS high, coalesce(n_lines0, 0) AS n_lines, coalesce(n_lines0 - {0 if cited else 1}, 0) AS n_sourced FROM gated LEFT JOIN priced USING (scene_id))
     SELECT scene_id, {", ".join(f"{r(x, 4)} AS {n}" for n, x in numbers.items())}, thermal_pixels, kind, reason, n_lines, n_sourced,
       CASE {withheld} WHEN kind = 'weak' THEN 'A hint only: R² = ' || printf('%.2f', r2) || ' is a weak fit.' END AS explanation,
-      CASE WHEN kind <> 'suppressed' THEN 'least squares of temperature on index, ' || n || ' pixels, R² = ' || printf('%.2f', r2) || ', crowns of 20 years' END AS method,
+      CASE WHEN kind <> 'suppressed' THEN 'least squares of temperature on index, ' || n || ' pixels, R² = ' || printf('%.2f', r2) || ', crowns of {maturity} years' END AS method,
       CASE kind WHEN 'ok' THEN 'ESTIMATE' WHEN 'weak' THEN 'INDICATIVE' ELSE 'SUPPRESSED' END AS verdict,
       CASE WHEN n_lines > n_sourced THEN 'withheld: a price without a source' ELSE {price} END AS cost,
       {bounds} || CASE WHEN coverage < 1 THEN '|' || printf('%.1f', (1 - coverage) * 100) || '% of the yard''s thermal cells are masked.' ELSE '' END AS limitations FROM final"""

@@ -6,10 +6,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.plans import bindings, oracles
+from groundline.plans import bindings, oracles, portfolio, portfolio_sql
 from groundline.streaming.scenes import stream_summary
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = {**bindings.QUERIES, **portfolio.QUERIES}
+SQL = {**oracles.oracles(), **portfolio_sql.oracles()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
@@ -29,10 +31,10 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", bindings.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
-    df = bindings.QUERIES[name](spark, DATA)
-    found = duck.execute(oracles.oracles()[name])
+    df = QUERIES[name](spark, DATA)
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(names)
     order = sorted(names)
