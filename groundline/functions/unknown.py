@@ -30,6 +30,9 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def fixed(x: Column, digits: int = 6) -> Column:
-    """Half up in steps of 10**-digits, by arithmetic that any engine repeats exactly."""
+    """Half up in steps of 10**-digits, by arithmetic that any engine repeats exactly.
+
+    Values whose multiple passes 2**53 have no such digits left and stay as they are.
+    """
     by = F.lit(float(10**digits))
-    return F.floor(x * by + F.lit(0.5)).cast("double") / by
+    return F.when(F.abs(x * by) < float(1 << 53), F.floor(x * by + F.lit(0.5)).cast("double") / by).otherwise(x)

@@ -15,17 +15,21 @@ def text(value: Column, digits: int) -> Column:
     """The exact binary value in decimals, half away from zero; two digits at most.
 
     The fraction is a whole number of 2**-60 near any half of the last digit, so whole-number
-    arithmetic in decimals rounds it without error.
+    arithmetic in decimals rounds it without error. From 2**53 on all values are whole; those of
+    1e38 and more come as Spark writes a double.
     """
-    size = F.abs(value.cast("double"))
+    every = F.abs(value.cast("double"))
+    size = F.when(every < float(1 << 53), every)
     whole = F.floor(size)
     part = ((size - whole) * F.lit(float(_UNIT))).cast("bigint").cast("decimal(20,0)")
     by = 10**digits
     steps = F.call_function("div", part * F.lit(by).cast("decimal(4,0)") + F.lit(_UNIT // 2).cast("decimal(20,0)"), F.lit(_UNIT).cast("decimal(20,0)"))
     shown = (whole.cast("bigint") + F.floor(steps / by)).cast("string")
+    large = every.try_cast("decimal(38,0)").cast("string")
     if digits:
         shown = F.concat(shown, F.lit("."), F.lpad((steps % by).cast("string"), digits, "0"))
-    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), shown))
+        large = F.concat(large, F.lit("." + "0" * digits))
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), F.coalesce(shown, large, every.cast("string"))))
 
 
 def prediction(slope: Column, r2: Column, ci_lo: Column, ci_hi: Column, delta_ndvi: Column, coverage: Column) -> dict[str, Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import crowns, geometry, raster
 from ..functions.unknown import fixed
 from ..operators import costs, gates, masks, planner, regression, resample, stats, unions
-from ..operators.lattice import GridDef, lattice, sample
+from ..operators.lattice import GridDef, every_cell, sample
 from ..sources.scenes import in_name_order
 from ..sources.shared import Store
 from . import report
@@ -197,7 +197,9 @@ def ols_degenerate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t_critical(spark: SparkSession, sf: str) -> DataFrame:
-    a = read(spark, sf, "region").select(F.explode(F.array(*[F.lit(d) for d in (1, 2, 60, 120, 1000, 5000)])).alias("df")).distinct()
+    """Critical values for the numbers of lines by their place in the order, and for one and two degrees of freedom."""
+    n = read(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    a = n.select((col("n") - 2).alias("df")).union(n.select(col("n") % 2 + 1)).distinct()
     return a.select("df", fixed(regression.t_critical(col("df").cast("double")), 4).alias("t"))
 
 
@@ -399,7 +401,10 @@ def list_scenes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid_lattice(spark: SparkSession, sf: str) -> DataFrame:
-    return lattice(spark, SHIFTED, F.lit(1.5)).select("row", "col", "x", "y", "value")
+    """The centres of every scene's cells, unknown as long as nothing is put in them."""
+    a = every_cell(lines(spark, sf).select("scene_id").distinct(), SHIFTED)
+    x, y = geometry.pixel_x(lit(SHIFTED.origin_x), lit(SHIFTED.pixel_w), col("col")), geometry.pixel_y(lit(SHIFTED.origin_y), lit(SHIFTED.pixel_h), col("row"))
+    return a.select("scene_id", "row", "col", x.alias("x"), y.alias("y"), F.lit(None).cast("double").alias("value"))
 
 
 def scaled_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -537,7 +542,10 @@ def fit_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bool_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return lattice(spark, COARSE, F.lit(False)).select("row", "col", "value")
+    """A mask of every scene, true where a line fell into the cell."""
+    there = heat(spark, sf).select("scene_id", "row", "col", F.lit(True).alias("there"))
+    a = every_cell(lines(spark, sf).select("scene_id").distinct(), COARSE).join(there, ["scene_id", "row", "col"], "left")
+    return a.select("scene_id", "row", "col", F.coalesce("there", F.lit(False)).alias("value"))
 
 
 def plan_reset(spark: SparkSession, sf: str) -> DataFrame:

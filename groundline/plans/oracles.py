@@ -257,7 +257,7 @@ def oracles() -> dict[str, str]:
             UNION ALL SELECT scene_id, 'constant y', count(*), CAST(0 AS DOUBLE), NULL FROM lines GROUP BY scene_id
             UNION ALL SELECT scene_id, 'two pairs', 0, NULL, NULL FROM lines GROUP BY scene_id
             UNION ALL SELECT scene_id, 'unknown pairs', n, {r("sxy / sxx")}, {r("1 - (syy - sxy * sxy / sxx) / syy")} FROM s""",
-        "t_critical": f"SELECT df, {r(f'CASE df WHEN 1 THEN tan(pi() * 0.475) WHEN 2 THEN 0.95 * sqrt(2 / (4 * 0.975 * 0.025)) ELSE {t_value("df::DOUBLE")} END', 4)} AS t FROM (VALUES (1), (2), (60), (120), (1000), (5000)) v(df)",
+        "t_critical": f"WITH c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_linenumber), d AS (SELECT n - 2 AS df FROM c UNION SELECT n % 2 + 1 FROM c) SELECT df, {r(f'CASE df WHEN 1 THEN tan(pi() * 0.475) WHEN 2 THEN 0.95 * sqrt(2 / (4 * 0.975 * 0.025)) ELSE {t_value("df::DOUBLE")} END', 4)} AS t FROM d",
         "regression_band": f"""WITH {FITS}, span AS (SELECT scene_id, min(l_quantity) - (max(l_quantity) - min(l_quantity)) * 0.06 AS x0, max(l_quantity) + (max(l_quantity) - min(l_quantity)) * 0.06 AS x1 FROM lines GROUP BY scene_id),
             at AS (SELECT *, x0 + (x1 - x0) * step / 24 AS x FROM span JOIN whole USING (scene_id), (SELECT CAST(range AS INT) AS step FROM range(25)))
             SELECT scene_id, step, {r("x", 4)} AS x, {r("intercept + slope * x", 4)} AS y, {r("intercept + ci_lo * x", 4)} AS y_lo, {r("intercept + ci_hi * x", 4)} AS y_hi FROM at""".replace("at AS (", "spots AS (").replace("FROM at", "FROM spots"),
@@ -294,7 +294,7 @@ def oracles() -> dict[str, str]:
             {r("0.9996::DOUBLE * (m + nu * tan(phi) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * w ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * w ** 6 / 720)) + CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END", 2)} AS northing FROM terms""",
         "color_bins": f"WITH {LINES} SELECT {hex_case('(l_quantity - 20) / 35', HEAT_RAMP)} AS heat, {hex_case('v / 0.8::DOUBLE', GREEN_RAMP)} AS green, count(*) AS n FROM lines GROUP BY ALL",
         "list_scenes": "SELECT name, CAST(row_number() OVER (ORDER BY lower(name)) AS INT) AS place FROM (SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM nation)",
-        "grid_lattice": "SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, -15 + (c + 0.5::DOUBLE) * 37 AS x, 395 - (r + 0.5::DOUBLE) * 37 AS y, 1.5::DOUBLE AS value FROM range(12) a(r), range(12) b(c)",
+        "grid_lattice": f'WITH {LINES} SELECT scene_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, -15 + (c + 0.5::DOUBLE) * 37 AS x, 395 - (r + 0.5::DOUBLE) * 37 AS y, NULL::DOUBLE AS value FROM (SELECT DISTINCT scene_id FROM lines), range(12) a(r), range(12) b(c)',
         "scaled_bands": f"WITH p AS (SELECT p_partkey, CAST(p_partkey % 10000 AS DOUBLE) AS dn FROM part) SELECT p_partkey, {r('dn * 2.75e-5 - 0.2')} AS surface, {r('dn * 0.00341802::DOUBLE + 149')} AS thermal, {r('dn * 1e-4 - 0.1')} AS optical FROM p",
         "analyse_scene": f"WITH {_site()} SELECT scene_id, yard_pixels, yard_cells, thermal_pixels, n, " + ", ".join(f"{r(c, 4)} AS {c}" for c in MEASURED) + " FROM whole",
         "plan_geometry": f"WITH {_site()}, {_given()}, {_planned()} SELECT scene_id, " + ", ".join(f"{r(x, 4)} AS {n}" for n, x in PLAN_SQL.items()) + " FROM geometry",
@@ -312,7 +312,7 @@ def oracles() -> dict[str, str]:
             l AS (SELECT p_partkey, {luminance("heat")} + 0.05::DOUBLE AS a, {luminance("green")} + 0.05::DOUBLE AS b FROM c) SELECT p_partkey, {r("greatest(a, b) / least(a, b)", 4)} AS contrast FROM l""",
         "known_values": f"WITH {LINES} SELECT {KEY}, {r('v')} AS value FROM lines WHERE l_linenumber <= 2 AND v IS NOT NULL",
         "fit_points": f"WITH {LINES} SELECT {KEY}, {r('v')} AS x, l_quantity AS y FROM lines WHERE {USABLE} AND v IS NOT NULL AND l_quantity IS NOT NULL",
-        "bool_grid": "SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, false AS value FROM range(10) a(r), range(10) b(c)",
+        "bool_grid": f'WITH {LINES}, {HEAT} SELECT s.scene_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, h.lst IS NOT NULL AS value FROM (SELECT DISTINCT scene_id FROM lines) s CROSS JOIN range(10) a(r) CROSS JOIN range(10) b(c) LEFT JOIN heat h ON h.scene_id = s.scene_id AND h."row" = r AND h.col = c',
         "plan_reset": f"{GREEDY}, n AS (SELECT scene_id, count(*) AS trees FROM placed GROUP BY scene_id) SELECT scene_id, trees - CASE scene_id WHEN 'AF' THEN 0 ELSE 2 END AS trees FROM n",
         "recess_yard": f"""WITH {RINGS}, parcels AS (SELECT s_suppkey, abs(a) * 9 AS parcel, 3 * cx AS cx, 3 * cy AS cy, sqrt(greatest(0.01, least(1, least(0.45, 9000 / greatest(1, abs(a) * 9))))) AS f FROM centres),
             drawn AS (SELECT s_suppkey, i, parcel, floor((cx + (3 * x - cx) * f) * 1000 + 0.5) / 1000 AS x, floor((cy + (3 * y - cy) * f) * 1000 + 0.5) / 1000 AS y FROM verts JOIN parcels USING (s_suppkey))

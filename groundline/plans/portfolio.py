@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..functions.unknown import fixed
-from ..operators import composite, district, regression, spatial
+from ..operators import composite, district, edits, refusals, regression, spatial
+from ..sources.band_files import BandScenes, write_band_scenes, write_documents
+from ..sources.scenes import ParquetScenes, write_scenes
+from ..sources.shared import Store
 from . import report
-from .bindings import KEYS, REPORTED, SAID, FixedCosts, TableScenes, _gated, _plan, _rounded, col, lines, lit, pixels
+from .bindings import KEYS, PLAN, REPORTED, SAID, FixedCosts, TableScenes, _gated, _plan, _rounded, col, lines, lit, pixels, read
 from .report import Analysis
 
 ERRORS = ("slope", "slope_se", "moran_i", "moran_z", "hac_se", "spatial_se", "ci_lo", "ci_hi")
@@ -102,4 +105,131 @@ def region_report(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(a.withColumn("limitations", F.array_join("limitations", "|")), REPORTED, ("region", *SAID))
 
 
-QUERIES = {f.__name__: f for f in (spatial_error, scene_error_model, composite_pixels, composite_season, composite_fit, district_ranking, region_reports, region_report)}
+def scene_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes written as folders of band files and read back by ranges of rows; pixels without a line are unknown."""
+    root = Store(spark, "scene-files").root
+    write_band_scenes(TableScenes(spark, sf), root)
+    a = BandScenes(spark, root).fine()
+    return a.select("scene_id", "row", "col", fixed(col("nir")).alias("nir"), fixed(col("red")).alias("red"))
+
+
+def scene_load(spark: SparkSession, sf: str) -> DataFrame:
+    """One scene of the folders by its key, with its metadata and thermal pixels; no other folder is opened for pixels."""
+    root = Store(spark, "scene-files").root
+    write_band_scenes(TableScenes(spark, sf), root)
+    one = BandScenes(spark, root).load("AF")
+    heat = one.thermal().groupBy("scene_id").agg(F.count("dn").alias("pixels"), F.sum("dn").alias("dn"), F.count_if(raster.usable(col("qa"))).alias("usable"))
+    grid = col("thermal_grid")
+    return one.scenes().join(heat, "scene_id").join(one.yards(), "scene_id").select("scene_id", "name", "cover_threshold", "k1", "overpass", grid["size"].alias("size"), grid["pixel_w"].alias("pixel_w"), "pixels", "dn", "usable", F.size("outer").alias("vertices"))
+
+
+class Recalibrated(TableScenes):
+    """Two of the scenes, their thermal numbers 100 higher."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        super().__init__(spark, sf)
+        self.ids = self.ids.where(col("scene_id").isin("AF", "RF"))
+
+    def fine(self) -> DataFrame:
+        return super().fine().join(self.ids, "scene_id", "left_semi")
+
+    def thermal(self) -> DataFrame:
+        return super().thermal().join(self.ids, "scene_id", "left_semi").withColumn("dn", col("dn") + 100)
+
+
+def scene_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The store written, written again, and two scenes of it replaced: every pixel is there once, the new ones replaced."""
+    root = Store(spark, "scene-store").root
+    whole = TableScenes(spark, sf)
+    write_scenes(whole, root)
+    write_scenes(whole, root)
+    write_scenes(Recalibrated(spark, sf), root)
+    return ParquetScenes(spark, root).thermal().groupBy("scene_id").agg(F.count("*").alias("pixels"), F.sum("dn").alias("dn"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+
+
+def scene_store_load(spark: SparkSession, sf: str) -> DataFrame:
+    """One scene of the store; the filter prunes all other folders."""
+    root = Store(spark, "scene-store").root
+    write_scenes(TableScenes(spark, sf), root)
+    a = ParquetScenes(spark, root).load("RF").fine()
+    return a.select("scene_id", "row", "col", fixed(col("nir")).alias("nir"), fixed(col("red")).alias("red"))
+
+
+def _yard_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A yard file a supplier: rings of one to five vertices, some cut off."""
+    k = col("s_suppkey")
+    ring = F.transform(F.sequence(F.lit(1), (k % 5 + 1).cast("int")), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit(".0, 2.0]")))
+    body = F.concat(F.lit('{"properties": {"coordinatesProjected": ['), F.array_join(ring, ", "), F.lit("]}"), F.when(k % 7 == 0, "").otherwise("}"))
+    return read(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string"), F.lit("/yard.json")).alias("path"), body.alias("text"))
+
+
+def _band_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A band file a supplier, with more or fewer values than its size says, or none at all."""
+    k = col("s_suppkey")
+    numbers = F.array_join(F.transform(F.sequence(F.lit(1), (k % 6 + 1).cast("int")), lambda i: i.cast("string")), ", ")
+    body = F.concat(F.lit('{"width": 2, "height": '), (k % 3 + 1).cast("string"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit(', "data": ['), numbers, F.lit("]"))), F.lit("}"))
+    return read(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("scene_id"), F.lit("nir").alias("name"), body.alias("body"))
+
+
+def refused_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """All that cannot be used, of yards, bands, regions and measured sites, in one list with code and remedy."""
+    root = Store(spark, "refused").root
+    write_documents(_band_files(spark, sf), root)
+    key = col("p_partkey")
+    measured = read(spark, sf, "part").select(F.concat(F.lit("p"), key.cast("string")).alias("scene_id"), (key % 17).alias("yard_cells"), F.when(key % 19 != 0, key % 21 / lit(20)).alias("coverage"), F.when(key % 23 != 0, key % 101 / lit(100)).alias("r2"))
+    wanted = read(spark, sf, "nation").select(F.concat(F.lit("R"), col("n_regionkey").cast("string")).alias("region"))
+    found = refusals.documents(_yard_files(spark, sf), "yard").unionByName(refusals.bands(BandScenes(spark, root).sizes(("nir",))))
+    return found.unionByName(refusals.regions(wanted, TwoRegions(spark).models)).unionByName(refusals.outcomes(measured))
+
+
+def accepted_scenes(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the suppliers' folders after the refusals of their yards and bands."""
+    root = Store(spark, "refused").root
+    write_documents(_band_files(spark, sf), root)
+    found = refusals.documents(_yard_files(spark, sf), "yard").unionByName(refusals.bands(BandScenes(spark, root).sizes(("nir",))))
+    return refusals.accepted(_band_files(spark, sf), found).select("scene_id")
+
+
+def _edits(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as edits of 21 plans; every third event belongs to plan 0."""
+    k = col("event_id")
+    plan = F.when(k % 3 == 0, 0).otherwise(col("user_id") % 20 + 1).cast("int")
+    action = F.when(k % 97 == 0, edits.CLEAR).when(k % 89 == 0, edits.RESET).when(k * 7 % 11 < 6, edits.PLACE).otherwise(edits.REMOVE)
+    return read(spark, sf, "events").select(plan.alias("plan_id"), "ts", "event_id", action.alias("action"), col("value").alias("x"), (k % 400 - 400).cast("double").alias("y"))
+
+
+def _suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """The first trees of the fixed plan for each of the plans 0 to 24."""
+    trees = F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(f"t{n + 1:02d}").alias("id"), lit(x).alias("x"), lit(y).alias("y"), F.lit(c).alias("class_key")) for n, (x, y, c) in enumerate(PLAN)])
+    a = read(spark, sf, "nation").select(col("n_nationkey").cast("int").alias("plan_id"), F.explode(trees).alias("t")).select("plan_id", "t.*")
+    return a.where(col("ordinal") < col("plan_id") % 5 + 2)
+
+
+CLASSES = ("large_shade", "medium_shade")
+
+
+def edit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans after all their edits."""
+    return edits.after_edits(_edits(spark, sf), _suggestions(spark, sf), ["plan_id"], ["ts", "event_id"], CLASSES, Store(spark, "edits"))
+
+
+def edited_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of those scenes whose plan was edited, after the edits; other scenes are not reported anew."""
+    log = _edits(spark, sf).where("plan_id between 1 and 3").withColumn("scene_id", F.get(F.array(F.lit("AF"), F.lit("NO"), F.lit("RF")), col("plan_id") - 1))
+    given = F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(f"t{n + 1:02d}").alias("id"), lit(x).alias("x"), lit(y).alias("y"), F.lit(c).alias("class_key")) for n, (x, y, c) in enumerate(PLAN)])
+    source = TableScenes(spark, sf)
+    suggested = source.ids.select("scene_id", F.explode(given).alias("t")).select("scene_id", "t.*")
+    analysis = Analysis(source)
+    trees = edits.after_edits(log, suggested, ["scene_id"], ["ts", "event_id"], CLASSES, analysis.store)
+    changed = log.select("scene_id").distinct().withColumn("region", F.lit("R0"))
+    a = report.build_report(analysis, analysis.store.save(trees, "edited"), FixedCosts(spark, True), "2026-08-07", changed)
+    return _rounded(a.withColumn("limitations", F.array_join("limitations", "|")), REPORTED, SAID)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        spatial_error, scene_error_model, composite_pixels, composite_season, composite_fit, district_ranking, region_reports, region_report,
+        scene_files, scene_load, scene_store, scene_store_load, refused_sources, accepted_scenes, edit_log, edited_reports,
+    )
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bindings import PLAN, RING
 from .oracles import CELLS, GATED, LINES, _given, _reported, _site, mean, r, t_value
 from .portfolio import ERRORS
 
@@ -33,6 +34,23 @@ def _regional(region: str, cited: bool, **more: object) -> str:
     return f"SELECT '{region}' AS region, * FROM (WITH {_site()}, {_given()}, {_reported(cited, **more)})"
 
 
+def _refused(path: str, code: str, detail: str, says: str, remedy: str, rows: str) -> str:
+    return f"SELECT {path} AS path, '{code}' AS code, {detail} AS detail, {says} AS message, '{remedy}' AS remedy FROM {rows}"
+
+
+BROKEN = "Write the file anew and compare its size with its header."
+YARDS = """yard_files AS (SELECT 's' || s_suppkey AS scene_id, 's' || s_suppkey || '/yard.json' AS path, CASE WHEN s_suppkey % 7 = 0 THEN 'no JSON of the expected form' WHEN s_suppkey % 5 + 1 < 3 THEN 'a ring needs three vertices' END AS detail FROM supplier),
+  band_files AS (SELECT 's' || s_suppkey AS scene_id, 's' || s_suppkey || '/nir.json' AS path, CASE WHEN s_suppkey % 11 = 0 THEN 'no array of values' WHEN 2 * (s_suppkey % 3 + 1) <> s_suppkey % 6 + 1 THEN (2 * (s_suppkey % 3 + 1)) || ' values are expected, ' || (s_suppkey % 6 + 1) || ' were found' END AS detail FROM supplier)"""
+EDITED = """edits AS (SELECT {key} AS plan_id, ts, event_id, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 89 = 0 THEN 'reset' WHEN event_id * 7 % 11 < 6 THEN 'place' ELSE 'remove' END AS action, floor(value * 100 + 0.5) / 100 AS x, CAST(event_id % 400 - 400 AS DOUBLE) AS y FROM (SELECT *, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 20 + 1 END AS INT) AS p FROM events) WHERE {where}),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY ts, event_id) AS k FROM edits),
+  steps AS (SELECT plan_id, CAST(0 AS BIGINT) AS k, trees, trees AS suggested FROM starts
+    UNION ALL SELECT s.plan_id, n.k, CASE action WHEN 'clear' THEN CAST([] AS STRUCT(id VARCHAR, x DOUBLE, y DOUBLE, class_key VARCHAR)[]) WHEN 'reset' THEN suggested WHEN 'remove' THEN trees[: len(trees) - 1]
+      ELSE list_append(trees, {{'id': 't' || lpad(CAST(len(trees) + 1 AS VARCHAR), CAST(greatest(2, length(CAST(len(trees) + 1 AS VARCHAR))) AS INTEGER), '0'), 'x': n.x, 'y': n.y, 'class_key': CASE len(trees) % 2 WHEN 0 THEN 'large_shade' ELSE 'medium_shade' END}}) END, suggested
+    FROM steps s JOIN numbered n ON n.plan_id = s.plan_id AND n.k = s.k + 1),
+  ends AS (SELECT plan_id, arg_max(trees, k) AS trees FROM steps GROUP BY plan_id)"""
+GIVEN = "[" + ", ".join(f"{{'id': 't{n + 1:02d}', 'x': {x}::DOUBLE, 'y': {y}::DOUBLE, 'class_key': '{c}'}}" for n, (x, y, c) in enumerate(PLAN)) + "]"
+
+
 def oracles() -> dict[str, str]:
     trend = '45 - 150 * value + floor("row" / 8) * 0.7::DOUBLE + ("row" * 31 + col * 17) % 11 / 10::DOUBLE'
     low = "CAST((p_partkey % 10 + 1) * 100 AS DOUBLE)"
@@ -47,4 +65,19 @@ def oracles() -> dict[str, str]:
             SELECT p_partkey, CASE WHEN s IS NULL THEN 'insufficient evidence' WHEN kind = 'weak' THEN 'indicative' ELSE 'ranked' END AS standing, CASE WHEN s IS NOT NULL THEN rank() OVER (PARTITION BY s IS NULL ORDER BY s DESC) END AS place, {r("s")} AS score FROM priced""",
         "region_reports": f"{_regional('R0', True)} UNION ALL {_regional('R1', False, **OTHER)}",
         "region_report": _regional("R1", False, **OTHER),
+        "scene_files": f"""WITH {CELLS}, every AS (SELECT s.scene_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM (SELECT DISTINCT scene_id FROM cells) s, range(40) a(r), range(40) b(c))
+            SELECT scene_id, "row", col, {r("value")} AS nir, {r("red")} AS red FROM every LEFT JOIN cells USING (scene_id, "row", col)""",
+        "scene_load": f"""WITH {_site()} SELECT 'AF' AS scene_id, 'Site AF' AS name, CAST(0.1 AS DOUBLE) AS cover_threshold, 799.0284::DOUBLE AS k1, '10:42' AS overpass, 10 AS size, CAST(40 AS DOUBLE) AS pixel_w, count(dn) AS pixels, sum(dn) AS dn, count(*) FILTER (usable) AS usable, {len(RING)} AS vertices FROM numbers WHERE scene_id = 'AF'""",
+        "scene_store": f"""WITH {_site()} SELECT scene_id, count(*) AS pixels, sum(dn + CASE WHEN scene_id IN ('AF', 'RF') THEN 100 ELSE 0 END) AS dn, min("row") AS first_row, max("row") AS last_row FROM numbers GROUP BY scene_id""",
+        "scene_store_load": f"""WITH {CELLS} SELECT scene_id, "row", col, {r("value")} AS nir, {r("red")} AS red FROM cells WHERE scene_id = 'RF'""",
+        "refused_sources": f"""WITH {YARDS}, sites AS (SELECT 'p' || p_partkey AS scene_id, p_partkey % 17 AS cells, coalesce(CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 21 / 20::DOUBLE END, 0) AS coverage, coalesce(CASE WHEN p_partkey % 23 <> 0 THEN p_partkey % 101 / 100::DOUBLE END, 0) AS r2 FROM part)
+            {_refused("path", "FIXTURE_MALFORMED", "detail", "path || ' is not usable: ' || detail", BROKEN, "(SELECT path, detail FROM yard_files UNION ALL SELECT path, detail FROM band_files UNION ALL SELECT DISTINCT 'R' || n_regionkey, 'no cost model for this region' FROM nation WHERE n_regionkey > 1) WHERE detail IS NOT NULL")}
+            UNION ALL {_refused("scene_id", "NO_THERMAL_OVERLAP", "NULL", "'The yard lies outside the thermal scene, which therefore says nothing of its surface temperature.'", "Choose a scene that holds the yard, or check the yard''s projection.", "sites WHERE cells = 0")}
+            UNION ALL {_refused("scene_id", "INSUFFICIENT_COVERAGE", "printf('coverage %.2f', coverage)", "printf('Clear pixels cover %.1f%% of the yard; 80%% are needed. Clouds hide the rest, so the site gets no temperature.', coverage * 100)", "Choose a date with a clear sky.", "sites WHERE cells <> 0 AND coverage < 0.8")}
+            UNION ALL {_refused("scene_id", "FIT_UNRELIABLE", "printf('r2 %.2f', r2)", "printf('Cover explains too little of the temperature around this site (R² = %.2f). Cover and cost stand; no change of temperature is given.', r2)", "Choose a scene with more contrast between bare and planted ground.", "sites WHERE cells <> 0 AND coverage >= 0.8 AND r2 < 0.3")}""",
+        "accepted_scenes": f"WITH {YARDS} SELECT scene_id FROM yard_files y JOIN band_files b USING (scene_id) WHERE y.detail IS NULL AND b.detail IS NULL",
+        "edit_log": f"""WITH RECURSIVE starts AS (SELECT CAST(n_nationkey AS INT) AS plan_id, ({GIVEN})[: n_nationkey % 5 + 2] AS trees FROM nation), {EDITED.format(key="p", where="true")}
+            SELECT plan_id, CAST(o AS INT) AS ordinal, t.id AS id, t.x AS x, t.y AS y, t.class_key AS class_key FROM (SELECT plan_id, unnest(range(0, len(trees))) AS o, unnest(trees) AS t FROM ends)""",
+        "edited_reports": f"""WITH RECURSIVE {_site()}, starts AS (SELECT DISTINCT scene_id AS plan_id, {GIVEN} AS trees FROM whole), {EDITED.format(key="['AF', 'NO', 'RF'][p]", where="p BETWEEN 1 AND 3")},
+            planted AS (SELECT plan_id AS scene_id, t.x AS x, t.y AS y, CAST(t.class_key <> 'large_shade' AS INT) AS small FROM (SELECT plan_id, unnest(trees) AS t FROM ends)), {_reported(True).replace("FROM final", "FROM final WHERE scene_id IN (SELECT plan_id FROM edits)")}""",
     }

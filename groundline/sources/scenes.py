@@ -21,6 +21,11 @@ META = (
     " grid struct<epsg:int,originX:double,originY:double,finePixelM:double,thermalPixelM:double,fineSize:int,thermalSize:int>,"
     " mtl struct<radianceMult:double,radianceAdd:double,k1:double,k2:double,spacecraft:string,acquisitionDate:string,localOverpassTime:string,sceneId:string>"
 )
+#: Names in a scene's metadata and here; that of the threshold is a source's own.
+META_NAMES = (
+    ("name", "name"), ("city", "city"), ("state", "state"), ("synthetic", "synthetic"), ("provenance", "provenance"), ("yardAreaM2", "yard_area"), (None, "cover_threshold"),
+    ("thresholdRationale", "threshold_rationale"), ("opticalSceneId", "optical_scene"), ("opticalDate", "optical_date"),
+)
 YARD = "properties struct<name:string,epsgProjected:int,coordinatesProjected:array<array<double>>>"
 
 
@@ -48,7 +53,7 @@ class JsonScenes:
         a = self._read("meta", META.replace("{threshold}", f"`{self.threshold_key}`"))
         return a.select(
             "scene_id",
-            *[F.col(old).alias(new) for old, new in (("name", "name"), ("city", "city"), ("state", "state"), ("synthetic", "synthetic"), ("provenance", "provenance"), ("yardAreaM2", "yard_area"), (self.threshold_key, "cover_threshold"), ("thresholdRationale", "threshold_rationale"), ("opticalSceneId", "optical_scene"), ("opticalDate", "optical_date"))],
+            *[F.col(old or self.threshold_key).alias(new) for old, new in META_NAMES],
             F.struct(F.col("grid.originX").alias("origin_x"), F.col("grid.originY").alias("origin_y"), F.col("grid.finePixelM").alias("pixel_w"), F.col("grid.finePixelM").alias("pixel_h"), F.col("grid.fineSize").alias("size"), F.col("grid.epsg").alias("epsg")).alias("fine_grid"),
             F.struct(F.col("grid.originX").alias("origin_x"), F.col("grid.originY").alias("origin_y"), F.col("grid.thermalPixelM").alias("pixel_w"), F.col("grid.thermalPixelM").alias("pixel_h"), F.col("grid.thermalSize").alias("size"), F.col("grid.epsg").alias("epsg")).alias("thermal_grid"),
             F.col("mtl.radianceMult").alias("gain"),
@@ -63,7 +68,7 @@ class JsonScenes:
 
     def load(self, slug: str) -> JsonScenes:
         """The source narrowed to one scene; an unknown one is refused at once."""
-        one = JsonScenes(self.spark, self.root, slug, self.threshold_key)
+        one = type(self)(self.spark, self.root, slug, self.threshold_key)
         if self.scenes().where(F.col("scene_id") == slug).isEmpty():
             raise Malformed(f"{self.root}/{slug}", "no such scene")
         return one
@@ -98,13 +103,21 @@ class JsonScenes:
 
 
 class ParquetScenes:
-    """The same four tables as written by ``write_scenes``; a filter on scene_id prunes folders."""
+    """The same four tables as written by ``write_scenes``, each in folders by scene; a filter on scene_id prunes them."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, slug: str | None = None):
+        self.spark, self.root, self.slug = spark, root.rstrip("/"), slug
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        a = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}").withColumn("scene_id", F.col("scene_id").cast("string"))
+        return a if self.slug is None else a.where(F.col("scene_id") == self.slug)
+
+    def load(self, slug: str) -> ParquetScenes:
+        """The source narrowed to one scene; an unknown one is refused at once."""
+        one = ParquetScenes(self.spark, self.root, slug)
+        if one.scenes().isEmpty():
+            raise Malformed(f"{self.root}/{slug}", "no such scene")
+        return one
 
     def scenes(self) -> DataFrame:
         return self._read("scenes")
@@ -124,13 +137,17 @@ def in_name_order(scenes: DataFrame, name: str = "name") -> DataFrame:
     return scenes.orderBy(F.collate(F.col(name), "UNICODE"))
 
 
+#: Rows of a scene that are written together.
+STRIPE_ROWS = 512
+
+
 def write_scenes(source: SceneSource, root: str) -> None:
-    """Parquet, pixels in folders by scene."""
-    source.scenes().write.mode("overwrite").parquet(f"{root}/scenes")
-    source.yards().write.mode("overwrite").parquet(f"{root}/yards")
-    for name in ("fine", "thermal"):
-        pixels = getattr(source, name)()
-        pixels.repartition("scene_id").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("scene_id").parquet(f"{root}/{name}")
+    """Parquet in folders by scene. A rerun replaces the folders of its own scenes, when all their
+    files are written, and leaves others as they are. A large scene is written by several tasks."""
+    for name in ("scenes", "yards", "fine", "thermal"):
+        a = getattr(source, name)()
+        a = a.repartition("scene_id", F.floor(F.col("row") / STRIPE_ROWS)).sortWithinPartitions("scene_id", "row", "col") if "row" in a.columns else a
+        a.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").parquet(f"{root}/{name}")
 
 
 def write_json(df: DataFrame, path: str) -> None:
