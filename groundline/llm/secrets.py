@@ -7,11 +7,12 @@ owe nothing to the patterns. Secrets are credentials of known forms, written int
 from the documents. Harmless are look-alikes written there likewise, and the documents' own
 candidates that read like their short words: nearly all their letter triples occur in those.
 Candidates of which neither is known teach nothing. Outputs are calibrated on held-out findings,
-and the threshold is the highest that keeps the required recall there. The network's spans are
-added where no pattern's span lies; those always stay.
+and the threshold is the highest that keeps the required recall there. The network reads every
+candidate that the patterns' spans do not cover whole, and its spans are added whole, over a
+pattern's span in their midst as well; the patterns' spans always stay as they are.
 
 Defined cases: null counts as the empty text, without findings. Spans count code points, end
-exclusive. Ids may be null or equal; repeated rows are each returned. An empty table gives an
+exclusive. Very long texts are read whole, long runs in overlapping pieces. Ids may be null or equal; repeated rows are each returned. An empty table gives an
 empty one, and a network taught by credentials and look-alikes alone. Other columns are ignored,
 or kept where secrets are replaced.
 """
@@ -82,14 +83,19 @@ def frames(start: int, end: int) -> list[tuple[int, int]]:
     return [(a, a + INSIDE) for a in (*range(start, end - INSIDE, INSIDE // 2), end - INSIDE)]
 
 
-def apart(found: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
-    """Those of the ordered ``found`` that no span overlaps; one pass over both."""
-    taken, out, k, reach = sorted((a, b) for _, a, b in spans), [], 0, 0
+def uncovered(found: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """Those of the ordered ``found`` that do not lie wholly in what the spans cover; one pass over both."""
+    merged: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, k = [], 0
     for start, end in found:
-        while k < len(taken) and taken[k][0] < end:
-            reach = max(reach, taken[k][1])
+        while k < len(merged) and merged[k][1] <= start:
             k += 1
-        if reach <= start:
+        if k == len(merged) or start < merged[k][0] or merged[k][1] < end:
             out.append((start, end))
     return out
 
@@ -319,7 +325,7 @@ def scan_text(text: str, net: Network, assign: bool, access: bool, hexes: bool,
     """All spans, by start, then kind."""
     base = base_spans(text, assign, access, hexes)
     if runs:
-        free = apart(candidates(text), base)
+        free = uncovered(candidates(text), base)
         pieces = [(n, *f) for n, c in enumerate(free) for f in frames(*c)]
         highest = np.zeros(len(free))
         for i in range(0, len(pieces), 4096):

@@ -509,6 +509,18 @@ def test_secrets_without_a_digit(spark):
     assert [got[i] for i in range(5)] == [1, 1, 0, 0, 0]
 
 
+def test_credentials_around_a_pattern_are_redacted_whole():
+    """A run that a hexadecimal span lies in is scored as a whole; the pattern's span stays as it is."""
+    net = secrets.Network()
+    net.threshold = 0.0  # every candidate that is read counts
+    run = "eyJhbGciOiJIUzI1NiJ9.Qx7iK2" + "0123456789abcdef" + "Zk9Lq2VbT8sY3wRn"
+    text = f"before {run} after token='{'a1' * 10}' end"
+    spans = secrets.scan_text(text, net, True, True, True, True)
+    assert secrets.redacted(text, spans) == "before [SECRET] after [SECRET]' end"
+    assert [s for s in spans if s[0] < 3] == sorted(secrets.base_spans(text), key=lambda s: (s[1], s[0]))
+    assert [s for s in spans if s[0] == 3] == [(3, 7, 7 + len(run))]
+
+
 def test_a_secret_in_the_middle_of_a_long_run(spark):
     path = "documentation/architecture/"
     every = [f"see {path}kQ7zXw9Bv3Mt5Rp8Ls2DhG4fJ6nC1yT0aE/{path}configuration ok", f"see {path}institutional/infrastructure/{path}configuration ok"]
@@ -543,8 +555,8 @@ def test_labels_owe_nothing_to_the_patterns():
     win = lambda t, a: secrets.window(t, a, len(t)).astype("u1").tobytes()
     assert secrets.wordlike(win("token = internationint", 8), known)
     assert not secrets.wordlike(win("plain qzxkvwqjpzxkq", 6), known) and not secrets.wordlike(win("24be64439e3e49cf", 0), known)
-    assert secrets.apart([(0, 5), (6, 9), (10, 20)], [(0, 4, 7), (2, 12, 13)]) == []
-    assert secrets.apart([(0, 4), (7, 9)], [(0, 4, 7), (1, 9, 30), (2, 10, 12)]) == [(0, 4), (7, 9)]
+    assert secrets.uncovered([(0, 5), (6, 9), (10, 20)], [(0, 0, 7), (2, 5, 9), (2, 12, 13)]) == [(10, 20)]
+    assert secrets.uncovered([(0, 4), (7, 9), (10, 14)], [(0, 5, 7), (1, 9, 30), (2, 1, 4)]) == [(0, 4), (7, 9)]
 
 
 def test_threshold_keeps_recall_below_one_half(monkeypatch):
