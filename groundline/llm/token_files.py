@@ -3,8 +3,8 @@
 A store is a folder with
 
 * ``dictionary-<sha256>``: the dictionary, trained on serialized id arrays. Training sees
-  ``SAMPLE`` documents at most (the first in order of a hash, of ``SAMPLE_CHARS`` characters at
-  most); it decides sizes only, never what is stored.
+  ``SAMPLE`` documents at most, drawn at random, of ``SAMPLE_CHARS`` characters at most; it
+  decides sizes only, never what is stored.
 * ``shard-<n>-<attempt>``: the frames of consecutive documents, then their index (doc ids, which
   of them are null, frame offsets, token counts), then a footer with the index's place, the
   dictionary's SHA-256 and the bytes an id takes.
@@ -262,7 +262,8 @@ def write(spark: SparkSession, docs: DataFrame, root: str, path: str, ranks_path
     scratch = Scratch(spark, "token-files")
     own = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
-    few = own.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE)
+    share = min(1.0, 2 * SAMPLE / max(1, own.count()))
+    few = own.sample(share, seed=SAMPLE).where(F.length("text") <= SAMPLE_CHARS).limit(SAMPLE)  # about twice as many are drawn, whatever the table's size
     dictionary = trained([r["frame"] for r in id_arrays(few, path, ranks_path, pattern, end, width, None).select("frame").collect()])  # SAMPLE short documents at most
     sha = hashlib.sha256(dictionary).hexdigest()
     store, folder = _opened(root)
