@@ -51,6 +51,8 @@ SHARD, BATCH = 64 << 20, 4 << 20
 LEVEL = 3
 FOOTER = struct.Struct("<QQ32sB7s")
 MARK = b"tokids1"
+#: Fixed value: what a trained dictionary begins with.
+TRAINED = b"\x37\xa4\x30\xec"
 FRAMES = "doc_id long, n_tokens long, size long, frame binary"
 
 
@@ -65,8 +67,8 @@ def trained(samples: Sequence[bytes], size: int = DICTIONARY) -> bytes:
 
 
 def _content(dictionary: bytes) -> zstandard.ZstdCompressionDict:
-    raw = dictionary[:4] != zstandard.DICT_TYPE_FULLDICT.to_bytes(4, "little") and dictionary[:4] != b"\x37\xa4\x30\xec"
-    return zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
+    kind = zstandard.DICT_TYPE_FULLDICT if dictionary.startswith(TRAINED) else zstandard.DICT_TYPE_RAWCONTENT
+    return zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
 
 
 @lru_cache(maxsize=2)
