@@ -183,17 +183,17 @@ def ols_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ols_degenerate(spark: SparkSession, sf: str) -> DataFrame:
-    a = lines(spark, sf)
-    out = []
-    for name, x, y, where in (
+    """Four cases without a proper fit, all from one scan."""
+    cases = (
         ("constant x", lit(3), col("l_quantity"), F.lit(True)),
         ("constant y", col("l_quantity"), lit(7), F.lit(True)),
         ("two pairs", col("l_quantity"), col("l_tax"), F.lit(False)),
         ("unknown pairs", F.when(col("l_linenumber") < 3, col("l_quantity")), F.when(col("l_linenumber") > 1, col("l_discount")), F.lit(True)),
-    ):
-        fitted = regression.fit(a, x, y, KEYS, where)
-        out.append(fitted.select("scene_id", F.lit(name).alias("case"), "n", *[fixed(col(c)).alias(c) for c in ("slope", "r2")]))
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    )
+    each = F.array(*[F.struct(F.lit(name).alias("case"), x.alias("x"), y.alias("y"), where.alias("used")) for name, x, y, where in cases])
+    a = lines(spark, sf).select("scene_id", F.explode(each).alias("c")).select("scene_id", "c.*")
+    fitted = regression.fit(a, col("x"), col("y"), ["scene_id", "case"], col("used"))
+    return fitted.select("scene_id", "case", "n", *[fixed(col(c)).alias(c) for c in ("slope", "r2")])
 
 
 def t_critical(spark: SparkSession, sf: str) -> DataFrame:

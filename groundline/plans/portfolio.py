@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..functions.unknown import fixed
-from ..operators import composite, district, edits, refusals, regression, spatial
+from ..operators import composite, district, edits, planner, refusals, regression, spatial
 from ..sources.band_files import BandScenes, write_band_scenes, write_documents
 from ..sources.scenes import ParquetScenes, write_scenes
 from ..sources.shared import Store
 from . import report
-from .bindings import KEYS, PLAN, REPORTED, SAID, FixedCosts, TableScenes, _gated, _plan, _rounded, col, lines, lit, pixels, read
+from .bindings import KEYS, OPTIONS, PLAN, REPORTED, SAID, FixedCosts, TableScenes, _candidates, _gated, _plan, _rounded, col, lines, lit, pixels, read
 from .report import Analysis
 
 ERRORS = ("slope", "slope_se", "moran_i", "moran_z", "hac_se", "spatial_se", "ci_lo", "ci_hi")
@@ -205,6 +205,11 @@ def _suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return a.where(col("ordinal") < col("plan_id") % 5 + 2)
 
 
+def suggest_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The plans of ``suggest_greedy``, found by rounds over a grid of conflicts."""
+    return planner.place_by_rounds(_candidates(spark, sf), OPTIONS, KEYS, Store(spark, "rounds"))
+
+
 CLASSES = ("large_shade", "medium_shade")
 
 
@@ -230,6 +235,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         spatial_error, scene_error_model, composite_pixels, composite_season, composite_fit, district_ranking, region_reports, region_report,
-        scene_files, scene_load, scene_store, scene_store_load, refused_sources, accepted_scenes, edit_log, edited_reports,
+        scene_files, scene_load, scene_store, scene_store_load, refused_sources, accepted_scenes, edit_log, edited_reports, suggest_rounds,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bindings import PLAN, RING
 from .oracles import CELLS, GATED, LINES, _given, _reported, _site, mean, r, t_value
+from .oracles import oracles as sql
 from .portfolio import ERRORS
 
 
@@ -53,6 +54,7 @@ GIVEN = "[" + ", ".join(f"{{'id': 't{n + 1:02d}', 'x': {x}::DOUBLE, 'y': {y}::DO
 
 def oracles() -> dict[str, str]:
     trend = '45 - 150 * value + floor("row" / 8) * 0.7::DOUBLE + ("row" * 31 + col * 17) % 11 / 10::DOUBLE'
+    greedy = sql()["suggest_greedy"]
     low = "CAST((p_partkey % 10 + 1) * 100 AS DOUBLE)"
     return {
         "spatial_error": error_sql(f'{CELLS}, own AS (SELECT scene_id, "row", col, value AS x, {trend} AS y FROM cells)', 3),
@@ -76,6 +78,7 @@ def oracles() -> dict[str, str]:
             UNION ALL {_refused("scene_id", "INSUFFICIENT_COVERAGE", "printf('coverage %.2f', coverage)", "printf('Clear pixels cover %.1f%% of the yard; 80%% are needed. Clouds hide the rest, so the site gets no temperature.', coverage * 100)", "Choose a date with a clear sky.", "sites WHERE cells <> 0 AND coverage < 0.8")}
             UNION ALL {_refused("scene_id", "FIT_UNRELIABLE", "printf('r2 %.2f', r2)", "printf('Cover explains too little of the temperature around this site (R² = %.2f). Cover and cost stand; no change of temperature is given.', r2)", "Choose a scene with more contrast between bare and planted ground.", "sites WHERE cells <> 0 AND coverage >= 0.8 AND r2 < 0.3")}""",
         "accepted_scenes": f"WITH {YARDS} SELECT scene_id FROM yard_files y JOIN band_files b USING (scene_id) WHERE y.detail IS NULL AND b.detail IS NULL",
+        "suggest_rounds": greedy,
         "edit_log": f"""WITH RECURSIVE starts AS (SELECT CAST(n_nationkey AS INT) AS plan_id, ({GIVEN})[: n_nationkey % 5 + 2] AS trees FROM nation), {EDITED.format(key="p", where="true")}
             SELECT plan_id, CAST(o AS INT) AS ordinal, t.id AS id, t.x AS x, t.y AS y, t.class_key AS class_key FROM (SELECT plan_id, unnest(range(0, len(trees))) AS o, unnest(trees) AS t FROM ends)""",
         "edited_reports": f"""WITH RECURSIVE {_site()}, starts AS (SELECT DISTINCT scene_id AS plan_id, {GIVEN} AS trees FROM whole), {EDITED.format(key="['AF', 'NO', 'RF'][p]", where="p BETWEEN 1 AND 3")},

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions.order import ranked, with_order_bits
 from groundline.functions.unknown import fixed
-from groundline.operators import composite, district, edits, gates, refusals, spatial, stats
+from groundline.operators import composite, district, edits, gates, planner, refusals, spatial, stats
 from groundline.plans import report
 from groundline.plans.bindings import PLAN, FixedCosts
 from groundline.plans.portfolio import TwoRegions
@@ -296,3 +296,20 @@ def test_plans_without_edits_stay_as_suggested(spark):
     log = spark.createDataFrame([], "plan_id int, ts int, action string, x double, y double")
     plans = spark.createDataFrame([(1, n, f"t{n:02d}", x, y, c) for n, (x, y, c) in enumerate(PLAN)], "plan_id int, ordinal int, id string, x double, y double, class_key string")
     assert edits.after_edits(log, plans, ["plan_id"], ["ts"], ("big",), Store(spark, "edits-test")).count() == len(PLAN)
+
+
+# Greedy placement by rounds
+
+
+def test_rounds_place_what_the_fold_places(spark):
+    rng = random.Random(6)
+    rows = [(s, float(rng.randrange(60)), float(rng.randrange(60)), float(rng.randrange(5))) for s in ("a", "a", "a", "b") for _ in range(150)]
+    rows += [("c", 0.0, 0.0, 1.0), ("c", 11.0, 0.0, 1.0), ("c", 10.99, 0.0, 1.0), ("d", float(-5), -7.0, 2.0)]
+    df = spark.createDataFrame(sorted(set(rows)), "scene_id string, x double, y double, score double")
+    for count in (5, 1000):
+        options = planner.Options(count, ("large", "medium"))
+        columns = ("scene_id", "ordinal", "id", "x", "y", "class_key")
+        fold = sorted(tuple(r[c] for c in columns) for r in planner.place(df, options, ["scene_id"]).collect())
+        rounds = sorted(tuple(r[c] for c in columns) for r in planner.place_by_rounds(df, options, ["scene_id"], Store(spark, "rounds-test")).collect())
+        assert fold == rounds
+    assert planner.place_by_rounds(df.limit(0), options, ["scene_id"], Store(spark, "rounds-test")).count() == 0
