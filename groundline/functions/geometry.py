@@ -63,11 +63,20 @@ def bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
 
 
+def crossings(ring: Column, y: Column) -> Column:
+    """Where the horizontal line at ``y`` meets the ring's edges, an edge holding its lower end only."""
+    met = F.filter(edges(ring), lambda e: (e["y"] > y) != (e["py"] > y))
+    return F.transform(met, lambda e: e["x"] + F.try_divide((e["px"] - e["x"]) * (y - e["y"]), e["py"] - e["y"]))
+
+
 def cell_share(outer: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
-    """Share of a cell's 8 x 8 sample points inside the polygon."""
-    step = F.sequence(F.lit(0), F.lit(SUBSAMPLES * SUBSAMPLES - 1))
-    inside = F.filter(step, lambda k: in_polygon(outer, left + (k % SUBSAMPLES + 0.5) / SUBSAMPLES * width, top - (F.floor(k / SUBSAMPLES) + 0.5) / SUBSAMPLES * height))
-    return F.size(inside) / F.lit(float(SUBSAMPLES * SUBSAMPLES))
+    """Share of a cell's 8 x 8 sample points inside the polygon, by scan line: each of the eight
+    lines meets all edges once, and its points only the few places where it crosses the ring."""
+    places = F.sequence(F.lit(0), F.lit(SUBSAMPLES - 1))
+    lines = F.transform(places, lambda j: crossings(outer, top - (j + 0.5) / SUBSAMPLES * height))
+    inside = lambda xs, i: F.size(F.filter(xs, lambda at: left + (i + 0.5) / SUBSAMPLES * width < at)) % 2 == 1
+    total = F.aggregate(lines, F.lit(0), lambda n, xs: n + F.size(F.filter(places, lambda i: inside(xs, i))))
+    return total / F.lit(float(SUBSAMPLES * SUBSAMPLES))
 
 
 def signed_area(ring: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import raster
 from ..functions.unknown import fixed
 from ..operators import composite, district, edits, planner, refusals, regression, spatial
+from ..sources import chart
 from ..sources.band_files import BandScenes, write_band_scenes, write_documents
 from ..sources.scenes import ParquetScenes, write_scenes
 from ..sources.shared import Store
@@ -210,6 +211,18 @@ def suggest_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return planner.place_by_rounds(_candidates(spark, sf), OPTIONS, KEYS, Store(spark, "rounds"))
 
 
+def fit_plot(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of each scene's fit, counted on the cells of its plot."""
+    a = chart.binned_points(lines(spark, sf), col("l_quantity"), col("l_extendedprice"), KEYS)
+    return a.select("scene_id", "i", "j", "n", *[fixed(col(c), 4).alias(c) for c in ("x0", "x1", "y0", "y1")])
+
+
+def heat_map(spark: SparkSession, sf: str) -> DataFrame:
+    """What the temperature map of each scene shows."""
+    a = chart.heat_cells(Analysis(TableScenes(spark, sf)).thermal, KEYS, 5)
+    return a.select("scene_id", "i", "j", fixed(col("lst"), 4).alias("lst"), "colour", "in_yard")
+
+
 CLASSES = ("large_shade", "medium_shade")
 
 
@@ -235,6 +248,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         spatial_error, scene_error_model, composite_pixels, composite_season, composite_fit, district_ranking, region_reports, region_report,
-        scene_files, scene_load, scene_store, scene_store_load, refused_sources, accepted_scenes, edit_log, edited_reports, suggest_rounds,
+        scene_files, scene_load, scene_store, scene_store_load, refused_sources, accepted_scenes, edit_log, edited_reports, suggest_rounds, fit_plot, heat_map,
     )
 }

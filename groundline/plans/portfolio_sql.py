@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions.raster import HEAT_RAMP
 from .bindings import PLAN, RING
-from .oracles import CELLS, GATED, LINES, _given, _reported, _site, mean, r, t_value
+from .oracles import CELLS, GATED, LINES, _given, _reported, _site, hex_case, mean, r, t_value
 from .oracles import oracles as sql
 from .portfolio import ERRORS
 
@@ -79,6 +80,10 @@ def oracles() -> dict[str, str]:
             UNION ALL {_refused("scene_id", "FIT_UNRELIABLE", "printf('r2 %.2f', r2)", "printf('Cover explains too little of the temperature around this site (R² = %.2f). Cover and cost stand; no change of temperature is given.', r2)", "Choose a scene with more contrast between bare and planted ground.", "sites WHERE cells <> 0 AND coverage >= 0.8 AND r2 < 0.3")}""",
         "accepted_scenes": f"WITH {YARDS} SELECT scene_id FROM yard_files y JOIN band_files b USING (scene_id) WHERE y.detail IS NULL AND b.detail IS NULL",
         "suggest_rounds": greedy,
+        "fit_plot": f"""WITH {LINES}, frame AS (SELECT scene_id, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lines GROUP BY scene_id)
+            SELECT scene_id, CAST(least(59, floor((l_quantity - x0) / (x1 - x0) * 60)) AS INT) AS i, CAST(least(59, floor((l_extendedprice - y0) / (y1 - y0) * 60)) AS INT) AS j, count(*) AS n, {", ".join(f"{r(c, 4)} AS {c}" for c in ("x0", "x1", "y0", "y1"))} FROM lines JOIN frame USING (scene_id) GROUP BY ALL""",
+        "heat_map": f"""WITH {_site()}, cell AS (SELECT scene_id, col // 2 AS i, "row" // 2 AS j, avg(lst) AS lst, bool_or(in_yard) AS in_yard FROM thermal WHERE usable GROUP BY ALL)
+            SELECT scene_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {r("lst", 4)} AS lst, {hex_case("(lst - 20) / 35", HEAT_RAMP)} AS colour, in_yard FROM cell""",
         "edit_log": f"""WITH RECURSIVE starts AS (SELECT CAST(n_nationkey AS INT) AS plan_id, ({GIVEN})[: n_nationkey % 5 + 2] AS trees FROM nation), {EDITED.format(key="p", where="true")}
             SELECT plan_id, CAST(o AS INT) AS ordinal, t.id AS id, t.x AS x, t.y AS y, t.class_key AS class_key FROM (SELECT plan_id, unnest(range(0, len(trees))) AS o, unnest(trees) AS t FROM ends)""",
         "edited_reports": f"""WITH RECURSIVE {_site()}, starts AS (SELECT DISTINCT scene_id AS plan_id, {GIVEN} AS trees FROM whole), {EDITED.format(key="['AF', 'NO', 'RF'][p]", where="p BETWEEN 1 AND 3")},

@@ -313,3 +313,26 @@ def test_rounds_place_what_the_fold_places(spark):
         rounds = sorted(tuple(r[c] for c in columns) for r in planner.place_by_rounds(df, options, ["scene_id"], Store(spark, "rounds-test")).collect())
         assert fold == rounds
     assert planner.place_by_rounds(df.limit(0), options, ["scene_id"], Store(spark, "rounds-test")).count() == 0
+
+
+# Drawings
+
+
+def test_drawings_are_bounded_and_say_what_is_missing(spark):
+    from pyspark.sql import Row
+
+    from groundline.sources import chart
+
+    df = spark.createDataFrame([("a", float(i % 97), float(i % 89)) for i in range(20_000)] + [("b", 1.0, 1.0), ("b", None, 2.0)], "scene_id string, x double, y double")
+    points = chart.binned_points(df, F.col("x"), F.col("y"), ["scene_id"]).collect()
+    own = [p for p in points if p.scene_id == "a"]
+    assert sum(p.n for p in own) == 20_000 and len(own) <= chart.CELLS**2 and [p.n for p in points if p.scene_id == "b"] == [1]
+    fit = Row(slope=-2.0, intercept=50.0, ci_lo=-3.0, ci_hi=-1.0, r2=0.5, n=20_000)
+    assert chart.fit_svg(fit, own).count("<circle") == len(own) and "slope -2.00" in chart.fit_svg(fit, own)
+    assert "No fit" in chart.fit_svg(Row(slope=None), [])
+    lines = [Row(ordinal=1, quantity=2, label="a & b", unsourced=True, low=None, high=None), Row(ordinal=0, quantity=1, label="oak", unsourced=False, low=100.0, high=1200.0)]
+    svg = chart.cost_svg(lines, "withheld")
+    assert svg.index("oak") < svg.index("a &amp; b") and "100 to 1,200" in svg and "no source" in svg and "withheld" in svg
+    thermal = spark.createDataFrame([("a", i, j, 30.0 + i, i != 1, i == 2) for i in range(130) for j in range(4)], "scene_id string, row int, col int, lst double, usable boolean, in_yard boolean")
+    cells = chart.heat_cells(thermal, ["scene_id"]).collect()
+    assert len(cells) <= chart.CELLS**2 and max(c.j for c in cells) < chart.CELLS and chart.heat_svg(cells).count("<rect") == len(cells) and chart.heat_svg([]).startswith("<svg")

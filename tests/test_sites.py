@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from groundline.operators import planner
 from groundline.plans.report import Analysis, build_for, build_report
+from groundline.sources.band_files import BandScenes
 from groundline.sources.costs import JsonCosts
 from groundline.sources.errors import Malformed, Refusal, explained
 from groundline.sources.render import diagnosis, report_lines, report_svg
@@ -130,6 +131,12 @@ def test_scenes_of_different_grids_in_one_run(spark, root, reports, tmp_path):
     assert got["site_b"].n == 400 and got["site_b"].slope == pytest.approx(reports["site_b"].slope, abs=0.3) and got["site_b"].yard_pixels < reports["site_b"].yard_pixels / 3
 
 
+def test_band_source_measures_the_same(spark, root, reports):
+    """The same folders, pixels read by stripes."""
+    row = Analysis(BandScenes(spark, f"file://{root}").load("site_a")).measured().first()
+    assert (row.slope, row.r2, row.n, row.yard_pixels) == (pytest.approx(reports["site_a"].slope), pytest.approx(reports["site_a"].r2), reports["site_a"].n, reports["site_a"].yard_pixels)
+
+
 def test_diagnosis_and_drawing(reports):
     lines = diagnosis(reports["site_a"])
     assert lines[0] == "site_a (site_a)" and any("slope -15.93" in x for x in lines) and any("coverage 100.0 %" in x for x in lines)
