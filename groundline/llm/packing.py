@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import read_ranks
 from .bytecoder import Units, slices
-from .common import Scratch
+from .common import Scratch, give_back
 
 #: Exchanges of the simplex method at most.
 STEPS = 200
@@ -95,6 +95,7 @@ def pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, size: int
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecoder import slices
+from .common import give_back
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -397,5 +398,6 @@ def redact(spark: SparkSession, docs: DataFrame, net: Network, text: str = "text
             if size is not None:
                 cols[size] = pc.coalesce(pa.array([None if x is None else len(x) for x in new], pa.int64()), cols[size])
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
