@@ -7,9 +7,10 @@
    these sizes, a few to a sequence, need the fewest sequences; then real lengths take the place
    of the rounded ones, and the short lengths go, longest first, where they fit best.
 3. The plan is a list of runs ("so many sequences with these lengths"), never of documents. A
-   piece finds its sequence by its length and its ordinal among the pieces of that length;
-   ordinals come from counts by (length, salt), with as many salts as a length has pieces by
-   ``PART``, so that no length is gathered in one task.
+   piece finds its sequence, and its place there, by its length and its ordinal among the pieces
+   of that length; ordinals come from counts by (length, salt), with as many salts as a length has
+   pieces by ``PART``, dealt out in turn, so that neither a length nor copies of a row are gathered
+   in one task.
 
 Defined cases: null counts as the empty text: one piece with the end token only. Ids may be null
 or equal: rows are packed each for itself. An empty table gives no pieces. Other columns are ignored.
@@ -38,6 +39,7 @@ from .common import Scratch, give_back
 STEPS = 200
 #: Pieces of one length that are numbered in one part.
 PART = 200_000
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class LibraryEncoder:
@@ -78,10 +80,10 @@ def library_encoder(path: str, ranks_path: str, pattern: str) -> LibraryEncoder:
 
 
 def pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, size: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, and its turn among those of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tail = library_encoder(path, ranks_path, pattern), end.to_bytes(4, "little")
+        own, tail, before = library_encoder(path, ranks_path, pattern), end.to_bytes(4, "little"), 0
         for keys, texts in slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             for key, ids in zip(keys.to_pylist(), own.encode(texts), strict=True):
@@ -94,10 +96,12 @@ def pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, size: int
                     at, k = to, k + 1
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            turn = pa.array(np.arange(before, before + len(rows)))
+            before += len(rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), turn], [*PIECE, "turn"])
         give_back()
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 Run = tuple[int, tuple[int, ...]]  # so many sequences, each with these lengths
@@ -310,19 +314,20 @@ def _put(rooms: dict[int, list[Run]], order: list[int], room: int, run: Run) ->
     rooms[room].append(run)
 
 
-def seats(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: first ordinals of its intervals, and what turns an ordinal into a sequence id."""
-    out: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+def seats(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: first ordinals of its intervals, what turns an ordinal into a sequence id, and the offset there."""
+    out: dict[int, tuple[list[int], list[int], list[int]]] = defaultdict(lambda: ([], [], []))
     used: dict[int, int] = defaultdict(int)
     base = 0
     for count, shape in runs:
+        offset = 0
         for length in shape:
-            first, shift = out[length]
-            first.append(used[length])
-            shift.append(base - used[length])
+            for column, x in zip(out[length], (used[length], base - used[length], offset), strict=True):
+                column.append(x)
             used[length] += count
+            offset += length
         base += count
-    return {x: (np.array(a), np.array(b)) for x, (a, b) in out.items()}
+    return {x: tuple(map(np.array, columns)) for x, columns in out.items()}
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str, pattern: str, size: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,7 +337,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str, patte
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # a row a length
     salts = {x: -(-n // PART) for x, n in histogram.items()}
     dealt = F.array(*[F.lit(salts.get(x, 1)) for x in range(size + 1)])
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(dealt, F.col("length").cast("int"))).cast("int"))
+    cut = cut.withColumn("salt", F.pmod("turn", F.get(dealt, F.col("length").cast("int"))).cast("int"))
     before = {x: np.zeros(n + 1, np.int64) for x, n in salts.items()}
     for length, salt, n in cut.groupBy("length", "salt").count().collect():  # a row for every PART pieces, and one a length
         before[length][salt + 1] = n
@@ -343,17 +348,16 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, ranks_path: str, patte
         first, where = table.value
         for b in batches:
             length, salt, nth = (b.column(n).to_numpy() for n in ("length", "salt", "nth"))
-            out = np.empty(len(length), np.int64)
+            sequence, offset = np.empty((2, len(length)), np.int64)
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1
             for rows in np.split(order, cuts) if len(order) else []:
                 x = int(length[rows[0]])
                 ordinal = first[x][salt[rows]] + nth[rows] - 1
-                starts, shift = where[x]
-                out[rows] = ordinal + shift[np.searchsorted(starts, ordinal, side="right") - 1]
-            keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(out, pa.int64())], [*keep, "sequence_id"])
+                starts, shift, places = where[x]
+                at = np.searchsorted(starts, ordinal, side="right") - 1
+                sequence[rows], offset[rows] = ordinal + shift[at], places[at]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in PIECE), pa.array(sequence), pa.array(offset)], [*PIECE, "sequence_id", "offset"])
 
     numbered = cut.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32, start) nth")
-    seated = numbered.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long")
-    return seated.selectExpr("*", "sum(length) over (partition by sequence_id order by length desc, doc_id, piece, start rows between unbounded preceding and current row) - length as offset")
+    return numbered.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
