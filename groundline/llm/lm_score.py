@@ -9,7 +9,11 @@ background model; the lower, the more it resembles the target.
 The models grow with the input and lie in no one place: texts are dealt into chunks of some
 megabytes; each chunk sends its different bigrams, then its words, as hashes of 64 bits, to
 buckets, which sum them over all chunks and send back the sums that the chunk needs to score its
-texts. All is one query, so the texts are dealt out once and read again for each of the steps.
+texts. The corpus's totals are sums of the buckets' own, partial ones first; one row goes to all
+chunks. All is one query, so the texts are dealt out once and read again for each of the steps.
+
+Texts of one id are dealt to as many as ``SALTS`` chunks, and a label to all of these, so that an
+id that is repeated very often fills no chunk alone.
 
 Defined cases: a text that is null or has no word has no tokens and null losses. Without any
 target document both models are the background. Repeated rows count as often as they occur and
@@ -34,11 +38,13 @@ from pyspark.sql import functions as F
 DISCOUNT = 0.5
 #: Bytes of text in a chunk, on average.
 CHUNK = 8 << 20
+#: Chunks that the different texts of one id are dealt to.
+SALTS = 8
 #: Stands for the word before a text's first one.
 START = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: a document, a label, what a chunk asks for, and the sums sent back to it.
 DOCUMENT, LABEL, ASKED, PAIR_SUMS, WORD_SUMS, TOTALS = range(6)
-ROWS = "kind int, chunk long, bucket long, parts array<binary>"
+ROWS = "kind int, chunk long, bucket long, parts array<binary>, sums array<long>"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -74,10 +80,12 @@ def unpacked_keys(data: bytes, buckets: int, bucket: int) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
 
-def rows_of(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.Table:
+def rows_of(rows: list[tuple[int, int, int, list[bytes]]], sums: list[int] | None = None) -> pa.Table:
+    """Rows of ``ROWS``; where ``sums`` are given, those of the last one."""
     types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
     cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "chunk", "bucket", "parts"])
+    last = pa.array([None] * (len(rows) - 1) + [sums] if rows else [], pa.list_(pa.int64()))
+    return pa.table([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), last], ["kind", "chunk", "bucket", "parts", "sums"])
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,7 +144,7 @@ def asked(table: pa.Table, buckets: int) -> pa.Table:
 
 def in_bucket(table: pa.Table, buckets: int) -> tuple[list[tuple], list[list[np.ndarray]], np.ndarray, np.ndarray, list[np.ndarray]]:
     """A bucket's rows, their parts, its different keys, the first place of each, and the places of each row's keys."""
-    rows = [tuple(r.values()) for r in table.sort_by("chunk").to_pylist()]
+    rows = [(r["kind"], r["chunk"], r["bucket"], r["parts"]) for r in table.sort_by("chunk").to_pylist()]
     parts = [[unpacked_keys(r[3][0], buckets, r[2]), *map(unpacked, r[3][1:])] for r in rows]
     keys, first, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
     return rows, parts, keys, first, np.split(of, np.cumsum([len(p[0]) for p in parts])[:-1])
@@ -177,13 +185,7 @@ def summed_words(table: pa.Table, buckets: int) -> pa.Table:
     rows, parts, keys, _, places = in_bucket(table, buckets)
     sums = sums_of(parts, places, len(keys))
     out = [(WORD_SUMS, r[1], r[2], [packed(x[at]) for x in sums]) for r, at in zip(rows, places, strict=True)]
-    return rows_of([*out, (TOTALS, -1, rows[0][2], [packed(np.array([(sums[0] > 0).sum(), sums[0].sum(), sums[1].sum()]))])])
-
-
-def totals(table: pa.Table, chunks: int) -> pa.Table:
-    """Different words and tokens of all buckets, a small row each, to every chunk."""
-    every = packed(np.sum([unpacked(p[0]).astype(np.int64) for p in table["parts"].to_pylist()], 0))
-    return rows_of([(TOTALS, chunk, -1, [every]) for chunk in range(chunks)])
+    return rows_of([*out, (TOTALS, -1, rows[0][2], [])], [int(x.sum()) for x in (sums[0] > 0, sums[0], sums[1])])
 
 
 def scored(table: pa.Table, sent: pa.Table, buckets: int) -> pa.Table:
@@ -191,8 +193,8 @@ def scored(table: pa.Table, sent: pa.Table, buckets: int) -> pa.Table:
     ids, c, _, _ = chunk_of(table)
     n, losses = np.diff(c.offsets), [np.zeros(len(ids))] * 2
     if len(c.pairs):
-        different, *tokens = unpacked(sent.filter(pc.equal(sent["kind"], TOTALS))["parts"][0].as_py()[0]).tolist()
-        pairs, words = filled(sent, PAIR_SUMS, c.pairs, buckets, 3), filled(sent, WORD_SUMS, c.words, buckets, 6)
+        different, *tokens = sent.filter(pc.equal(sent["kind"], TOTALS))["sums"][0].as_py()
+        pairs, words = filled(sent, PAIR_SUMS, c.pairs, buckets, 2), filled(sent, WORD_SUMS, c.words, buckets, 6)
         losses = []
         for which in (1 if tokens[1] else 0, 0):
             unigram = (words[which] + 1) / (tokens[which] + different + 2)
@@ -206,17 +208,25 @@ def scored(table: pa.Table, sent: pa.Table, buckets: int) -> pa.Table:
     return pa.table([ids, pa.array(n), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
+def dealt_out(texts: DataFrame, labels: DataFrame, chunks: int) -> DataFrame:
+    """Documents, and the target's labels, by chunk; every text of an id meets its label."""
+    chunk = f"pmod(if(doc_id is null, xxhash64(text), xxhash64(doc_id, salt)), {chunks}) chunk"
+    good = labels.where("quality = 1").selectExpr("cast(doc_id as long) doc_id").where("doc_id is not null")
+    good = good.selectExpr("doc_id", "cast(null as string) text", f"explode(sequence(0L, {SALTS - 1}L)) salt")
+    texts = texts.selectExpr("doc_id", "text", f"pmod(xxhash64(text), {SALTS}) salt")
+    return texts.selectExpr(f"{DOCUMENT} kind", chunk, "doc_id", "text").unionByName(good.selectExpr(f"{LABEL} kind", chunk, "doc_id", "text"))
+
+
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score."""
     octets = docs.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
     chunks = buckets = max(1, -(-octets // CHUNK))
-    texts = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
-    texts = texts.selectExpr(f"{DOCUMENT} kind", f"pmod(xxhash64(doc_id, if(doc_id is null, text, null)), {chunks}) chunk", "doc_id", "text")
-    good = labels.where("quality = 1").selectExpr("cast(doc_id as long) doc_id").where("doc_id is not null")
-    good = good.selectExpr(f"{LABEL} kind", f"pmod(xxhash64(doc_id), {chunks}) chunk", "doc_id", "cast(null as string) text")
-    dealt = texts.unionByName(good).groupBy("chunk")
+    dealt = dealt_out(docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text"), labels, chunks).groupBy("chunk")
     pairs = dealt.applyInArrow(lambda t: asked(t, buckets), ROWS).groupBy("bucket").applyInArrow(lambda t: summed_pairs(t, buckets), ROWS)
     words = dealt.cogroup(pairs.groupBy("chunk")).applyInArrow(lambda t, sent: asked_words(t, sent, buckets), ROWS).groupBy("bucket").applyInArrow(lambda t: summed_words(t, buckets), ROWS)
-    every = words.where(f"kind = {TOTALS}").groupBy("kind").applyInArrow(lambda t: totals(t, chunks), ROWS)
-    sent = pairs.unionByName(words.where(f"kind = {WORD_SUMS}")).unionByName(every).groupBy("chunk")
+    every = words.where(f"kind = {TOTALS}").groupBy("kind").agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(3)]).alias("sums"))  # one row
+    every = every.selectExpr("*", f"explode(sequence(0L, {chunks - 1}L, 1024L)) first")
+    every = every.selectExpr("kind", f"explode(sequence(first, least(first + 1023, {chunks - 1}L))) chunk", "-1L bucket", "cast(null as array<binary>) parts", "sums")
+    again = pairs.withColumn("parts", F.slice("parts", 1, 2))  # scores need no note of who counts a bigram
+    sent = again.unionByName(words.where(f"kind = {WORD_SUMS}")).unionByName(every).groupBy("chunk")
     return dealt.cogroup(sent).applyInArrow(lambda t, sent: scored(t, sent, buckets), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

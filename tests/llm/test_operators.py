@@ -624,6 +624,19 @@ def test_every_word_and_bigram_is_in_the_model(spark, monkeypatch):
     assert got[0].target_loss == pytest.approx(target) and got[1].target_loss > 10 and len(got) == texts
 
 
+def test_texts_of_one_id_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(7 if i % 3 else i, words(rng, 40, 300)) for i in range(600)]  # two thirds have one id
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, 1), (9, 1)], "doc_id long, quality int")
+    whole = {(r.doc_id, r.n_tokens, round(r.score, 9)) for r in lm_score.score(spark, docs, labels).collect()}
+    monkeypatch.setattr(lm_score, "CHUNK", 2_000)
+    dealt = lm_score.dealt_out(docs, labels, 60)
+    by_chunk = Counter(r.chunk for r in dealt.where(f"kind = {lm_score.DOCUMENT} and doc_id = 7").collect())
+    assert max(by_chunk.values()) < 100 and len(by_chunk) > 4
+    got = lm_score.score(spark, docs, labels).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_tokens, round(r.score, 9)) for r in got} == whole
+
+
 def test_no_target(spark):
     every = ["a b a b c", "a c b", "d"]
     labels = spark.createDataFrame([], "doc_id long, quality int")
