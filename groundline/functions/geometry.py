@@ -34,14 +34,19 @@ def edges(ring: Column) -> Column:
     return F.transform(ring, lambda p, i: F.struct(p[0].alias("x"), p[1].alias("y"), F.get(ring, F.pmod(i - 1, n))[0].alias("px"), F.get(ring, F.pmod(i - 1, n))[1].alias("py")))
 
 
-def in_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Parity of edges crossed by the ray to the right; an edge holds its lower end only."""
+def crossings(ring: Column, y: Column) -> Column:
+    """Where edges cross the height ``y``; an edge holds its lower end only."""
+    across = F.filter(edges(ring), lambda e: (e["y"] > y) != (e["py"] > y))
+    return F.transform(across, lambda e: e["x"] + F.try_divide((e["px"] - e["x"]) * (y - e["y"]), e["py"] - e["y"]))
+
 
-    def crosses(e: Column) -> Column:
-        at = e["x"] + F.try_divide((e["px"] - e["x"]) * (y - e["y"]), e["py"] - e["y"])
-        return ((e["y"] > y) != (e["py"] > y)) & F.coalesce(x < at, F.lit(False))
+def odd_beyond(crossed: Column, x: Column) -> Column:
+    """Parity of the crossings that a ray to the right from ``x`` meets."""
+    return F.size(F.filter(crossed, lambda at: x < at)) % 2 == 1
 
-    return F.size(F.filter(edges(ring), crosses)) % 2 == 1
+
+def in_ring(ring: Column, x: Column, y: Column) -> Column:
+    return odd_beyond(crossings(ring, y), x)
 
 
 def in_polygon(outer: Column, x: Column, y: Column, holes: Column | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Doubles as whole numbers of 64 bits in the same order, and global ranks from counts."""
+"""Doubles as whole numbers of 64 bits in the same order, and global ranks and places from counts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import Store
+
 _SIZE = (1 << 63) - 1
 
 
@@ -41,3 +43,17 @@ def ranked(rows: DataFrame, value: str, name: str = "rank", descending: bool = T
     own = single.withColumn("__s", before("__part", "__bits")).join(parts.select("__part", "__r", "__p"), "__part")
     own = own.select(F.col(value).alias("__v"), (F.col("__r") + F.col("__p") + F.col("__s") + 1).alias(name))
     return rows.join(own, F.col(value) == F.col("__v"), "left").drop("__v")
+
+
+def placed(ordered: DataFrame, by: Column, store: Store, name: str = "place") -> DataFrame:
+    """Rows that are ordered by ``by``, with their number from 1.
+
+    They are written once, each with the task that ordered it; tasks hold ranges, so a row's
+    number is its place in its range after the sizes of the ranges before it (a row a task).
+    Equal values are in one range, and numbered in any order.
+    """
+    a = store.save(ordered.withColumn("__range", F.spark_partition_id()), "ordered")
+    sizes = a.groupBy("__range").agg(F.count("*").alias("__c"))
+    before = sizes.select("__range", (F.sum("__c").over(W.orderBy("__range")) - F.col("__c")).alias("__before"))
+    a = a.withColumn("__nth", F.row_number().over(W.partitionBy("__range").orderBy(by))).join(F.broadcast(before), "__range")
+    return a.select(*ordered.columns, (F.col("__before") + F.col("__nth")).cast("int").alias(name))

@@ -65,7 +65,15 @@ def fully_cited(items: DataFrame) -> DataFrame:
     return items.groupBy("region").agg(F.bool_and(is_sourced(F.col("source_name"), F.col("source_url"), F.col("source_retrieved"))).alias("fully_cited"))
 
 
+def unverified_labels(classes: DataFrame) -> DataFrame:
+    """region, position and label of each class whose radius is not cited: a row a class, however many a region has."""
+    return classes.where(F.coalesce(F.col("radius_status"), F.lit("")) != "cited").select("region", "position", "label")
+
+
 def unverified_classes(classes: DataFrame) -> DataFrame:
-    """region and the labels of classes whose radius is not cited, in the model's order."""
+    """region and the labels of classes whose radius is not cited, in the model's order.
+
+    For reports: a region's labels come in one row. ``unverified_labels`` has no such row.
+    """
     named = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("radius_status"), F.lit("")) != "cited", F.struct("position", "label"))))
     return classes.groupBy("region").agg(F.transform(named, lambda x: x["label"]).alias("unverified"))

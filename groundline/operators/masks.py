@@ -9,21 +9,30 @@ from ..functions import geometry as g
 from .lattice import GridDef
 
 
+def scan_lines(polygons: DataFrame, grid: GridDef) -> DataFrame:
+    """``polygons`` once for each row of their grid, with where the row's centre line crosses ``outer`` and each of ``holes``."""
+    own = grid.as_columns()
+    a = polygons.withColumn("row", F.explode_outer(F.sequence(F.lit(0), own.height.cast("int") - 1)))
+    y = g.pixel_y(own.origin_y, own.pixel_h, F.col("row"))
+    a = a.withColumn("outer_at", g.crossings(F.col("outer"), y))
+    return a.withColumn("holes_at", F.transform("holes", lambda h: g.crossings(h, y))) if "holes" in polygons.columns else a
+
+
 def rasterise(pixels: DataFrame, polygons: DataFrame, grid: GridDef, keys: tuple[str, ...] = ("scene_id",), name: str = "in_yard", keep: tuple[str, ...] = ()) -> DataFrame:
     """``pixels`` with whether each centre is inside its scene's polygon (``outer``, optionally ``holes``).
 
-    A scene has one polygon, so the join is by key; the bounding box comes before the ray test.
+    A scene has one polygon. Its edges meet the grid's rows once (``scan_lines``); a pixel is joined
+    by scene and row, so a large scene is no single key, and compares itself with its row's crossings only.
     Columns of ``polygons`` named in ``keep`` stay; the grid may be made of its columns.
     """
     own = grid.as_columns()
-    holes = F.col("holes") if "holes" in polygons.columns else None
-    low_x, high_x, low_y, high_y = g.bounds(F.col("outer"))
-    boxed = polygons.withColumns({"bx0": low_x, "bx1": high_x, "by0": low_y, "by1": high_y})
-    a = pixels.join(boxed, list(keys), "left")
+    low, high, _, _ = g.bounds(F.col("outer"))
+    rows = scan_lines(polygons.withColumns({"bx0": low, "bx1": high}), grid)
+    a = pixels.join(rows, [*keys, "row"], "left")
     x = g.pixel_x(own.origin_x, own.pixel_w, F.col("col"))
-    y = g.pixel_y(own.origin_y, own.pixel_h, F.col("row"))
-    box = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
-    inside = F.when(box, g.in_polygon(F.col("outer"), x, y, holes)).otherwise(F.lit(False))
+    inside = x.between(F.col("bx0"), F.col("bx1")) & g.odd_beyond(F.col("outer_at"), x)
+    if "holes" in polygons.columns:
+        inside &= ~F.coalesce(F.exists("holes_at", lambda h: g.odd_beyond(h, x)), F.lit(False))
     return a.withColumn(name, F.coalesce(inside, F.lit(False))).select(*pixels.columns, *keep, name)
 
 

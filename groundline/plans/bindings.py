@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import crowns, geometry, raster
+from ..functions.order import placed
 from ..functions.unknown import fixed
 from ..operators import costs, gates, masks, planner, regression, resample, stats, unions
 from ..operators.lattice import GridDef, every_cell, sample
-from ..sources.scenes import in_name_order
+from ..sources.scenes import in_name_order, name_order
 from ..sources.shared import Store
 from . import report
 from .report import Analysis
@@ -356,10 +357,17 @@ def fully_cited(spark: SparkSession, sf: str) -> DataFrame:
     return costs.fully_cited(items.unionByName(items.where("source_url <> ''").withColumn("region", F.lit("R9"))))
 
 
-def unverified(spark: SparkSession, sf: str) -> DataFrame:
+def _radii(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(col("p_partkey") % 3 == 0, "cited").when(col("p_partkey") % 3 == 1, "unverified")
-    classes = read(spark, sf, "part").select(F.concat(F.lit("R"), (col("p_size") % 3).cast("string")).alias("region"), col("p_partkey").alias("position"), col("p_name").alias("label"), status.alias("radius_status"))
-    return costs.unverified_classes(classes).select("region", F.array_join("unverified", "|").alias("unverified"))
+    return read(spark, sf, "part").select(F.concat(F.lit("R"), (col("p_size") % 3).cast("string")).alias("region"), col("p_partkey").alias("position"), col("p_name").alias("label"), status.alias("radius_status"))
+
+
+def unverified_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return costs.unverified_labels(_radii(spark, sf))
+
+
+def unverified(spark: SparkSession, sf: str) -> DataFrame:
+    return costs.unverified_classes(_radii(spark, sf)).select("region", F.array_join("unverified", "|").alias("unverified"))
 
 
 def _rings(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,7 +405,7 @@ def color_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 def list_scenes(spark: SparkSession, sf: str) -> DataFrame:
     a = in_name_order(read(spark, sf, "nation").select(F.initcap("n_name").alias("name")))
-    return a.select("name", F.row_number().over(W.orderBy(F.collate(col("name"), "UNICODE"))).alias("place"))
+    return placed(a, name_order(), Store(spark, "names"))
 
 
 def grid_lattice(spark: SparkSession, sf: str) -> DataFrame:
@@ -564,7 +572,7 @@ QUERIES = {
         ndvi_pixels, bands_for_ndvi, cover_fraction, masked_summary, percentiles, lst_chain, lst_roundtrip, qa_mask, coverage_gate,
         resample_aligned, resample_offset, coverage_to_grid, pip_mask, pip_hole, cell_overlap, yard_cells, sample_at, ols_fit, ols_degenerate,
         t_critical, regression_band, quantile_cutoff, predict_gate, explain_gate, decision_trace, verdicts, crown_scalars, lens_area, crown_union,
-        crown_union_clipped, suggest_candidates, suggest_greedy, plan_edits, cost_lines, cost_totals, cost_format, fully_cited, unverified,
+        crown_union_clipped, suggest_candidates, suggest_greedy, plan_edits, cost_lines, cost_totals, cost_format, fully_cited, unverified, unverified_labels,
         ring_area, ring_centroid, inset_ring, utm_forward, color_bins, list_scenes, grid_lattice, scaled_bands,
         analyse_scene, plan_geometry, build_report, site_report, method_labels, limitation_lines, contrast, known_values, fit_points, bool_grid,
         plan_reset, recess_yard,

@@ -286,6 +286,7 @@ def oracles() -> dict[str, str]:
         "cost_format": "WITH p AS (SELECT p_partkey, p_partkey * 100 AS low, p_partkey * 100 + p_partkey % 3 * 1000 AS high FROM part) SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'withheld: a price without a source' WHEN low = high THEN '$' || format('{:,}', low) ELSE '$' || format('{:,}', low) || ' – $' || format('{:,}', high) END AS cost FROM p",
         "fully_cited": f"WITH {ITEMS} SELECT region, bool_and(source_url <> '') AS fully_cited FROM (SELECT region, source_url FROM items UNION ALL SELECT 'R9', source_url FROM items WHERE source_url <> '') GROUP BY region",
         "unverified": "SELECT 'R' || (p_size % 3) AS region, coalesce(string_agg(p_name, '|' ORDER BY p_partkey) FILTER (p_partkey % 3 <> 0), '') AS unverified FROM part GROUP BY region",
+        "unverified_labels": "SELECT 'R' || (p_size % 3) AS region, p_partkey AS position, p_name AS label FROM part WHERE p_partkey % 3 <> 0",
         "ring_area": f"WITH {RINGS} SELECT s_suppkey, {r('a', 3)} AS signed, {r('abs(a)', 3)} AS area FROM areas",
         "ring_centroid": f"WITH {RINGS} SELECT s_suppkey, {r('cx', 4)} AS x, {r('cy', 4)} AS y FROM centres",
         "inset_ring": f"WITH {RINGS} SELECT s_suppkey, CAST(i AS INT) AS i, {r('cx + (x - cx) * sqrt(0.45::DOUBLE)', 2)} AS x, {r('cy + (y - cy) * sqrt(0.45::DOUBLE)', 2)} AS y FROM verts JOIN centres USING (s_suppkey)",

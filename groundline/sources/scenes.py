@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.unknown import known
@@ -132,9 +132,13 @@ class ParquetScenes:
         return self._read("thermal")
 
 
-def in_name_order(scenes: DataFrame, name: str = "name") -> DataFrame:
+def name_order(name: str = "name") -> Column:
     """By name as people sort it: case and accents come second."""
-    return scenes.orderBy(F.collate(F.col(name), "UNICODE"))
+    return F.collate(F.col(name), "UNICODE")
+
+
+def in_name_order(scenes: DataFrame, name: str = "name") -> DataFrame:
+    return scenes.orderBy(name_order(name))
 
 
 #: Rows of a scene that are written together.

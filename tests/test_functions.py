@@ -10,10 +10,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundline.functions import crowns, geometry, raster, unknown
+from groundline.functions.order import placed
 from groundline.functions.student_t import cdf, critical
 from groundline.operators import costs, gates, masks, planner, regression, resample, stats, unions
 from groundline.operators.lattice import GridDef, lattice, require_same_shape, sample
 from groundline.sources.errors import Malformed
+from groundline.sources.shared import Store
 
 NAN, INF = float("nan"), float("inf")
 L9 = (3.8e-4, 0.1, 799.0284, 1329.2405)
@@ -213,3 +215,48 @@ def test_union_never_exceeds_the_sum(spark, trees):
 
 def test_clamp_keeps_unknown(spark):
     assert values(spark, [(None,), (5.0,), (-5.0,)], "x double", unknown.clamp(F.col("x"), 0, 1)) == [None, 1.0, 0.0]
+
+
+def test_scan_lines_equal_the_ray_test(spark):
+    """Random polygons with holes, on grids of their own, against a ray for each pixel; edge rows too."""
+    rng = random.Random(12)
+    polygons, near = [], lambda a, b: [float(rng.randint(a, b)) for _ in range(2)]
+    for k in range(12):
+        outer = [near(-20, 140) for _ in range(rng.randint(3, 9))]  # corners lie on pixel centres as well
+        holes = [[near(0, 100) for _ in range(rng.randint(3, 5))] for _ in range(k % 3)]
+        polygons.append((f"s{k}", outer, holes if k % 4 else None, 8 + k, 10.0 if k % 2 else 7.5, k))
+    polygons += [("empty", [], [], 5, 10.0, 90), ("point", [[5.0, 5.0]], [], 5, 10.0, 91), ("none", None, None, 5, 10.0, 92)]
+    yards = spark.createDataFrame(polygons, "scene_id string, outer array<array<double>>, holes array<array<array<double>>>, size int, cell double, note int")
+    grid = GridDef(F.col("size"), F.col("size"), F.lit(-5.0), F.lit(115.0), F.col("cell"), F.col("cell"))
+    pixels = [(p[0], r, c) for p in polygons for r in range(p[3]) for c in range(p[3])] + [("unknown", 0, 0), (None, 0, 0)]
+    df = spark.createDataFrame(pixels, "scene_id string, row int, col int")
+
+    def hit(ring, x, y):
+        inside = False
+        for (ax, ay), (bx, by) in zip(ring, ring[-1:] + ring[:-1], strict=True):
+            if (ay > y) != (by > y) and x < ax + (bx - ax) * (y - ay) / (by - ay):
+                inside = not inside
+        return inside
+
+    own = {p[0]: p for p in polygons}
+    got = {(r.scene_id, r.row, r.col): (r.in_yard, r.note) for r in masks.rasterise(df, yards, grid, keep=("note",)).collect()}
+    assert len(got) == len(pixels)
+    for scene, r, c in pixels:
+        _, outer, holes, _, cell, note = own.get(scene, (None, None, None, 0, 1.0, None))
+        x, y = -5 + (c + 0.5) * cell, 115 - (r + 0.5) * cell
+        assert got[scene, r, c] == (bool(outer) and hit(outer, x, y) and not any(hit(h, x, y) for h in holes or []), note)
+    assert sum(inside for inside, _ in got.values()) > 100
+
+
+def test_places_by_ranges(spark):
+    names = [f"n{k * 7919 % 501:03d}" for k in range(501)] + ["n250"] * 40
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = placed(df.orderBy("name"), F.col("name"), Store(spark, "places")).collect()
+    assert [r.name for r in sorted(rows, key=lambda r: r.place)] == sorted(names) and sorted(r.place for r in rows) == list(range(1, len(names) + 1))
+    assert placed(df.where("false").orderBy("name"), F.col("name"), Store(spark, "places")).count() == 0
+
+
+def test_unverified_label_rows(spark):
+    rows = [("R", 2, "b", "unverified"), ("R", 1, "a", None), ("R", 0, "c", "cited"), ("R", 2, "b", "unverified"), (None, 1, None, "")]
+    got = costs.unverified_labels(spark.createDataFrame(rows, "region string, position int, label string, radius_status string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("R", 2, "b"), ("R", 1, "a"), ("R", 2, "b"), (None, 1, None)]))
