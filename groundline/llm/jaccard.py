@@ -5,12 +5,13 @@ Equal sets are joined by digest first. A set is embedded as the minima of ``COOR
 functions, so that two sets share a coordinate's token with probability of their Jaccard
 similarity. Each run starts from one coordinate and splits all sets by their token there. A
 bucket of few sets is compared by brute force. A larger one is split again, by three
-coordinates chosen by its path, unless its sets are alike on average: then it goes to the
-exact step whole, as does what is left after ``DEEPEST`` splits. ``runs_for`` gives the number of
-runs for the wanted recall by the first coordinate; a split by three branches loses less than a
-hundredth of a run's pairs besides.
+coordinates chosen by its path, unless its sets are alike on average: then it too is compared
+by brute force, in pairs of blocks, as is what is left after ``DEEPEST`` splits. ``runs_for`` gives
+the number of runs for the wanted recall by the first coordinate; a split by three branches
+loses less than a hundredth of a run's pairs besides.
 
-Comparing in buckets yields a forest of candidates. Within each of its trees all pairs are
+Brute force compares minima, not sets, and yields a forest of candidates: sets that share a
+passage only come into one tree no more for being in one bucket. Within each tree all pairs are
 verified on the whole shingle sets, in pairs of blocks, by sparse-to-dense matrix products.
 
 Defined cases: texts that are null or without a word have no set and link with nothing. Rows of
@@ -146,51 +147,50 @@ def candidate_forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
     """Edges (a, b) between keys: a forest over each bucket's agreeing pairs."""
     start = F.transform(F.sequence(F.lit(0), F.lit(runs_for() - 1)), lambda r: F.xxhash64(F.lit("run"), r, F.get("sketch", r)))
     nodes = scratch.save(reps.select(F.explode(start).alias("path"), "key"), "nodes-0")
-    every, few, stars = [nodes], [], []
+    every, compared = [nodes], []
     for depth in range(DEEPEST + 1):
         counts = scratch.save(bucket_counts(nodes), f"counts-{depth}")
-        few.append(counts.where(F.col("n") <= LEAF))
+        compared.append(counts.where(F.col("n") <= LEAF))
         large = scratch.save(nodes.join(counts.where(F.col("n") > LEAF).select("path", "n"), "path"), f"large-{depth}")
         if large.isEmpty():
             break
         below = large.join(reps.select("key", "sketch"), "key").select("path", "n", "key", F.inline(child_paths(F.col("path"))))
         below = scratch.save(below, f"below-{depth}")
-        split = below.groupBy("path", "n", "branch", "child").agg(F.count("*").alias("c"), F.min("key").alias("top"))
-        verdict = scratch.save(split.groupBy("path", "n").agg(F.sum(F.col("c") * F.col("c")).alias("q"), F.min("top").alias("top")), f"split-{depth}")
+        split = below.groupBy("path", "n", "branch", "child").agg(F.count("*").alias("c"))
+        verdict = scratch.save(split.groupBy("path", "n").agg(F.sum(F.col("c") * F.col("c")).alias("q")), f"split-{depth}")
         alike = F.lit(True) if depth == DEEPEST else F.col("q") >= ALIKE * BRANCHES * F.col("n") * F.col("n")
-        stars.append(large.join(verdict.where(alike).select("path", "top"), "path").select(F.col("key").alias("a"), F.col("top").alias("b")))
+        compared.append(counts.join(verdict.where(alike).select("path"), "path"))
         nodes = below.join(verdict.where(~alike).select("path"), "path").select(F.col("child").alias("path"), "key")
         nodes = scratch.save(nodes, f"nodes-{depth + 1}")
         every.append(nodes)
-    small = few[0]
-    for more in few[1:]:
-        small = small.union(more)
-    once = scratch.save(small.groupBy("n", "x", "s").agg(F.min("path").alias("path")).select("path"), "once")
+    few = compared[0]
+    for more in compared[1:]:
+        few = few.unionByName(more)
+    once = scratch.save(few.groupBy("n", "x", "s").agg(F.min("path").alias("path")).select("path", "n"), "once")
     buckets = every[0]
     for more in every[1:]:
         buckets = buckets.union(more)
     buckets = buckets.join(once, "path")
-    buckets = buckets.join(reps.select("key", "sketch"), "key").select("path", "key", "sketch")
-    buckets = buckets.repartition(partitions(scratch.spark), "path").sortWithinPartitions("path")
+    buckets = buckets.join(reps.select("key", "sketch"), "key").select("path", "n", "key", "sketch")
+    buckets = dealt(buckets, ["path"], "key", F.ceil(F.col("n") / LEAF).cast("int")).drop("n")
     least = agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["path"]):
-            keys = t["key"].to_pylist()
+        for t in groups(batches, ["path", "lo", "hi"]):
+            keys, own = t["key"].to_pylist(), t["own"].to_numpy()
             x = t["sketch"].combine_chunks().flatten().to_numpy().reshape(len(keys), COORDINATES)
-            hits = np.zeros((len(x), len(x)), np.int8)
+            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+            a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            hits = np.zeros((len(a), len(b)), np.int8)
             for k in range(COORDINATES):
-                hits += x[:, None, k] == x[None, :, k]
-            i, j = np.nonzero(np.triu(hits >= least, 1))
+                hits += x[a, None, k] == x[None, b, k]
+            i, j = np.nonzero(np.triu(hits >= least, 1) if lo == hi else hits >= least)
             if len(i):
-                root = least_roots(keys, i, j)
+                root = least_roots(keys, a[i], b[j])
                 some = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array([keys[n] for n in some], pa.binary()), pa.array([keys[root[n]] for n in some], pa.binary())], ["a", "b"])
 
-    edges = buckets.mapInArrow(run, "a binary, b binary")
-    for star in stars:
-        edges = edges.union(star)
-    return edges
+    return buckets.mapInArrow(run, "a binary, b binary")
 
 
 def similar_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,8 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from groundline.llm import bpe, bytecoder, jaccard, language, license_texts, licenses, links, lm_score, oracles, packing, quality, queries, secrets, token_count, vectors
@@ -135,6 +137,24 @@ def test_jaccard_recall_when_large_buckets_split(spark, monkeypatch):
     assert sum(map(len, want)) >= 600 and sum(got.values()) >= 0.999 * sum(map(len, want)) and all(got[i] <= len(w) for i, w in enumerate(want))
 
 
+def test_jaccard_sets_that_share_a_passage_make_no_tree(spark, monkeypatch):
+    """Buckets taken for alike at once are compared in blocks; only near copies stay together."""
+    monkeypatch.setattr(jaccard, "LEAF", 16)
+    monkeypatch.setattr(jaccard, "ALIKE", 0.0)
+    rng = random.Random(78)
+    passage, every = words(rng, 60), []
+    for _ in range(150):
+        own = words(rng, 60, 100_000).split()
+        every += [passage + " " + " ".join(own), passage + " " + " ".join([*own[:-1], "end"])]
+    rows = jaccard.hashed(frame(spark, every), "doc_id", "text")
+    scratch = Scratch(spark, "passages")
+    reps = scratch.save(jaccard.signatures(rows).select("key", "sketch"), "reps")
+    trees = links.connected_components(scratch, scratch.save(jaccard.candidate_forest(scratch, reps), "candidates"), "trees")
+    sizes = [r["count"] for r in trees.groupBy("root").count().collect()]
+    assert len(sizes) >= 140 and max(sizes) <= 6
+    assert {(r.n_links, r.class_id) for r in jaccard.join(spark, frame(spark, every)).collect()} == {(1, 2 * n) for n in range(150)}
+
+
 def test_exact_threshold_is_a_link():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     assert [len(x) for x in jaccard.similar_pairs([a, b], None)] == [1, 1]
@@ -436,6 +456,33 @@ def test_language(spark):
     assert {r.doc_id for r in held.collect()} == {i for i in range(303) if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_language_is_the_smallest_of_plain_compressions(spark):
+    """Every text again with every dictionary through the library's own interface, block by block."""
+    rng = random.Random(61)
+    kinds = {"xa": "tion the ing and er", "xb": "sch ung der ein keit", "xc": "ique eau les aux ment"}
+    text = lambda k, n: " ".join("".join(rng.choice(kinds[k].split()) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    langs = {i: list(kinds)[i % 3] for i in range(90)}
+    every = [text(langs[i], rng.choice((1, 3, 20, 200))) for i in range(90)]
+    mixed = [text("xa", 30) + " " + text("xb", 30), text("xc", 20_000), "1 2 3", "", None, "É\U0001f642É"]
+    docs = frame(spark, [*every, *mixed], lang={**langs, **{90 + n: None for n in range(len(mixed))}})
+    content = language.learn(docs)
+    got = {r.doc_id: r for r in language.predict(spark, docs, content).collect()}
+    how = zstandard.ZstdCompressionParameters(write_content_size=0, write_dict_id=0, **language.CODING)
+    for doc_id, t in enumerate([*every, *mixed]):
+        letters = " ".join(regex.findall(r"\p{L}+", (t or "").lower()))
+        if not letters:
+            assert (got[doc_id].lang_pred, got[doc_id].score, got[doc_id].rejected) == ("und", 0.0, True)
+            continue
+        raw, sizes = letters.encode() + language.FILLER, {}
+        for lang in sorted(content):
+            known = zstandard.ZstdCompressionDict(content[lang] + language.FILLER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            parts = [raw[at : at + language.BLOCK] for at in range(0, len(raw), language.BLOCK)]
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress(p)) for p in parts)
+        first, second = sorted(sizes.values())[:2]
+        assert got[doc_id].lang_pred == min(sizes, key=sizes.get) and got[doc_id].margin == (second - first) / second
+        assert got[doc_id].rejected == ((second - first) / second < language.NARROW)
+
+
 def test_licences(spark):
     mit = dict(license_texts.LICENSES)["MIT"]
     changed = mit.replace("Copyright (c) 2024 holder", "  Copyright 1999 Somebody Else\n© 2001 Another").upper().replace("SUBLICENSE", "SUB-LICENSE").replace("\n\n", "\n \n")
