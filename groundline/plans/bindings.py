@@ -129,8 +129,13 @@ def coverage_gate(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("scene_id", "coverage", "clear", "nothing", stats.sufficient(col("coverage")).alias("enough"), stats.sufficient(col("clear")).alias("clear_enough"))
 
 
+def settled(x: Column) -> Column:
+    """Nine digits of a sum of doubles; twelve come first, so that a tie is not left to the order of adding."""
+    return fixed(fixed(x, 12), 9)
+
+
 def _resampled(spark: SparkSession, sf: str, to: GridDef) -> DataFrame:
-    return resample.resample(pixels(spark, sf), FINE, to).withColumn("value", fixed(col("value"), 9))
+    return resample.resample(pixels(spark, sf), FINE, to).withColumn("value", settled(col("value")))
 
 
 def resample_aligned(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +148,7 @@ def resample_offset(spark: SparkSession, sf: str) -> DataFrame:
 
 def coverage_to_grid(spark: SparkSession, sf: str) -> DataFrame:
     a = pixels(spark, sf).withColumn("mask", raster.is_cover(col("ndvi"), 0.2))
-    return resample.coverage(a, FINE, COARSE).withColumn("value", fixed(col("value"), 9))
+    return resample.coverage(a, FINE, COARSE).withColumn("value", settled(col("value")))
 
 
 def pip_mask(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,7 +40,7 @@ def overlap_sql(to: GridDef, value: str = "value") -> str:
     return f"""WITH {CELLS}, coarse AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, scene_id FROM range({to.height}) a(r), range({to.width}) b(c), (SELECT DISTINCT scene_id FROM cells)),
     pieces AS (SELECT r, c, f.scene_id, CAST({value} AS DOUBLE) AS v, CAST({dx} AS DOUBLE) AS dx, CAST({dy} AS DOUBLE) AS dy FROM cells f, range({to.height}) a(r), range({to.width}) b(c)),
     means AS (SELECT scene_id, r, c, sum(v * dx * dy) / sum(dx * dy) AS value FROM pieces WHERE dx > 0 AND dy > 0 AND v IS NOT NULL GROUP BY ALL)
-    SELECT scene_id, r AS "row", c AS col, {r("value", 9)} AS value FROM coarse LEFT JOIN means USING (scene_id, r, c)"""
+    SELECT scene_id, r AS "row", c AS col, {r(r("value", 12), 9)} AS value FROM coarse LEFT JOIN means USING (scene_id, r, c)"""
 
 
 EPS = "(CASE WHEN v IS NOT NULL THEN 0.986 + 0.004 * power(greatest(0, least(1, (v - 0.2) / 0.3)), 2) END)"
