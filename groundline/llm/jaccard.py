@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecoder import slices
-from .common import Scratch, partitions
+from .common import Scratch, give_back, partitions
 from .links import FOUND, blocks_of, connected_components, dealt, found_batch, groups, least_roots, results
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -111,6 +111,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 rows_.append(next(sketch) if len(own) else None)
             yield pa.RecordBatch.from_arrays([*ids.flatten(), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows_, pa.list_(pa.int32()))], ["doc_id", "hash", "key", "size", "sketch"])
+        give_back()
 
     return rows.selectExpr("struct(doc_id, hash) id", "text").mapInArrow(run, "doc_id long, hash long, key binary, size long, sketch array<int>")
 
@@ -123,6 +124,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
             h, at = shingles(texts)
             own = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "set"])
+        give_back()
 
     return rows.select("doc_id", "text").mapInArrow(run, "key binary, set binary")
 
@@ -189,6 +191,7 @@ def candidate_forest(scratch: Scratch, reps: DataFrame) -> DataFrame:
                 root = least_roots(keys, a[i], b[j])
                 some = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array([keys[n] for n in some], pa.binary()), pa.array([keys[root[n]] for n in some], pa.binary())], ["a", "b"])
+        give_back()
 
     return buckets.mapInArrow(run, "a binary, b binary")
 
@@ -258,6 +261,7 @@ def linked(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame, Dat
                 i, j = a[i], b[j]
             links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
             yield found_batch(keys, links, least_roots(keys, i, j))
+        give_back()
 
     return every, reps, scratch.save(pairs.mapInArrow(run, FOUND), "found")
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecoder import slices
+from .common import give_back
 
 #: Bound of the sample: passages a language, and code points of a passage.
 PASSAGES, PASSAGE = 48, 2000
@@ -114,5 +115,6 @@ def keep_predicted(spark: SparkSession, docs: DataFrame, content: dict[str, byte
         for batch in batches:
             texts = normal(pc.fill_null(batch.column(at), "")).to_pylist()
             yield batch.filter(pa.array([own.predict(x)[2] >= NARROW for x in texts], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
