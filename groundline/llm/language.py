@@ -8,9 +8,10 @@ bytes wins. A narrow relative margin between the two best rejects the prediction
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected, as is
 any text if nothing was learned. Equal sizes go to the language first in order. Repeated rows
 are each returned; in learning, repeated rows may take several places of the sample. A null id
-is not held out. An empty table gives no predictions and nothing learned. Only ``text`` takes
-part in a prediction; other columns are ignored. Every learned language costs its dictionary in
-each worker's memory and one encoding a text, whatever their number.
+is not held out. Very long texts are compressed whole, in blocks whose sizes are summed. An
+empty table gives no predictions and nothing learned. Only ``text`` takes part in a prediction;
+other columns are ignored. Every learned language costs its dictionary in each worker's memory
+and one encoding a text, whatever their number.
 """
 
 from __future__ import annotations

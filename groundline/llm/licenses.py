@@ -5,7 +5,9 @@ one blank, and equivalent spellings become one. The SHA-256 of the result is joi
 digests of known licence texts. Single lines are looked up likewise among known notices.
 
 Defined cases: null counts as the empty text; an empty canonical text matches no licence.
-Repeated rows are each returned. Other columns are ignored.
+Repeated rows are each returned, whatever their ids, null and equal ones included. An empty table
+gives an empty one. Very long texts are read whole. Two known licences of one digest are one
+form; the name that comes last in the list stands for it. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ Defined cases: a text that is null or has no word has no tokens and null losses.
 target document both models are the background. Repeated rows count as often as they occur and
 are each returned. Rows with a null id count for the background only. Labels of one document
 agree if any says 1; labels without an id or of no document count for nothing. An empty table
-gives no scores. Other columns are ignored.
+gives no scores. Very long texts are scored whole. Other columns are ignored.
 """
 
 from __future__ import annotations

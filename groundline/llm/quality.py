@@ -2,11 +2,13 @@
 
 Each document gets its counts; rule failures are summed by host (``source``); each host's
 failure rate is shrunk towards the corpus rate by a beta prior fitted to the hosts by the
-method of moments; a host whose shrunk rate exceeds ``max_rate`` is rejected as a whole.
+method of moments, its strength kept within ``strength`` documents; a host whose shrunk rate
+exceeds ``max_rate`` is rejected as a whole.
 
 Defined cases: a null or empty text has no words (counts 0, base rule fails). A null host is
 a host of its own. Repeated rows count as often as they occur, and each is returned. An empty
-table gives an empty result. Ids may be null or equal. Columns other than the named ones are
+table gives an empty result. A rate of just ``max_rate`` keeps its host. Very long texts are
+counted whole. Ids may be null or equal. Columns other than the named ones are
 ignored, whatever their names; the named ones may have names of columns made here.
 """
 
@@ -19,6 +21,8 @@ from .common import Scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
+#: Documents that the prior weighs at least and at most: moments of few or equal hosts give no bound themselves.
+STRENGTH = (2.0, 1000.0)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -67,7 +71,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 _OWN = {*COUNTS, "base_failed", "rule_failed", "host_rate", "__words", "__lines", "__hash", "__win", "__host", "__rate"}
 
 
-def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
+def host_rates(counted: DataFrame, host: str = "source", strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """One row a host: documents, failures, and the failure rate shrunk by the beta prior.
 
     The prior takes one row (four sums over hosts) to the driver, whatever the number of hosts.
@@ -75,19 +79,19 @@ def host_rates(counted: DataFrame, host: str = "source") -> DataFrame:
     hosts = counted.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("docs"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("docs")
     n, k, m, v = hosts.agg(F.sum("docs"), F.sum("failed"), F.avg(rate), F.var_samp(rate)).first()
-    alpha, beta = beta_prior(n or 0, k or 0, m or 0.0, v or 0.0)
+    alpha, beta = beta_prior(n or 0, k or 0, m or 0.0, v or 0.0, strength)
     return hosts.withColumn("__rate", (F.col("failed") + alpha) / (F.col("docs") + alpha + beta))
 
 
-def beta_prior(docs: int, failed: int, mean: float, variance: float) -> tuple[float, float]:
-    """Method of moments, its strength kept between 2 and 1000 documents; centred on the corpus rate."""
+def beta_prior(docs: int, failed: int, mean: float, variance: float, strength: tuple[float, float] = STRENGTH) -> tuple[float, float]:
+    """Method of moments, as strong as ``strength`` allows; centred on the corpus rate."""
+    least, most = strength
     centre = (failed + 0.5) / (docs + 1)
-    strength = mean * (1 - mean) / variance - 1 if variance > 0 else 1000.0
-    strength = min(1000.0, max(2.0, strength))
-    return centre * strength, (1 - centre) * strength
+    weight = min(most, max(least, mean * (1 - mean) / variance - 1 if variance > 0 else most))
+    return centre * weight, (1 - centre) * weight
 
 
-def host_rules(spark: SparkSession, docs: DataFrame, keys: list[str], host: str = "source", text: str = "text", max_rate: float = 0.5) -> DataFrame:
+def host_rules(spark: SparkSession, docs: DataFrame, keys: list[str], host: str = "source", text: str = "text", max_rate: float = 0.5, strength: tuple[float, float] = STRENGTH) -> DataFrame:
     """``keys`` of each row, its counts, ``base_failed``, ``host_rate`` and ``kept``.
 
     The counts are written once to the shared folder, as two passes read them: the sums by
@@ -98,7 +102,7 @@ def host_rules(spark: SparkSession, docs: DataFrame, keys: list[str], host: str
     counted = with_counts(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text])
     need = list(dict.fromkeys(names[c] for c in (*keys, host)))
     counted = scratch.save(counted.select(*need, *COUNTS, "base_failed", "rule_failed"), "counted")
-    rates = scratch.save(host_rates(counted, names[host]).select("__host", "__rate"), "rates")
+    rates = scratch.save(host_rates(counted, names[host], strength).select("__host", "__rate"), "rates")
     joined = counted.join(rates, counted[names[host]].eqNullSafe(rates["__host"]), "left")
     kept: Column = ~F.col("base_failed") & (F.col("__rate") <= max_rate)
     return joined.select(*[counted[names[k]].alias(k) for k in keys], *COUNTS, "base_failed", F.col("__rate").alias("host_rate"), kept.alias("kept"))

@@ -432,6 +432,10 @@ def test_a_bad_host_is_rejected_and_a_small_one_is_not(spark):
     every = [bad if i < 36 else good if i > 40 else words(rng, 40) for i in range(200)]
     rows = {r.doc_id: r for r in quality.host_rules(spark, frame(spark, every, source=source), ["doc_id"]).collect()}
     assert not rows[37].base_failed and not rows[37].kept and rows[40].kept and rows[150].kept
+    weak, strong = (quality.beta_prior(100, 20, 0.2, 0.1, (x, x)) for x in (1.0, 50.0))
+    assert sum(weak) == pytest.approx(1.0) and sum(strong) == pytest.approx(50.0) and weak[0] / sum(weak) == pytest.approx(20.5 / 101)
+    heavy = quality.host_rules(spark, frame(spark, every, source=source), ["doc_id"], strength=(1e6, 1e6))
+    assert {r.doc_id for r in heavy.where("not kept and not base_failed").collect()} == set()  # so heavy a prior gives all hosts the corpus rate
     empty = frame(spark, every).where("false")
     assert quality.host_rules(spark, empty, ["doc_id"]).count() == 0
     none = frame(spark, every[100:110]).withColumn("source", F.lit(None).cast("string"))
