@@ -8,7 +8,7 @@ quality rules and have no language; where a stage is given them all the same, th
 keeps them all, the secret scan leaves them, and packing gives each one piece with the end token.
 Null ids are ids like any other, and rows are told apart by id and text. Repeated rows count as
 often as they occur in rules and sampling; the Jaccard join keeps one. Of ties (equal ids within
-a class) the one with the least hash of its text stays.
+a class) the one with the least hash of its text stays. Very long texts go through every stage whole.
 """
 
 from __future__ import annotations
