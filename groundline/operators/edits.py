@@ -1,12 +1,14 @@
 """Plans after a log of edits: place a tree, remove the last one, clear, go back to the suggestion.
 
-The log of a plan is a fold in order of time, but no task folds a whole plan. A tree that is
-placed becomes the d-th of its plan, d being the plan's size after the edit, and stays if the
-size is never below d again. So only sizes are needed, and those compose: a run of edits takes a
-plan of size b to b + s - min(0, b + m), where s sums up the run's steps and m is the least of its
-partial sums; clearing and resetting start anew. Edits are sorted by range, whatever plan they
-belong to; each range gives a plan's run in it as one row (s, m, last start), the runs of a plan
-(a row a range at most) are folded, and each range then places its own edits.
+The log of a plan is a fold in order of time, but no task folds a whole plan. What came before the
+last clearing or reset of a plan has no bearing on it, so each plan begins there, empty or as
+suggested. A tree that is placed becomes the d-th of its plan, d being the plan's size after the
+edit, and stays if the size is never below d again. So only sizes are needed, and those compose: a
+run of edits takes a plan of size b to b + s - min(0, b + m), where s sums up the run's steps and m
+is the least of its partial sums and 0; on the way the size is never below max(0, b + m). Edits are
+sorted by range, whatever plan they belong to; each range gives a plan's run in it as one row
+(s, m), the runs of a plan (a row a range at most) are folded, and each range then places its own
+edits. Every window grows by a row at a time, so a range's work goes with its edits.
 """
 
 from __future__ import annotations
@@ -26,12 +28,10 @@ def _size(start: Column, steps: Column, least: Column) -> Column:
 
 
 def _runs(edits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Edits with ``start`` (the kind that the run since the last clearing or reset began with), ``s`` and ``m``."""
-    fresh = F.col("action").isin(CLEAR, RESET)
-    a = edits.withColumn("__n", F.sum(fresh.cast("int")).over(W.partitionBy(*keys, "__part").orderBy(*order)))
-    own = W.partitionBy(*keys, "__part", "__n").orderBy(*order)
-    step = F.when(F.col("action") == PLACE, 1).when(F.col("action") == REMOVE, -1).otherwise(0).cast("bigint")
-    a = a.withColumn("s", F.sum(step).over(own)).withColumn("start", F.when(F.col("__n") > 0, F.first("action").over(own)))
+    """Edits with ``s`` and ``m`` of the run that ends with them, from the first of their plan in their range."""
+    own = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.col("action") == PLACE, 1).otherwise(-1).cast("bigint")
+    a = edits.withColumn("s", F.sum(step).over(own))
     return a.withColumn("m", F.least(F.lit(0).cast("bigint"), F.min("s").over(own)))
 
 
@@ -43,42 +43,45 @@ def after_edits(edits: DataFrame, suggested: DataFrame, keys: list[str], order:
     empty, one without edits stays as suggested. Unknown actions are left out; removing from an
     empty plan does nothing.
     """
-    known = edits.where(F.col("action").isin(PLACE, REMOVE, CLEAR, RESET)).select(*keys, *order, "action", "x", "y")
-    dealt = store.save(known.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "edits")
-    sizes = suggested.groupBy(*keys).agg(F.count("*").alias("__base"))
-    runs = store.save(_runs(dealt, keys, order), "runs")
-    at = F.struct(*order)
-    last = runs.groupBy(*keys, "__part").agg(F.max_by(F.struct("start", "s", "m"), at).alias("r")).join(sizes, keys, "left")
     zero = F.lit(0).cast("bigint")
-    base = F.coalesce("__base", zero)
+    at = F.struct(*order)
+    fresh = edits.where(F.col("action").isin(CLEAR, RESET)).groupBy(*keys).agg(F.max_by("action", at).alias("__began"), F.max(at).alias("__since"))
+    fresh = store.save(fresh, "fresh")
+    live = edits.where(F.col("action").isin(PLACE, REMOVE)).select(*keys, *order, "action", "x", "y").join(fresh.drop("__began"), keys, "left")
+    live = live.where(F.col("__since").isNull() | (at > F.col("__since"))).drop("__since")
+    dealt = live.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    runs = store.save(_runs(dealt, keys, order), "runs")
+    sizes = suggested.groupBy(*keys).agg(F.count("*").alias("__base"))
+    base = F.when(F.col("__began") == CLEAR, zero).otherwise(F.coalesce("__base", zero))
+    last = runs.groupBy(*keys, "__part").agg(F.max_by(F.struct("s", "m"), at).alias("r"))
     # A plan has a row a range at most, so the list is as long as there are ranges.
-    listed = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__part", "r"))).alias("runs"), F.max(base).alias("base"))
+    listed = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__part", "r"))).alias("runs"))
+    listed = listed.join(sizes, keys, "left").join(fresh.drop("__since"), keys, "left").select(*keys, "runs", base.alias("base"))
 
     def step(state: Column, run: Column) -> Column:
-        r = run["r"]
-        begin = F.when(r["start"] == CLEAR, zero).when(r["start"] == RESET, F.col("base")).otherwise(state["size"])
-        return F.struct(_size(begin, r["s"], r["m"]).alias("size"), F.concat(state["before"], F.array(state["size"])).alias("before"))
+        r, size = run["r"], state["size"]
+        entry = F.struct(run["__part"].alias("__part"), size.alias("__before"), F.greatest(zero, size + r["m"]).alias("__low"))
+        return F.struct(_size(size, r["s"], r["m"]).alias("size"), F.concat(state["entries"], F.array(entry)).alias("entries"))
 
-    folded = listed.withColumn("f", F.aggregate("runs", F.struct(F.col("base").alias("size"), F.array().cast("array<bigint>").alias("before")), step))
-    entered = folded.select(*keys, "base", F.explode(F.arrays_zip(F.col("runs.__part").alias("part"), F.col("f.before").alias("before"))).alias("e")).select(*keys, "base", F.col("e.part").alias("__part"), F.col("e.before").alias("__before"))
-    begin = F.when(F.col("start") == CLEAR, zero).when(F.col("start") == RESET, F.col("base")).otherwise(F.col("__before"))
-    sized = runs.join(store.save(entered, "entered"), [*keys, "__part"]).withColumn("size", _size(begin, F.col("s"), F.col("m")))
-    # Below every tree: a plan that starts anew keeps none of those before.
-    sized = sized.withColumn("level", F.when(F.col("action").isin(CLEAR, RESET), F.lit(-1).cast("bigint")).otherwise(F.col("size")))
-    ahead = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    sized = store.save(sized.withColumn("later", F.min("level").over(ahead)).select(*keys, *order, "__part", "action", "x", "y", "size", "level", "later", "base"), "sized")
-    lows = sized.groupBy(*keys, "__part").agg(F.min("level").alias("low")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__part", "low"))).alias("lows"))
-    sized = sized.join(lows, keys).withColumn("beyond", F.array_min(F.transform(F.filter("lows", lambda p: p["__part"] > F.col("__part")), lambda p: p["low"])))
-    lowest = F.least("later", "beyond")  # skips what is NULL: nothing comes later
-    stays = lowest.isNull() | (lowest >= F.col("size"))
+    none = F.array().cast("array<struct<__part:int,__before:bigint,__low:bigint>>")
+    folded = listed.withColumn("f", F.aggregate("runs", F.struct(F.col("base").alias("size"), none.alias("entries")), step))
+    entered = folded.select(*keys, F.explode("f.entries").alias("e")).select(*keys, "e.*")
+    # ``beyond``: the least size in the ranges to come, NULL in a plan's last one.
+    coming = W.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)
+    entered = store.save(entered.withColumn("__beyond", F.min("__low").over(coming)), "entered")
+    sized = runs.join(entered.drop("__low"), [*keys, "__part"]).withColumn("size", _size(F.col("__before"), F.col("s"), F.col("m")))
+    # In falling order, since a window that reaches to the end is gone through anew for each row.
+    ahead = W.partitionBy(*keys, "__part").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    lowest = F.least(F.min("size").over(ahead), F.col("__beyond"))  # skips what is NULL: nothing comes later
+    sized = sized.withColumn("lowest", lowest)
+    stays = F.col("lowest").isNull() | (F.col("lowest") >= F.col("size"))
     number = F.col("ordinal") + 1
     name = F.concat(F.lit("t"), F.lpad(number.cast("string"), F.greatest(F.lit(2), F.length(number.cast("string"))), F.lit("0")))
     placed = sized.where((F.col("action") == PLACE) & stays).select(*keys, (F.col("size") - 1).cast("int").alias("ordinal"), "x", "y")
     cm = lambda c: F.floor(F.col(c) * 100 + 0.5) / 100
     placed = placed.select(*keys, "ordinal", name.alias("id"), cm("x").alias("x"), cm("y").alias("y"), F.get(F.array(*map(F.lit, classes)), F.col("ordinal") % len(classes)).alias("class_key"))
     # Of the suggestion stays what the plan's size never fell below since it was last put in place.
-    since = lowest.isNull() | (lowest >= 0)
-    held = sized.groupBy(*keys).agg(F.max_by("action", F.when(F.col("level") < 0, at)).alias("began"), F.min(F.when(since & (F.col("level") >= 0), F.col("level"))).alias("low"))
-    kept = suggested.select(*keys, F.col("ordinal").cast("int").alias("ordinal"), "id", "x", "y", "class_key").join(held, keys, "left")
-    kept = kept.where((F.col("began").isNull() | (F.col("began") == RESET)) & (F.col("low").isNull() | (F.col("ordinal") < F.col("low"))))
-    return kept.drop("began", "low").unionByName(placed)
+    held = entered.groupBy(*keys).agg(F.min("__low").alias("__low"))
+    kept = suggested.select(*keys, F.col("ordinal").cast("int").alias("ordinal"), "id", "x", "y", "class_key").join(held, keys, "left").join(fresh.drop("__since"), keys, "left")
+    kept = kept.where((F.col("__began").isNull() | (F.col("__began") == RESET)) & (F.col("__low").isNull() | (F.col("ordinal") < F.col("__low"))))
+    return kept.drop("__began", "__low").unionByName(placed)

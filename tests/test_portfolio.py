@@ -292,6 +292,27 @@ def test_edit_logs_fold_like_a_list(spark, seed):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+class Watched(Store):
+    """Keeps the plan of every table that it writes."""
+
+    def save(self, df, name):
+        self.plans = [*getattr(self, "plans", []), df._jdf.queryExecution().executedPlan().toString()]
+        return super().save(df, name)
+
+
+def test_work_on_a_log_goes_with_its_length(spark):
+    """A window that reaches to the end of a range is gone through anew for each row."""
+    rng = random.Random(11)
+    log = [(rng.choice((0, 0, 1)), n // 2, n, rng.choice(("place", "place", "remove")), float(n), 1.0) for n in range(6000)] + [(1, 100, -1, "clear", None, None), (0, 5, -1, "reset", None, None)]
+    df = spark.createDataFrame(log, "plan_id int, ts int, event_id int, action string, x double, y double")
+    suggested = {0: [("t01", 1.0, 2.0, "big"), ("t02", 3.0, 4.0, "small")], 1: [("t01", 1.0, 2.0, "big")]}
+    plans = spark.createDataFrame([(p, n, *t) for p, trees in suggested.items() for n, t in enumerate(trees)], "plan_id int, ordinal int, id string, x double, y double, class_key string")
+    store = Watched(spark, "edits-test")
+    got = edits.after_edits(df, plans, ["plan_id"], ["ts", "event_id"], ("big", "small"), store)
+    assert sorted(tuple(r[c] for c in ("plan_id", "ordinal", "id", "x", "y", "class_key")) for r in got.collect()) == brute_edits(log, suggested)
+    assert not any("unboundedfollowing" in p for p in [*store.plans, got._jdf.queryExecution().executedPlan().toString()])
+
+
 def test_plans_without_edits_stay_as_suggested(spark):
     log = spark.createDataFrame([], "plan_id int, ts int, action string, x double, y double")
     plans = spark.createDataFrame([(1, n, f"t{n:02d}", x, y, c) for n, (x, y, c) in enumerate(PLAN)], "plan_id int, ordinal int, id string, x double, y double, class_key string")
