@@ -27,16 +27,18 @@ def fit(rows: DataFrame, x: Column, y: Column, keys: list[str], where: Column |
 
     One aggregation: Spark's moments are centred, so that the residual sum is syy - sxy**2/sxx
     with an error of rounding only. Fewer than three pairs, or equal x, give unknown numbers;
-    equal y gives an unknown r2, which Spark alone would call a perfect fit.
+    equal y gives an unknown r2, which Spark alone would call a perfect fit. Whether numbers are
+    equal is told by their bounds: moments of partitions, once merged, leave a rounding instead of 0.
     """
     pairs = rows.select(*keys, known(x).alias("x"), known(y).alias("y"), (F.lit(True) if where is None else where).alias("used"))
     both = F.col("used") & F.col("x").isNotNull() & F.col("y").isNotNull()
     px, py = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    same_x, same_y = F.min(px) == F.max(px), F.min(py) == F.max(py)
     sums = pairs.groupBy(*keys).agg(
         F.count(px).alias("n"),
-        F.regr_sxx(py, px).alias("sxx"),
-        F.regr_syy(py, px).alias("syy"),
-        F.regr_sxy(py, px).alias("sxy"),
+        F.when(same_x, 0.0).otherwise(F.regr_sxx(py, px)).alias("sxx"),
+        F.when(same_y, 0.0).otherwise(F.regr_syy(py, px)).alias("syy"),
+        F.when(same_x | same_y, 0.0).otherwise(F.regr_sxy(py, px)).alias("sxy"),
         F.avg(px).alias("mx"),
         F.avg(py).alias("my"),
     )

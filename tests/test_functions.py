@@ -163,6 +163,17 @@ def fitted(spark, pairs):
     return regression.fit(spark.createDataFrame([("s", *p) for p in pairs], "k string, x double, y double"), F.col("x"), F.col("y"), ["k"]).first()
 
 
+def test_equal_numbers_in_several_partitions(spark):
+    """The merged means of equal numbers may differ in their last digit."""
+    cases = {"x3": (238, lambda n: (3.0, float(n))), "y7": (128, lambda n: (float(n), 7.0)), "x0.1": (58, lambda n: (0.1, float(n)))}
+    rows = [(k, *f(n)) for k, (size, f) in cases.items() for n in range(size)]
+    whole = spark.createDataFrame(spark.sparkContext.parallelize(rows, 9), "k string, x double, y double")
+    got = {r.k: r for r in regression.fit(whole, F.col("x"), F.col("y"), ["k"], more=("sxx", "syy", "sxy")).collect()}
+    for k in ("x3", "x0.1"):
+        assert got[k].sxx == 0 and got[k].sxy == 0 and got[k].slope is None and got[k].r2 is None
+    assert got["y7"].syy == 0 and got["y7"].slope == 0 and got["y7"].slope_se == 0 and got["y7"].r2 is None
+
+
 def test_regression_edges(spark):
     f = fitted(spark, [(0.0, 1.0), (1.0, 3.0), (2.0, 5.0), (3.0, 7.0)])
     assert f.slope == pytest.approx(2) and f.r2 == 1 and f.slope_se == pytest.approx(0, abs=1e-9)
