@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from groundline.functions.order import ranked, with_order_bits
 from groundline.functions.unknown import fixed
 from groundline.operators import composite, district, edits, gates, planner, refusals, spatial, stats
-from groundline.plans import report
+from groundline.plans import portfolio, report
 from groundline.plans.bindings import PLAN, FixedCosts
 from groundline.plans.portfolio import TwoRegions
 from groundline.sources.band_files import PUSHDOWN, BandReader, BandScenes, Stripe, write_bands, write_documents
@@ -313,6 +314,14 @@ def test_work_on_a_log_goes_with_its_length(spark):
     assert not any("unboundedfollowing" in p for p in [*store.plans, got._jdf.queryExecution().executedPlan().toString()])
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_no_window_of_the_edited_reports_reaches_to_its_end(spark, monkeypatch):
+    plans, save = [], Store.save
+    monkeypatch.setattr(Store, "save", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df, name))[1])
+    portfolio.edited_reports(spark, "/root/testdata/sf0.001")
+    assert any("Window" in p for p in plans) and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_plans_without_edits_stay_as_suggested(spark):
     log = spark.createDataFrame([], "plan_id int, ts int, action string, x double, y double")
     plans = spark.createDataFrame([(1, n, f"t{n:02d}", x, y, c) for n, (x, y, c) in enumerate(PLAN)], "plan_id int, ordinal int, id string, x double, y double, class_key string")
