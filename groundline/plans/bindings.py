@@ -426,11 +426,18 @@ def scaled_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 class TableScenes:
-    """A source of scenes made of the driver's tables: bands and heat are sums over the lines of a cell."""
+    """A source of scenes made of the driver's tables: bands and heat are sums over the lines of a cell.
+
+    The lines are read once: whole-number sums by cell of the fine grid are written, and all else
+    is made of them (a cell of heat is four by four of these, so its sums are sums of theirs).
+    """
 
     def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = spark, sf
-        self.ids = Store(spark, "scene-ids").save(lines(spark, sf).select("scene_id").distinct(), "ids")
+        store = Store(spark, "scene-cells")
+        total = lambda c, by: F.sum(F.round(col(c) * by).cast("bigint"))
+        a = lines(spark, sf).groupBy("scene_id", (col("l_orderkey") % 40).cast("int").alias("row"), (col("l_partkey") % 40).cast("int").alias("col"))
+        self.cells = store.save(a.agg(total("l_discount", 100).alias("discount"), total("l_tax", 100).alias("tax"), total("l_quantity", 1).alias("quantity"), F.count("*").alias("n")), "cells")
+        self.ids = store.save(self.cells.select("scene_id").distinct(), "ids")
 
     def scenes(self) -> DataFrame:
         flag = F.substring("scene_id", 1, 1)
@@ -445,15 +452,13 @@ class TableScenes:
         return a.select("scene_id", F.transform("outer", lambda p: F.array(p[0] + col("fine_grid.origin_x"), p[1] - 400 + col("fine_grid.origin_y"))).alias("outer"))
 
     def fine(self) -> DataFrame:
-        hundred = lambda c: F.sum(F.round(col(c) * 100).cast("bigint")) / F.count("*") / lit(100)
-        a = lines(self.spark, self.sf).groupBy("scene_id", (col("l_orderkey") % 40).cast("int").alias("row"), (col("l_partkey") % 40).cast("int").alias("col"))
-        return a.agg(hundred("l_discount").alias("nir"), hundred("l_tax").alias("red"))
+        hundred = lambda c: col(c) / col("n") / lit(100)
+        return self.cells.select("scene_id", "row", "col", hundred("discount").alias("nir"), hundred("tax").alias("red"))
 
     def thermal(self) -> DataFrame:
-        by_four = lambda c: F.floor(col(c) % 40 / 4).cast("int")
-        total = lambda c, by: F.sum(F.round(col(c) * by).cast("bigint"))
-        a = lines(self.spark, self.sf).groupBy("scene_id", by_four("l_orderkey").alias("row"), by_four("l_partkey").alias("col"))
-        a = a.agg(((total("l_discount", 100) - total("l_tax", 100)) / F.count("*")).alias("d"), (total("l_quantity", 1) / F.count("*")).alias("q"), F.count("*").alias("n"))
+        by_four = lambda c: F.floor(col(c) / 4).cast("int").alias(c)
+        a = self.cells.groupBy("scene_id", by_four("row"), by_four("col")).agg(*[F.sum(c).alias(c) for c in ("discount", "tax", "quantity", "n")])
+        a = a.select("scene_id", "row", "col", ((col("discount") - col("tax")) / col("n")).alias("d"), (col("quantity") / col("n")).alias("q"), "n")
         noise = F.when(col("scene_id") == "AF", 20.0).when(col("scene_id") == "RF", 600.0).otherwise(100.0)
         dn = F.floor(30000 - 400 * col("d") + noise * (col("q") - 25) + 0.5).cast("double")
         return a.select("scene_id", "row", "col", dn.alias("dn"), F.when(col("n") % 9 == 0, 8.0).otherwise(64.0).alias("qa"))

@@ -239,7 +239,7 @@ def edited_reports(spark: SparkSession, sf: str) -> DataFrame:
     suggested = source.ids.select("scene_id", F.explode(given).alias("t")).select("scene_id", "t.*")
     analysis = Analysis(source)
     trees = edits.after_edits(log, suggested, ["scene_id"], ["ts", "event_id"], CLASSES, analysis.store)
-    changed = log.select("scene_id").distinct().withColumn("region", F.lit("R0"))
+    changed = analysis.store.save(log.select("scene_id").distinct().withColumn("region", F.lit("R0")), "changed")
     a = report.build_report(analysis, analysis.store.save(trees, "edited"), FixedCosts(spark, True), "2026-08-07", changed)
     return _rounded(a.withColumn("limitations", F.array_join("limitations", "|")), REPORTED, SAID)
 

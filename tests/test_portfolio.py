@@ -15,7 +15,7 @@ from groundline.functions.order import ranked, with_order_bits
 from groundline.functions.unknown import fixed
 from groundline.operators import composite, district, edits, gates, planner, refusals, spatial, stats
 from groundline.plans import portfolio, report
-from groundline.plans.bindings import PLAN, FixedCosts
+from groundline.plans.bindings import PLAN, FixedCosts, TableScenes
 from groundline.plans.portfolio import TwoRegions
 from groundline.sources.band_files import PUSHDOWN, BandReader, BandScenes, Stripe, write_bands, write_documents
 from groundline.sources.errors import Malformed
@@ -322,6 +322,33 @@ def test_no_window_of_the_edited_reports_reaches_to_its_end(spark, monkeypatch):
     assert any("Window" in p for p in plans) and not any("unboundedfollowing" in p for p in plans)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_edited_reports_read_the_lines_once_and_their_measurements_once(spark, monkeypatch):
+    plans, save = [], Store.save
+    monkeypatch.setattr(Store, "save", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df, name))[1])
+    last = portfolio.edited_reports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum(p.count("l_returnflag") > 0 for p in plans) == 1 and "l_returnflag" not in last
+    assert sum("t_critical" in p for p in plans) == 1 and "t_critical" not in last
+
+
+def test_sums_by_cell_give_the_heat_of_the_lines(spark, tmp_path):
+    """Cells of four by four fine ones, with unknown keys and values and keys below 0, as summed from the lines themselves."""
+    rng = random.Random(5)
+    few = lambda *x: rng.choice((None, *x, *x, *x))
+    rows = [(few(*range(-90, 90)), few(*range(-90, 90)), few(1.0, 2.0, 50.0), few(0.0, 0.05), few(0.01, 0.08), few("A", "R"), "F") for _ in range(4000)]
+    rows += [(1, 1, None, None, None, "N", "O")] * 3
+    df = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    by_four = lambda c: F.floor(F.col(c) % 40 / 4).cast("int")
+    total = lambda c, by: F.sum(F.round(F.col(c) * by).cast("bigint"))
+    a = df.groupBy(F.concat("l_returnflag", "l_linestatus").alias("scene_id"), by_four("l_orderkey").alias("row"), by_four("l_partkey").alias("col"))
+    a = a.agg(((total("l_discount", 100) - total("l_tax", 100)) / F.count("*")).alias("d"), (total("l_quantity", 1) / F.count("*")).alias("q"), F.count("*").alias("n"))
+    noise = F.when(F.col("scene_id") == "AF", 20.0).when(F.col("scene_id") == "RF", 600.0).otherwise(100.0)
+    dn = F.floor(30000 - 400 * F.col("d") + noise * (F.col("q") - 25) + 0.5).cast("double")
+    wanted = a.select("scene_id", "row", "col", dn.alias("dn"), F.when(F.col("n") % 9 == 0, 8.0).otherwise(64.0).alias("qa"))
+    assert sorted(map(repr, TableScenes(spark, str(tmp_path)).thermal().collect())) == sorted(map(repr, wanted.collect()))
+
+
 def test_plans_without_edits_stay_as_suggested(spark):
     log = spark.createDataFrame([], "plan_id int, ts int, action string, x double, y double")
     plans = spark.createDataFrame([(1, n, f"t{n:02d}", x, y, c) for n, (x, y, c) in enumerate(PLAN)], "plan_id int, ordinal int, id string, x double, y double, class_key string")
